@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cyclarium.llm import decontaminate
+from cyclarium.llm import decontaminate, packing, secret_scan
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query by name."""
     return {
         "op1_decontaminate": decontaminate.query,
+        "op3_secret_scan": secret_scan.query,
+        "op6_packing": packing.query,
     }
 
 
