@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cyclarium.llm import decontaminate, packing, secret_scan
+from cyclarium.llm import decontaminate, language_id, packing, secret_scan, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query by name."""
     return {
         "op1_decontaminate": decontaminate.query,
+        "op2_toxicity": toxicity.query,
         "op3_secret_scan": secret_scan.query,
         "op6_packing": packing.query,
+        "op8_language_id": language_id.query,
     }
 
 
