@@ -101,6 +101,7 @@ class Words:
     def __init__(self, separators: bytes) -> None:
         lower = np.arange(256, dtype=np.uint8)
         lower[65:91] += 32
+        self.lower = lower
         self.is_word = np.ones(256, bool)
         self.is_word[list(separators)] = False
         self.is_word = self.is_word[lower]

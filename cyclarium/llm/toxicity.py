@@ -4,9 +4,11 @@ Grades are ordered: 0 not toxic, 1 toxic, 2 toxic and of low quality. One
 weight vector serves all grades; ordered thresholds part them:
 P(grade > k) = sigmoid(w.x - t_k). A document's expected severity is the sum
 of these probabilities. Features are the hashed distinct words of the whole
-text. The model is fitted on a bounded sample of labelled documents by
-adaptive gradients with an L1 penalty, rare words being left out; the
-thresholds keep their order as the later ones are sums of positive steps.
+text and their stems. The model is fitted on a bounded sample of labelled
+documents by adaptive gradients with an L1 penalty; weights are not negative,
+so that no amount of harmless words outweighs a toxic one, and rare words are
+left out. The thresholds keep their order as the later ones are sums of
+positive steps.
 
 Edge cases: null and empty texts have no words and the grades' base rates;
 documents without a label are scored but not learned from; a label row without
@@ -23,12 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cyclarium.llm._common import Words, bytes_of, slices, table
+from cyclarium.llm._common import Words, bytes_of, mix, slices, table
 
 #: Hashed words, and the most labelled documents that the model is fitted on.
 DIM, SAMPLE = 1 << 18, 6000
-#: A document is toxic if P(grade > 0) reaches this.
-TOXIC = 0.5
+#: A document is toxic if P(grade > 0) reaches this, twice the usual share of toxic documents.
+TOXIC = 0.2
 #: Words are runs of ASCII letters, digits and anything beyond ASCII.
 SEPARATORS = bytes([*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)])
 
@@ -45,11 +47,28 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(score[:, None] - self.thresholds, -500, 500)))
 
 
-def word_slots(hashed: np.ndarray) -> np.ndarray:
-    return (hashed >> np.uint64(46)).astype(np.int64)
+class Features:
+    """Slots of the words of many texts and of their first 4 and 5 bytes, which stand for stems."""
 
+    def __init__(self) -> None:
+        self.words = Words(SEPARATORS)
 
-def fit(rows: list[np.ndarray], grades: list[int], n_grades: int, *, rate: float = 0.3, l1: float = 2e-4, epochs: int = 8, least: int = 3, seed: int = 11) -> Model:
+    def __call__(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(text, slot) of each word and stem; a text's may repeat."""
+        first, last, hashed, begin = self.words(data, ends)
+        text = np.repeat(np.arange(len(begin) - 1), np.diff(begin))
+        texts, slots = [text], [hashed]
+        for n in (4, 5):
+            long = np.flatnonzero(last - first > n)
+            stem = np.zeros(len(long), np.uint64)
+            for k in range(n):
+                stem = stem << np.uint64(8) | self.words.lower[data[first[long] + k]]
+            texts.append(text[long])
+            slots.append(mix(stem + np.uint64(n << 56)))
+        return np.concatenate(texts), (np.concatenate(slots) >> np.uint64(46)).astype(np.int64)
+
+
+def fit(rows: list[np.ndarray], grades: list[int], n_grades: int, *, rate: float = 0.3, l1: float = 0.01, epochs: int = 8, least: int = 3, seed: int = 11) -> Model:
     """Ordinal regression of ``grades`` on rows of distinct word slots."""
     grade = np.asarray(grades)
     counts = np.zeros(DIM, np.int64)
@@ -87,21 +106,21 @@ def fit(rows: list[np.ndarray], grades: list[int], n_grades: int, *, rate: float
             seen[r] += g * g
             move = rate / np.sqrt(seen[r])
             new = w[r] - move * g
-            w[r] = np.sign(new) * np.maximum(np.abs(new) - move * l1, 0)
+            w[r] = np.maximum(new - move * l1, 0)
     return Model(w, base + np.concatenate([[0.0], np.cumsum(np.exp(steps))]))
 
 
 def _slots(docs: DataFrame, kinds: str, names: list[str]) -> DataFrame:
     """The rows with the distinct word slots of their texts in place of these."""
-    words = Words(SEPARATORS)
+    read = Features()
 
     def run(batches):
         for batch in batches:
             for lo, hi in slices(batch):
                 rows = batch.slice(lo, hi - lo)
-                _, _, hashed, begin = words(*bytes_of(rows.column("text")))
-                slots = word_slots(hashed)
-                made = [np.unique(slots[a:b]) for a, b in zip(begin, begin[1:])]
+                text, slot = read(*bytes_of(rows.column("text")))
+                pairs = np.unique(text * DIM + slot)
+                made = np.split(pairs % DIM, np.searchsorted(pairs // DIM, np.arange(1, rows.num_rows)))
                 yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in names), pa.array(made, pa.list_(pa.int64()))], [*names, "slots"])
 
     return docs.select(*names, "text").mapInArrow(run, f"{kinds}, slots array<bigint>")
@@ -124,7 +143,7 @@ def score(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", text_
         return docs.select(F.col("id").alias(id_col), F.lit(None).cast("double").alias("severity"), F.lit(None).cast("double").alias("p_toxic"), F.lit(None).cast("array<double>").alias("p_grades"))
     used = np.flatnonzero(model.weights)
     shared = docs.sparkSession.sparkContext.broadcast((used, model.weights[used], model.thresholds))
-    words = Words(SEPARATORS)
+    read = Features()
 
     def run(batches):
         used, values, thresholds = shared.value
@@ -134,11 +153,9 @@ def score(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", text_
         for batch in batches:
             for lo, hi in slices(batch):
                 rows = batch.slice(lo, hi - lo)
-                _, _, hashed, begin = words(*bytes_of(rows.column("text")))
-                slots = word_slots(hashed)
-                some = np.flatnonzero(weights[slots])
-                text = np.searchsorted(begin, some, side="right") - 1
-                pairs = np.unique(text * DIM + slots[some])
+                text, slot = read(*bytes_of(rows.column("text")))
+                some = np.flatnonzero(weights[slot])
+                pairs = np.unique(text[some] * DIM + slot[some])
                 total = np.bincount(pairs // DIM, weights[pairs % DIM], rows.num_rows) if len(pairs) else np.zeros(rows.num_rows)
                 above = own.exceed(total)
                 at_least = np.hstack([np.ones((len(above), 1)), above, np.zeros((len(above), 1))])
