@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cyclarium.llm import decontaminate, language_id, packing, secret_scan, toxicity
+from cyclarium.llm import decontaminate, language_id, line_dedup, packing, secret_scan, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,11 +15,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_decontaminate": decontaminate.query,
         "op2_toxicity": toxicity.query,
         "op3_secret_scan": secret_scan.query,
+        "op5_line_dedup": line_dedup.query,
         "op6_packing": packing.query,
+        "op7_url_filter": url_filter.query,
         "op8_language_id": language_id.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL by query name."""
-    return {}
+    return {
+        "op5_line_dedup": line_dedup.ORACLE_SQL,
+        "op7_url_filter": url_filter.ORACLE_SQL,
+    }
