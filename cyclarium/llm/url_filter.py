@@ -140,10 +140,10 @@ def _level_sql(level: str, parent: str, of: str) -> str:
     prior = "(SELECT top FROM total)" if not parent else f"{parent}_post.mean"
     join = f" JOIN {parent}_post USING ({parent})" if parent else ""
     return f"""
-{level}_prior AS (SELECT {of}, {prior} AS prior FROM {level}_counts{join}),
+{level}_prior AS (SELECT {", ".join(f"{level}_counts.{c}" for c in of.split(", "))}, {prior} AS prior FROM {level}_counts{join}),
 {level}_sums AS (SELECT sum(n * power(bad / n - prior, 2)) AS scatter, sum(prior * (1 - prior)) AS chance, sum(n * prior * (1 - prior)) AS most FROM {level}_prior),
 {level}_strength AS (SELECT CASE WHEN coalesce(most, 0) = 0 THEN {STRONG} ELSE round(1 / least(greatest((scatter - chance) / greatest(most - chance, 1e-9), 1 / ({STRONG} + 1)), 1 / ({WEAK} + 1)) - 1, 6) END AS strength FROM {level}_sums),
-{level}_mean AS (SELECT {of}, (prior * strength + bad) / (strength + n) AS mean, strength + n AS pages FROM {level}_prior, {level}_strength),
+{level}_mean AS (SELECT {level}, (prior * strength + bad) / (strength + n) AS mean, strength + n AS pages FROM {level}_prior, {level}_strength),
 {level}_post AS (SELECT *, mean - {Z} * sqrt(mean * (1 - mean) / (pages + 1)) AS bound FROM {level}_mean)"""
 
 
