@@ -26,7 +26,8 @@ def shared_root(spark: SparkSession) -> str:
     if not root:
         root = f"file://{tempfile.mkdtemp(prefix='cyclarium-')}"
         spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+    at = spark._jvm.org.apache.hadoop.fs.Path(root)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString().rstrip("/")
 
 
 def shared_path(spark: SparkSession) -> str:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cyclarium.llm import decontaminate, language_id, line_dedup, packing, secret_scan, toxicity, url_filter
+from cyclarium.llm import decontaminate, embedding_dedup, language_id, line_dedup, packing, secret_scan, toxicity, url_filter, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,16 +15,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_decontaminate": decontaminate.query,
         "op2_toxicity": toxicity.query,
         "op3_secret_scan": secret_scan.query,
+        "op4_warc": warc.query,
         "op5_line_dedup": line_dedup.query,
         "op6_packing": packing.query,
         "op7_url_filter": url_filter.query,
         "op8_language_id": language_id.query,
+        "op10_embedding_dedup": embedding_dedup.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL by query name."""
     return {
+        "op4_warc": warc.ORACLE_SQL,
         "op5_line_dedup": line_dedup.ORACLE_SQL,
         "op7_url_filter": url_filter.ORACLE_SQL,
     }
