@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cyclarium.llm import decontaminate, embedding_dedup, language_id, line_dedup, packing, secret_scan, toxicity, url_filter, warc
+from cyclarium.llm import decontaminate, embedding_dedup, language_id, line_dedup, ngram_join, packing, secret_scan, toxicity, url_filter, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_packing": packing.query,
         "op7_url_filter": url_filter.query,
         "op8_language_id": language_id.query,
+        "op9_ngram_jaccard": ngram_join.query,
         "op10_embedding_dedup": embedding_dedup.query,
     }
 
