@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Modules with QUERIES and SQL.
+MODULES = ("statistics",)
+
+
+def _gather(name: str) -> dict:
+    out: dict = {}
+    for module in MODULES:
+        out |= getattr(importlib.import_module(f"cyclarium.queries.{module}"), name)
+    return out
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The query that the smoke check runs."""
@@ -14,9 +25,9 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query by name."""
-    return {}
+    return _gather("QUERIES")
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL by query name."""
-    return {}
+    return _gather("SQL")
