@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules with QUERIES and SQL.
-MODULES = ("statistics", "cleaning", "selection", "alignment")
+MODULES = ("statistics", "cleaning", "selection", "alignment", "events", "peaks")
 
 
 def _gather(name: str) -> dict:
