@@ -5,7 +5,8 @@ similarity t share at least t times the larger set, so under any global order
 of the n-grams their prefixes share some. Three orders are used: rare n-grams
 first (by a fixed-size table of counts over the whole corpus), and two orders
 by independent hashes. The first order's prefixes are indexed; they are longer
-by ``MORE`` n-grams so that a pair must share that many of them and one more.
+by ``MORE`` n-grams so that a pair must share that many of them and one more,
+at places that leave enough behind them to be shared.
 Pairs that survive must share prefix n-grams under the other two orders as
 well, and those that do are verified on the whole sets.
 
@@ -36,7 +37,7 @@ from cyclarium.llm.components import components
 #: Bytes between words.
 SEPARATORS = b"\x20\t\n\v\f\r"
 #: Slots of the table of counts (a power of two), and the n-grams by which an indexed prefix is longer.
-SLOT_BITS, MORE = 18, 3
+SLOT_BITS, MORE = 18, 1
 #: Documents (of about 100 bytes in memory) whose ids may be broadcast.
 BROADCAST_ROWS = 500_000
 ORDERS = (np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9E6C63D0876A9A35))
@@ -156,8 +157,9 @@ def detailed(docs: DataFrame, n: int, percent: int) -> DataFrame:
 def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """Those of the pairs (a, b) that share prefixes under the other orders and are similar."""
     pairs = cut(pairs)
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    known = cut(detailed(docs.join(ids, "id", "left_semi"), n, percent))
+    ids = cut(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
+    few = ids.count() <= BROADCAST_ROWS
+    known = cut(detailed(docs.join(F.broadcast(ids) if few else ids, "id", "left_semi"), n, percent))
     side = lambda x, columns: known.select(F.col("id").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in columns])
     some = pairs.join(side("a", ["second", "third"]), "a").join(side("b", ["second", "third"]), "b")
     some = some.where(F.arrays_overlap("a_second", "b_second") & F.arrays_overlap("a_third", "b_third")).select("a", "b").distinct()
@@ -177,6 +179,16 @@ def _enough(a: str, b: str, percent: int, more: int):
     return F.least(shared(a), shared(b))
 
 
+def _in_reach(a: str, b: str, place_a, place_b, percent: int, slack: int):
+    """Whether sets of sizes ``a`` and ``b`` can be similar if the (``slack`` + 1)-th n-gram that they share has these places in their orders.
+
+    What stands before the first shared n-gram in either set isn't in the
+    other, so at most the rest is shared.
+    """
+    needed = F.ceil(percent * (F.col(a) + F.col(b)) / (100 + percent))
+    return F.least(F.col(a) - place_a, F.col(b) - place_b) + slack >= needed
+
+
 def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, more: int = MORE) -> DataFrame:
     """Per document: ``id_col``, n_shingles, component_id; similar means a Jaccard similarity of ``percent`` / 100."""
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -185,24 +197,28 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n:
     classes = every.where("n > 0").groupBy(*key).agg(F.min("id").alias("rep"), F.count("*").alias("size"))
     copies = every.where("n > 0").select("id", *key).join(classes.where("size > 1"), key).where("id <> rep").select("id", "rep")
     copies = cut(copies.distinct())
-    own = cut(every.where("n > 0").join(copies.select("id"), "id", "left_anti").select("id", "n", F.explode("prefix").alias("gram")))
-    met = own.groupBy("gram").agg(F.min(F.struct("id", "n")).alias("first"), F.max("id").alias("last")).where("first.id <> last")
-    live = cut(own.join(met, "gram").select("gram", "id", "n", F.col("first.id").alias("pivot"), F.col("first.n").alias("pivot_n")))
-    near = live.where((F.col("id") != F.col("pivot")) & _similar_sizes("n", "pivot_n", percent)).groupBy("id", "n", "pivot", "pivot_n").agg(F.count("*").alias("shared")).where(F.col("shared") >= _enough("n", "pivot_n", percent, more))
+    own = cut(every.where("n > 0").join(copies.select("id"), "id", "left_anti").select("id", "n", F.posexplode("prefix").alias("place", "gram")))
+    met = own.groupBy("gram").agg(F.min(F.struct("id", "n", "place")).alias("first"), F.max("id").alias("last")).where("first.id <> last")
+    live = cut(own.join(met, "gram").select("gram", "id", "n", "place", F.col("first.id").alias("pivot"), F.col("first.n").alias("pivot_n"), F.col("first.place").alias("pivot_place")))
+    near = live.where((F.col("id") != F.col("pivot")) & _similar_sizes("n", "pivot_n", percent) & _in_reach("n", "pivot_n", F.col("place"), F.col("pivot_place"), percent, more))
+    near = near.groupBy("id", "n", "pivot", "pivot_n").agg(F.count("*").alias("shared"), F.min("place").alias("place"), F.min("pivot_place").alias("pivot_place"))
+    near = near.where((F.col("shared") >= _enough("n", "pivot_n", percent, more)) & _in_reach("n", "pivot_n", F.col("place"), F.col("pivot_place"), percent, 0))
     best = near.groupBy("id").agg(F.max_by("pivot", F.struct("shared", "pivot")).alias("pivot"))
     links = cut(verified(best.select(F.col("pivot").alias("a"), F.col("id").alias("b")), docs, n, percent))
     groups = cut(components(links))
 
     # What still meets across components.
-    known = live.select("gram", "id", "n").join(groups, "id", "left").select("gram", "id", "n", F.coalesce("component", "id").alias("group"))
+    known = live.select("gram", "id", "n", "place").join(groups, "id", "left").select("gram", "id", "n", "place", F.coalesce("component", "id").alias("group"))
     mixed = known.groupBy("gram").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("gram")
     known = cut(known.join(mixed, "gram", "left_semi"))
-    sizes = known.groupBy("gram", "group").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    x, y = (sizes.select("gram", *[F.col(c).alias(f"{c}_{k}") for c in ("group", "least", "most")]) for k in ("a", "b"))
-    meet = x.join(y, "gram").where((F.col("group_a") < F.col("group_b")) & (100 * F.col("most_a") >= percent * F.col("least_b")) & (100 * F.col("most_b") >= percent * F.col("least_a"))).select("gram", "group_a", "group_b")
-    x, y = (known.select("gram", F.col("group").alias(f"group_{k}"), F.col("id").alias(k), F.col("n").alias(f"n_{k}")) for k in ("a", "b"))
-    across = meet.join(x, ["gram", "group_a"]).join(y, ["gram", "group_b"]).where(_similar_sizes("n_a", "n_b", percent))
-    across = across.groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("shared")).where(F.col("shared") >= _enough("n_a", "n_b", percent, more))
+    sizes = known.groupBy("gram", "group").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("n") - F.col("place")).alias("rest"))
+    x, y = (sizes.select("gram", *[F.col(c).alias(f"{c}_{k}") for c in ("group", "least", "most", "rest")]) for k in ("a", "b"))
+    in_reach = F.least("rest_a", "rest_b") + more >= F.ceil(percent * (F.col("least_a") + F.col("least_b")) / (100 + percent))
+    meet = x.join(y, "gram").where((F.col("group_a") < F.col("group_b")) & (100 * F.col("most_a") >= percent * F.col("least_b")) & (100 * F.col("most_b") >= percent * F.col("least_a")) & in_reach).select("gram", "group_a", "group_b")
+    x, y = (known.select("gram", F.col("group").alias(f"group_{k}"), F.col("id").alias(k), F.col("n").alias(f"n_{k}"), F.col("place").alias(f"place_{k}")) for k in ("a", "b"))
+    across = meet.join(x, ["gram", "group_a"]).join(y, ["gram", "group_b"]).where(_similar_sizes("n_a", "n_b", percent) & _in_reach("n_a", "n_b", F.col("place_a"), F.col("place_b"), percent, more))
+    across = across.groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("shared"), F.min("place_a").alias("place_a"), F.min("place_b").alias("place_b"))
+    across = across.where((F.col("shared") >= _enough("n_a", "n_b", percent, more)) & _in_reach("n_a", "n_b", F.col("place_a"), F.col("place_b"), percent, 0))
     more_links = verified(across.select("a", "b"), docs, n, percent)
 
     all_links = links.union(more_links).union(copies.select(F.col("rep").alias("a"), F.col("id").alias("b")))
