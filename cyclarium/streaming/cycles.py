@@ -13,15 +13,20 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 KEY = ["track", "bead"]
 
 
+def _late(signals: DataFrame, late: str) -> DataFrame:
+    """A stream with its watermark, which needs timestamps with a zone; a batch as it is."""
+    return signals.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if signals.isStreaming else signals
+
+
 def windowed(signals: DataFrame, window: str = "5 minutes", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
     """Count, mean, smallest and largest value per bead and window of (track, bead, ts, z)."""
-    rows = signals.withWatermark("ts", late) if signals.isStreaming else signals
+    rows = _late(signals, late)
     return rows.groupBy(*KEY, F.window("ts", window, slide or window)).agg(F.count("z").alias("n"), F.avg("z").alias("mean"), F.min("z").alias("low"), F.max("z").alias("high"))
 
 
 def gap_cycles(signals: DataFrame, gap: str = "30 seconds", late: str = "10 minutes") -> DataFrame:
     """Cycles of each bead, parted by gaps in time."""
-    rows = signals.withWatermark("ts", late) if signals.isStreaming else signals
+    rows = _late(signals, late)
     return rows.groupBy(*KEY, F.session_window("ts", gap)).agg(F.count("z").alias("n"), F.avg("z").alias("mean"))
 
 

@@ -33,7 +33,7 @@ def test_filters_reach_the_scan(spark, tmp_path):
     simulators.simulate_tracks(spark, 3, 4).write.parquet(str(tmp_path / "t.parquet"))
     tasks = [plan.TrackReaderTask(path=str(tmp_path / "t.parquet"), key="x"), plan.DataSelectionTask(selected=(1,)), plan.DataFrameTask(measures={"mean": "mean"})]
     out = plan.run(tasks, spark=spark)
-    assert "PushedFilters: [IsNotNull(bead), EqualTo(bead,1)]" in out._jdf.queryExecution().toString() or "EqualTo(bead,1)" in out._jdf.queryExecution().toString() or "In(bead" in out._jdf.queryExecution().toString()
+    assert "EqualTo(bead,1)" in out._jdf.queryExecution().toString()
     assert [tuple(r)[:2] for r in out.collect()] == [("x", 1)]
     cached = plan.cached(tasks, str(tmp_path / "cache"), spark=spark)
     assert cached.collect() == plan.cached(tasks, str(tmp_path / "cache"), spark=spark).collect()
@@ -64,7 +64,7 @@ def test_readers(spark, tmp_path):
 
 
 def test_stream_equals_batch(spark, sf_dir, tmp_path):
-    signals = short_signals(spark, sf_dir).select("track", "bead", "ts", "z")
+    signals = short_signals(spark, sf_dir).select("track", "bead", F.col("ts").cast("timestamp").alias("ts"), "z")
     signals.repartition(3).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(signals.schema).parquet(str(tmp_path / "in"))
     query = cycles.windowed(stream, "7 days").writeStream.format("memory").queryName("windows").outputMode("complete").start()
