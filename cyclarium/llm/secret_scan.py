@@ -11,8 +11,11 @@ rejects (Bonferroni over the three) is not random.
 Short words pass such tests by chance, so false discoveries are controlled by
 length: under "ordinary text" symbols are drawn from the text's own letters,
 for which the mean and variance of the chi-squared statistic at the
-candidate's length are known exactly. The lower tail there is the p-value;
-Benjamini-Hochberg over all candidates of the document selects.
+candidate's length are known exactly; the lower tail there is one p-value. The
+other tests how many small letters, capitals, digits and signs the candidate
+has against the text's shares of them. Twice the smaller is the candidate's
+p-value, and Benjamini-Hochberg over all candidates of the document selects.
+Digits alone are numbers, and are left out.
 
 Edge cases: null texts are empty; empty texts have no findings and the digest
 of the empty string; whole texts are read, however long; repeated rows are
@@ -73,7 +76,7 @@ def chi_squared_tail(x: float, df: int) -> float:
 def encoding(token: str) -> str | None:
     """The narrowest alphabet that holds the token."""
     used = set(token)
-    return next((name for name, chars in SETS.items() if used <= chars), None)
+    return None if token.isdigit() else next((name for name, chars in SETS.items() if used <= chars), None)
 
 
 def battery(symbols: list[int], k: int) -> tuple[float, float, float]:
@@ -114,6 +117,22 @@ def ordinary_tail(symbols: list[int], shares: list[float]) -> float:
     return upper_tail((pairs * two - seen) / math.sqrt(max(var, 1e-12)))
 
 
+def kinds(counts: Counter) -> list[int]:
+    """Small letters, capitals, digits and signs among counted characters."""
+    out = [0, 0, 0, 0]
+    for c, n in counts.items():
+        out[0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3] += n
+    return out
+
+
+def kinds_tail(token: str, usual: list[int]) -> float:
+    """P of kinds of characters as odd as the token's in a text with the ``usual`` ones; capitals alone count as small."""
+    own = kinds(Counter(token.lower() if token.upper() == token else token))
+    total = sum(usual) + 4
+    expected = [max(1.0, len(token) * (u + 1) / total) for u in usual]
+    return chi_squared_tail(sum((o - e) ** 2 / e for o, e in zip(own, expected) if o > e), 3)
+
+
 def random_spans(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int, str]]:
     """Spans that the battery finds outside of ``taken``, with their encodings."""
     found, letters = [], None
@@ -127,11 +146,13 @@ def random_spans(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int
             continue
         if letters is None:
             letters = Counter(text)
+            usual = kinds(Counter({c: n for c, n in letters.items() if not c.isspace()}))
         index = INDEX[name]
         symbols, k = [index[c] for c in token], len(index)
         total = sum(letters[c] for c in index) + k
         shares = [(letters[c] + 1) / total for c in index]
-        found.append((ordinary_tail(symbols, shares), min(1.0, 3 * min(battery(symbols, k))), start, stop, name))
+        p = min(1.0, 2 * min(ordinary_tail(symbols, shares), kinds_tail(token, usual)))
+        found.append((p, min(1.0, 3 * min(battery(symbols, k))), start, stop, name))
     found.sort()
     last = max((i for i, x in enumerate(found, 1) if x[0] <= FDR * i / len(found)), default=0)
     return sorted((start, stop, name) for p, p_random, start, stop, name in found[:last] if p_random >= ALPHA)
