@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -35,17 +36,36 @@ def shared_path(spark: SparkSession) -> str:
     return f"{shared_root(spark)}/cyclarium/{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
+#: Open scopes, the innermost last: what each is to delete.
+_SCOPES: list[list[DataFrame]] = []
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[None]:
+    """What is cut inside is deleted at the end, but for cuts made for the outside."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for df in _SCOPES.pop():
+            drop_cut(df)
+
+
+def cut(df: DataFrame, outside: bool = False) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     Cuts the lineage: a lost executor costs at most the stages since the last
-    cut, and nothing stays in an executor's own memory or disk.
+    cut, and nothing stays in an executor's own memory or disk. Within a
+    ``scratch`` the files live as long as that, or as the scope around it if
+    they are for the outside.
     """
     spark = df.sparkSession
     path = shared_path(spark)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cyclarium_path = path
+    if len(_SCOPES) > outside:
+        _SCOPES[-1 - outside].append(out)
     return out
 
 
@@ -53,6 +73,7 @@ def drop_cut(df: DataFrame) -> None:
     """Delete what ``cut`` wrote, once nothing reads it any more."""
     path = getattr(df, "_cyclarium_path", None)
     if path:
+        df._cyclarium_path = None
         spark = df.sparkSession
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cyclarium.llm._common import cut, drop_cut
+from cyclarium.llm._common import cut, drop_cut, scratch
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -34,6 +34,11 @@ def components(edges: DataFrame) -> DataFrame:
     are shuffled, and a hub's edges can be split by the join. Self-loops,
     repeated edges and edges with a null end are ignored.
     """
+    with scratch():
+        return cut(_components(edges), outside=True)
+
+
+def _components(edges: DataFrame) -> DataFrame:
     edges = cut(edges.select("a", "b").where("a <> b").distinct())
     mark = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     while True:

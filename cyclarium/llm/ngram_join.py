@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cyclarium.llm._common import Words, bytes_of, cut, mix, ranges, slices, table
+from cyclarium.llm._common import Words, bytes_of, cut, drop_cut, mix, ranges, scratch, slices, table
 from cyclarium.llm.components import components
 
 #: Bytes between words.
@@ -156,6 +156,11 @@ def detailed(docs: DataFrame, n: int, percent: int) -> DataFrame:
 
 def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """Those of the pairs (a, b) that share prefixes under the other orders and are similar."""
+    with scratch():
+        return cut(_verified(pairs, docs, n, percent), outside=True)
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     pairs = cut(pairs)
     ids = cut(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
     few = ids.count() <= BROADCAST_ROWS
@@ -191,6 +196,11 @@ def _in_reach(a: str, b: str, place_a, place_b, percent: int, slack: int):
 
 def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, more: int = MORE) -> DataFrame:
     """Per document: ``id_col``, n_shingles, component_id; similar means a Jaccard similarity of ``percent`` / 100."""
+    with scratch():
+        return cut(_joined(docs, id_col, text_col, n, percent, more), outside=True)
+
+
+def _joined(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int, more: int) -> DataFrame:
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     every = cut(described(docs, n, percent, more))
     key = ["n", "s", "r"]
@@ -203,14 +213,16 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n:
     near = live.where((F.col("id") != F.col("pivot")) & _similar_sizes("n", "pivot_n", percent) & _in_reach("n", "pivot_n", F.col("place"), F.col("pivot_place"), percent, more))
     near = near.groupBy("id", "n", "pivot", "pivot_n").agg(F.count("*").alias("shared"), F.min("place").alias("place"), F.min("pivot_place").alias("pivot_place"))
     near = near.where((F.col("shared") >= _enough("n", "pivot_n", percent, more)) & _in_reach("n", "pivot_n", F.col("place"), F.col("pivot_place"), percent, 0))
+    drop_cut(own)
     best = near.groupBy("id").agg(F.max_by("pivot", F.struct("shared", "pivot")).alias("pivot"))
-    links = cut(verified(best.select(F.col("pivot").alias("a"), F.col("id").alias("b")), docs, n, percent))
-    groups = cut(components(links))
+    links = verified(best.select(F.col("pivot").alias("a"), F.col("id").alias("b")), docs, n, percent)
+    groups = components(links)
 
     # What still meets across components.
     known = live.select("gram", "id", "n", "place").join(groups, "id", "left").select("gram", "id", "n", "place", F.coalesce("component", "id").alias("group"))
     mixed = known.groupBy("gram").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("gram")
     known = cut(known.join(mixed, "gram", "left_semi"))
+    drop_cut(live)
     sizes = known.groupBy("gram", "group").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("n") - F.col("place")).alias("rest"))
     x, y = (sizes.select("gram", *[F.col(c).alias(f"{c}_{k}") for c in ("group", "least", "most", "rest")]) for k in ("a", "b"))
     in_reach = F.least("rest_a", "rest_b") + more >= F.ceil(percent * (F.col("least_a") + F.col("least_b")) / (100 + percent))
@@ -222,18 +234,20 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n:
     more_links = verified(across.select("a", "b"), docs, n, percent)
 
     all_links = links.union(more_links).union(copies.select(F.col("rep").alias("a"), F.col("id").alias("b")))
-    found = cut(components(all_links))
+    found = components(all_links)
     out = every.select("id", "n").join(found, "id", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """The documents with the smallest id of each component; rows with a null id all stay, of rows with equal ids one."""
-    judged = cut(join(docs, id_col=id_col, text_col=text_col, n=n, percent=percent))
-    gone = cut(judged.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct())
+    with scratch():
+        judged = join(docs, id_col=id_col, text_col=text_col, n=n, percent=percent)
+        gone = cut(judged.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct(), outside=True)
+        unique = judged.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").isEmpty()
     few = gone.count() <= broadcast_rows
     kept = docs.join(F.broadcast(gone) if few else gone, id_col, "left_anti").select(*docs.columns)
-    if judged.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").isEmpty():
+    if unique:
         return kept
     return kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).union(kept.where(F.col(id_col).isNull()))
 
