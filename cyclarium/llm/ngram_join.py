@@ -38,6 +38,8 @@ from cyclarium.llm.components import components
 SEPARATORS = b"\x20\t\n\v\f\r"
 #: Slots of the table of counts (a power of two), and the n-grams by which an indexed prefix is longer.
 SLOT_BITS, MORE = 18, 1
+#: Classes of a set's tally.
+TALLY = 256
 #: Documents (of about 100 bytes in memory) whose ids may be broadcast.
 BROADCAST_ROWS = 500_000
 ORDERS = (np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9E6C63D0876A9A35))
@@ -139,7 +141,11 @@ def described(docs: DataFrame, n: int, percent: int, more: int) -> DataFrame:
 
 
 def detailed(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Per row of (id, text): id, the prefixes under the other orders, and the whole set."""
+    """Per row of (id, text): id, the prefixes under the other orders, the set's tally, and the whole set.
+
+    The tally counts a set's n-grams in ``TALLY`` classes by hash. Two sets
+    share at most the sum of the smaller counts.
+    """
     kind = docs.schema["id"].dataType.simpleString()
     grams = Grams(n)
 
@@ -149,9 +155,10 @@ def detailed(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 rows = batch.slice(lo, hi - lo)
                 sets = grams.sets(*bytes_of(rows.column("text")))
                 others = [[x[np.argsort(mix(x ^ o))[: prefix_size(len(x), percent, 0)]] for x in sets] for o in ORDERS]
-                yield pa.RecordBatch.from_arrays([rows.column("id"), *map(_lists, others), _lists(sets)], ["id", "second", "third", "grams"])
+                tallies = pa.array([np.bincount((x >> np.uint64(8)).astype(np.int64) % TALLY, minlength=TALLY) for x in sets], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([rows.column("id"), *map(_lists, others), tallies, _lists(sets)], ["id", "second", "third", "tally", "grams"])
 
-    return docs.mapInArrow(run, f"id {kind}, second array<bigint>, third array<bigint>, grams array<bigint>")
+    return docs.mapInArrow(run, f"id {kind}, second array<bigint>, third array<bigint>, tally array<int>, grams array<bigint>")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -165,10 +172,16 @@ def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFr
     ids = cut(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
     few = ids.count() <= BROADCAST_ROWS
     known = cut(detailed(docs.join(F.broadcast(ids) if few else ids, "id", "left_semi"), n, percent))
-    side = lambda x, columns: known.select(F.col("id").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in columns])
-    some = pairs.join(side("a", ["second", "third"]), "a").join(side("b", ["second", "third"]), "b")
-    some = some.where(F.arrays_overlap("a_second", "b_second") & F.arrays_overlap("a_third", "b_third")).select("a", "b").distinct()
-    both = some.join(side("a", ["grams"]), "a").join(side("b", ["grams"]), "b")
+    side = lambda x, columns, of=known: of.select(F.col("id").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in columns])
+    columns = ["second", "third", "tally"]
+    some = pairs.join(side("a", columns), "a").join(side("b", columns), "b")
+    total = lambda x: F.aggregate(x, F.lit(0), lambda m, v: m + v)
+    at_most = total(F.zip_with("a_tally", "b_tally", lambda p, q: F.least(p, q)))
+    possible = 100 * at_most >= percent * (total(F.col("a_tally")) + total(F.col("b_tally")) - at_most)
+    some = cut(some.where(F.arrays_overlap("a_second", "b_second") & F.arrays_overlap("a_third", "b_third") & possible).select("a", "b").distinct())
+    left = cut(some.select(F.col("a").alias("id")).union(some.select(F.col("b").alias("id"))).distinct())
+    known = known.join(F.broadcast(left) if few else left, "id", "left_semi")
+    both = some.join(side("a", ["grams"], known), "a").join(side("b", ["grams"], known), "b")
     shared = F.size(F.array_intersect("a_grams", "b_grams"))
     every = F.size("a_grams") + F.size("b_grams") - shared
     return both.where(100 * shared >= percent * every).select("a", "b").distinct()
