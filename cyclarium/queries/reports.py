@@ -29,7 +29,7 @@ def _status(s, d):
 def _experiments(s, d):
     rows = read(s, d, "orders").where("o_orderkey % 5 = 0")
     oligo = F.translate(F.lower(F.substring("o_orderpriority", 3, 4)), "abcdefghijklmnopqrstuvwxyz .", "acgtacgtacgtacgtacgtacgtacac")
-    return rows.select((F.col("o_custkey") % 20).alias("bead"), F.date_format("o_orderdate", "yyyy-MM").alias("track"), oligo.alias("oligo"), F.date_trunc("month", "o_orderdate").alias("modification"), F.round(F.col("o_totalprice") / 1000, 2).alias("position"), (F.col("o_orderkey") % 17).alias("count"))
+    return rows.select((F.col("o_custkey") % 20).alias("bead"), F.date_format("o_orderdate", "yyyy-MM").alias("track"), oligo.alias("oligo"), F.date_trunc("month", "o_orderdate").alias("modification"), (F.floor(F.col("o_totalprice") / 10) / 100).alias("position"), (F.col("o_orderkey") % 17).alias("count"))
 
 
 def _identified(s, d):
@@ -74,7 +74,7 @@ SELECT bead, round(first(q25), 9) AS q25, round(first(m), 9) AS median, round(fi
     "status_pivot": f"WITH {_ST} SELECT track, {', '.join(f'''count_if(status = '{x}') AS s{x}''' for x in '12345')} FROM status GROUP BY track",
     "status_flow": f"WITH {_ST}, n AS (SELECT *, lead(track) OVER w AS next_track, lead(status) OVER w AS next_status FROM status WINDOW w AS (PARTITION BY bead ORDER BY modification, track)) SELECT track, status, next_track, next_status, count(*) AS beads FROM n WHERE next_track IS NOT NULL GROUP BY ALL",
     "status_evolution": f"WITH {_ST}, n AS (SELECT modification, track, status, count(*) AS beads FROM status GROUP BY ALL) SELECT track, status, beads, round(beads * 100 / sum(beads) OVER (PARTITION BY modification, track), 9) AS percent, strftime(modification, '%d %H:%M') AS label FROM n",
-    "carry_over": """WITH x AS (SELECT o_custkey % 20 AS bead, strftime(o_orderdate, '%Y-%m') AS track, translate(lower(substr(o_orderpriority, 3, 4)), 'abcdefghijklmnopqrstuvwxyz .', 'acgtacgtacgtacgtacgtacgtacac') AS oligo, date_trunc('month', o_orderdate) AS modification, round(o_totalprice / 1000, 2) AS position, o_orderkey % 17 AS count FROM orders WHERE o_orderkey % 5 = 0),
+    "carry_over": """WITH x AS (SELECT o_custkey % 20 AS bead, strftime(o_orderdate, '%Y-%m') AS track, translate(lower(substr(o_orderpriority, 3, 4)), 'abcdefghijklmnopqrstuvwxyz .', 'acgtacgtacgtacgtacgtacgtacac') AS oligo, date_trunc('month', o_orderdate) AS modification, floor(o_totalprice / 10) / 100 AS position, o_orderkey % 17 AS count FROM orders WHERE o_orderkey % 5 = 0),
 t AS (SELECT *, dense_rank() OVER (PARTITION BY bead ORDER BY modification) AS t FROM x) SELECT a.bead, a.track, a.oligo, a.position, a.count, b.track AS next_track, b.oligo AS next_oligo, b.position AS next_position, b.count AS next_count FROM t a JOIN t b ON a.bead = b.bead AND b.t = a.t + 1
 WHERE abs(a.position - b.position) < 20 AND right(a.oligo, 2) <> left(b.oligo, 2) AND left(a.oligo, 2) <> right(b.oligo, 2) AND b.count <= 0.6::DOUBLE * a.count""",
     "confusion": f"""WITH {_NEAR}, f AS (SELECT bead, count(closest) AS TP, count(*) - count(closest) AS FP FROM points LEFT JOIN near USING (bead, position) GROUP BY bead), m AS (SELECT bead, count(*) AS FN FROM targets ANTI JOIN (SELECT DISTINCT bead, closest AS target FROM near) AS seen USING (bead, target) GROUP BY bead)

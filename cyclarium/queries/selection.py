@@ -20,11 +20,11 @@ def _names(s, d):
 
 
 def _points(s, d):
-    return read(s, d, "orders").select((F.col("o_custkey") % 50).alias("bead"), F.round(F.col("o_totalprice") / 1000, 2).alias("position")).distinct()
+    return read(s, d, "orders").select((F.col("o_custkey") % 50).alias("bead"), (F.floor(F.col("o_totalprice") / 10) / 100).alias("position")).distinct()
 
 
 def _targets(s, d):
-    return read(s, d, "part").select((F.col("p_partkey") % 50).alias("bead"), F.round(F.col("p_retailprice") / 5, 2).alias("target")).distinct()
+    return read(s, d, "part").select((F.col("p_partkey") % 50).alias("bead"), (F.floor(F.col("p_retailprice") * 20) / 100).alias("target")).distinct()
 
 
 def _secondaries(s, d):
@@ -65,7 +65,7 @@ _W = "WITH " + FRAMES_SQL
 _C = ", ".join(_K)
 _PAIRS = "pairs AS (SELECT DISTINCT o_custkey % 100 + 1 AS bead, 'lineitem' AS track, o_orderkey % 12 AS cycle FROM orders)"
 _NAMES = "names AS (SELECT DISTINCT 'exp_' || replace(p_name, ' ', '_') AS track FROM part)"
-_NEAR = """points AS (SELECT DISTINCT o_custkey % 50 AS bead, round(o_totalprice / 1000, 2) AS position FROM orders), targets AS (SELECT DISTINCT p_partkey % 50 AS bead, round(p_retailprice / 5, 2) AS target FROM part),
+_NEAR = """points AS (SELECT DISTINCT o_custkey % 50 AS bead, floor(o_totalprice / 10) / 100 AS position FROM orders), targets AS (SELECT DISTINCT p_partkey % 50 AS bead, floor(p_retailprice * 20) / 100 AS target FROM part),
 near AS (SELECT bead, position, arg_min(target, (abs(position - target), target)) AS closest FROM points JOIN targets USING (bead) WHERE abs(position - target) < 2 GROUP BY ALL),
 back AS (SELECT bead, target, arg_min(position, (abs(target - position), position)) AS position FROM points JOIN targets USING (bead) WHERE abs(target - position) < 2 GROUP BY ALL),
 mutual AS (SELECT near.bead, near.position, closest AS target FROM near JOIN back ON near.bead = back.bead AND near.closest = back.target AND near.position = back.position)"""
