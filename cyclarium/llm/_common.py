@@ -79,7 +79,7 @@ def drop_cut(df: DataFrame) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", limit: int = 2 << 20) -> Iterator[tuple[int, int]]:
+def slices(batch: pa.RecordBatch, column: str = "text", limit: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Row ranges of ``batch`` with at most ``limit`` bytes of ``column`` (one row may be longer)."""
     ends = offsets_of(batch.column(batch.schema.get_field_index(column)))
     start, n = 0, batch.num_rows
