@@ -37,12 +37,14 @@ from cyclarium.llm._common import cut, slices, table
 
 CAPACITY, TAIL = 1024, 256
 #: Pieces in a block on average, and distinct words whose ids a worker keeps.
-BLOCK, CACHED = 8192, 1_000_000
+BLOCK, CACHED = 8192, 600_000
 VOCABULARY = "byte_bpe_50k.json"
 #: A text with this string is encoded whole, as it may be a token of its own.
 SPECIAL = "<|endoftext|>"
 #: A word with the space before it begins a new unit of the tokenizer wherever a single space precedes a non-space.
 SPACED = re.compile(r" (?=\S)")
+#: A space before white space or the end; without any, every space begins a unit.
+UNEVEN = re.compile(r" (?!\S)")
 #: Units of the tokenizer: a fixed pattern of this vocabulary.
 UNIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Byte-level vocabularies write each byte as a visible character: itself if it is one, else the next from U+0100 on.
@@ -63,6 +65,7 @@ class Encoder(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        self.spaced = Spaced(self)
 
     def _ids(self, word: str) -> bytes:
         """Ids of a word: of its units in turn, each of which goes straight to the merges."""
@@ -78,12 +81,30 @@ class Encoder(dict):
         self[word] = ids
         return ids
 
+    def clear(self) -> None:
+        super().clear()
+        self.spaced.clear()
+
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids of a text."""
         if SPECIAL in text:
             return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-        first, *rest = SPACED.split(text)
-        return self[first] + b"".join(map(self.__getitem__, [" " + w for w in rest]))
+        first, *rest = SPACED.split(text) if UNEVEN.search(text) else text.split(" ")
+        return self[first] + b"".join(map(self.spaced.__getitem__, rest))
+
+
+class Spaced(dict):
+    """Ids of words with a space before them, by the words without it."""
+
+    def __init__(self, encoder: Encoder) -> None:
+        self.encoder = encoder
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.encoder._ids(" " + word)
+        if len(self) >= CACHED:
+            self.clear()
+        self[word] = ids
+        return ids
 
 
 #: Encoders of this worker by path; they outlive a task.
