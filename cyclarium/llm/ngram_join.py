@@ -268,3 +268,16 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op9_ngram_jaccard: components of all documents by their 3-word shingles at 0.9."""
     return join(table(spark, sf_dir, "documents"), n=3, percent=90)
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE docs AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+starts AS (SELECT doc_id, w, least(len(w), 3) AS n, unnest(range(1, len(w) - least(len(w), 3) + 2)) AS k FROM docs WHERE len(w) > 0),
+grams AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + n - 1], ' ') AS gram FROM starts),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM grams AS x JOIN grams AS y ON x.gram = y.gram AND x.doc_id <> y.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM pairs JOIN sizes AS p ON p.doc_id = a JOIN sizes AS q ON q.doc_id = b WHERE 100 * shared >= 90 * (p.n + q.n - shared)),
+reached AS (SELECT a, b FROM links UNION SELECT reached.a, links.b FROM reached JOIN links ON reached.b = links.a)
+SELECT docs.doc_id AS doc_id, coalesce(n, 0) AS n_shingles, least(docs.doc_id, coalesce(low, docs.doc_id)) AS component_id
+FROM docs LEFT JOIN sizes ON sizes.doc_id = docs.doc_id LEFT JOIN (SELECT a, min(b) AS low FROM reached GROUP BY a) AS lows ON lows.a = docs.doc_id
+"""

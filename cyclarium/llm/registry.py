@@ -28,7 +28,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL by query name."""
     return {
+        "op1_decontaminate": decontaminate.ORACLE_SQL,
         "op4_warc": warc.ORACLE_SQL,
         "op5_line_dedup": line_dedup.ORACLE_SQL,
         "op7_url_filter": url_filter.ORACLE_SQL,
+        "op9_ngram_jaccard": ngram_join.ORACLE_SQL,
     }
