@@ -35,12 +35,10 @@ def flag(values: np.ndarray, peaks: np.ndarray, window: float, least: int = 3) -
     return np.where((ids >= 0) & (count[np.maximum(ids, 0)] < least), -1, ids)
 
 
-def mixture(z: np.ndarray, t: np.ndarray, k: int, *, tries: int = 200, tolerance: float = 1e-5, floor: float = 1e-5, seed: int = 0) -> tuple[np.ndarray, np.ndarray, float]:
+def mixture(z: np.ndarray, t: np.ndarray, k: int, *, tries: int = 200, tolerance: float = 1e-5, floor: float = 1e-5) -> tuple[np.ndarray, np.ndarray, float]:
     """EM of ``k`` gaussians of z times exponentials of the duration t: (weight, mean, sigma, scale) rows, responsibilities, BIC."""
-    rng = np.random.default_rng(seed)
     centres = np.quantile(z, (np.arange(k) + 0.5) / k) if k > 1 else np.array([z.mean()])
     par = np.column_stack([np.full(k, 1 / k), centres, np.full(k, max(z.std() / k, floor)), np.full(k, max(t.mean(), floor))])
-    del rng
     last = -np.inf
     for _ in range(tries):
         w, m, s, d = par.T

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from cyclarium.functions.signal import round9
 from cyclarium.plans import tasks as plan
-
 from cyclarium.sources.fixtures import FRAMES_SQL, SIGNALS_SQL, frames, short_signals
 from cyclarium.sources.simulators import simulate_tracks
 from cyclarium.streaming import cycles as op
