@@ -24,8 +24,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the boilerplate lines of their source."""
-    cleaned = line_dedup.clean(docs)
+    """Documents without the boilerplate lines of their source; exact copies count as one page, and one of them is kept later."""
+    cleaned = line_dedup.clean(docs, copies_count=False)
     chars = {"n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
     return cleaned.withColumns(chars).select(*docs.columns)
 

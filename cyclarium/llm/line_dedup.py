@@ -13,7 +13,9 @@ instead, which gives the same texts.
 
 Edge cases: null texts stay null with no lines; pages without a host are left
 as they are; blank lines are always kept; a page of which every line goes stays
-with an empty text; repeated rows count as pages each; other columns stay.
+with an empty text; repeated rows count as pages each, as in the SQL, unless
+``copies_count`` is false: then a host's rows with equal texts are one page, so
+that copies of a page can't make its lines boilerplate. Other columns stay.
 """
 
 from __future__ import annotations
@@ -32,18 +34,24 @@ def _key(line: Column) -> Column:
     return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit("second"), line).alias("b"))
 
 
-def boilerplate(pages: DataFrame, *, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def boilerplate(pages: DataFrame, *, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, copies_count: bool = True) -> DataFrame:
     """(host, line): keys of the lines on more than ``ratio`` of a host's pages, and on ``min_pages`` at least."""
     pages = pages.where(F.col(host_col).isNotNull()).select(F.col(host_col).cast("string").alias("host"), F.col(text_col).cast("string").alias("text"))
-    lines = pages.select("host", F.explode(F.array_distinct(F.split("text", "\n"))).alias("line")).where(F.trim("line") != "")
-    counts = lines.select("host", _key(F.col("line")).alias("line")).groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
+    if copies_count:
+        lines = pages.select("host", F.explode(F.array_distinct(F.split("text", "\n"))).alias("line")).where(F.trim("line") != "").select("host", _key(F.col("line")).alias("line"))
+    else:
+        own = F.filter(F.array_distinct(F.split("text", "\n")), lambda x: F.trim(x) != "")
+        pages = pages.select("host", _key(F.col("text")).alias("page"), F.transform(own, _key).alias("lines"))
+        lines = pages.dropDuplicates(["host", "page"]).select("host", F.explode("lines").alias("line"))
+        pages = pages.select("host", "page").distinct()
+    counts = lines.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
     totals = pages.groupBy("host").agg(F.count("*").alias("total"))
     return counts.join(totals, "host").where(F.col("n") > ratio * F.col("total")).select("host", "line")
 
 
-def clean(pages: DataFrame, *, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def clean(pages: DataFrame, *, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, copies_count: bool = True, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """The pages without boilerplate lines, and ``n_lines`` and ``n_dropped``, which replace columns of these names."""
-    found = cut(boilerplate(pages, host_col=host_col, text_col=text_col, ratio=ratio, min_pages=min_pages))
+    found = cut(boilerplate(pages, host_col=host_col, text_col=text_col, ratio=ratio, min_pages=min_pages, copies_count=copies_count))
     pages = pages.drop("n_lines", "n_dropped", "_host", "_drop", "_row", "_kept")
     columns = pages.columns
     pages = pages.withColumn("_host", F.col(host_col).cast("string"))

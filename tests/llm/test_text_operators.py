@@ -165,3 +165,18 @@ def test_line_dedup(spark, sf_dir):
         assert ("own 3\n", 2) in got[3] and ("", 1) in got[5]
         assert got[20] == [(None, 0)] and got[21] == [("", 0)] and got[22] == [("foot", 0)] and got[23] == [("foot", 0)]
     assert line_dedup.clean(pages.limit(0)).count() == 0
+
+
+def test_copies_of_a_page_are_no_boilerplate(spark):
+    import corpus_pipeline
+
+    copy = "this page was copied\nwith all of its words again and again\nfoot"
+    rows = [(i, copy if i < 10 else f"page {i} stands alone\nand says {i * i}\nfoot", "en", "s", 0) for i in range(30)]
+    rows += [(40 + i, "three of a kind here", "en", "small", 0) for i in range(3)] + [(50, None, "en", "small", 0)]
+    docs = spark.createDataFrame(rows, DOCS)
+    out = {r.doc_id: r.text for r in corpus_pipeline.near_duplicates(spark, corpus_pipeline.lines(spark, docs, ""), "").collect()}
+    assert out[0] == copy.removesuffix("\nfoot") and out[40] == "three of a kind here" and out[50] is None
+    assert out.keys() == {0, *range(10, 30), 40, 50}
+    assert all(out[i] == f"page {i} stands alone\nand says {i * i}" for i in range(10, 30))
+    counted = {r.doc_id: r.text for r in line_dedup.clean(docs).collect()}
+    assert counted[0] == counted[40] == ""
