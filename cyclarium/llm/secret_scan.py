@@ -1,9 +1,10 @@
 """Secret scans: fixed patterns, and a battery of randomness tests.
 
 Three patterns give the base findings. Every other run of encoding characters
-of at least ``MIN_LENGTH`` is a candidate. Its encoding (hexadecimal, base 32,
-letters, letters and digits, base 64) is inferred from the characters in it,
-and three tests ask whether its symbols look drawn evenly and independently
+of at least ``MIN_LENGTH`` is a candidate, or its parts where no alphabet holds
+it all (``KEY=value``, dashed names in paths). Its encoding (hexadecimal, base
+32, letters, letters and digits, base 64) is inferred from the characters in
+it, and three tests ask whether its symbols look drawn evenly and independently
 from that alphabet: chi-squared uniformity, Wald-Wolfowitz runs about the
 median symbol, and lag-1 serial correlation. A candidate that any of them
 rejects (Bonferroni over the three) is not random.
@@ -44,6 +45,9 @@ MIN_ASSIGN, MIN_ACCESS = 6, 20
 #: Candidates of the battery.
 MIN_LENGTH = 20
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+BETWEEN = re.compile(r"[^=]{20,}")
+#: Runs of the signs that one alphabet joins.
+JOINED = (re.compile(r"[A-Za-z0-9+/]{20,}"), re.compile(r"[A-Za-z0-9_-]{20,}"))
 #: Level of the tests for randomness, and of false discoveries in a document.
 ALPHA, FDR = 0.001, 0.02
 #: Alphabets by name, the narrowest first: fixed values.
@@ -133,29 +137,46 @@ def kinds_tail(token: str, usual: list[int]) -> float:
     return chi_squared_tail(sum((o - e) ** 2 / e for o, e in zip(own, expected) if o > e), 3)
 
 
+def parts(text: str, start: int, stop: int) -> list[tuple[int, int, str]]:
+    """What of the run is tested, with its encoding: all of it, or its parts where no alphabet holds it.
+
+    Parts lie between "=" and, where "+" or "/" stand with "-" or "_", are the
+    runs without the ones and the runs without the others.
+    """
+    out = []
+    for m in BETWEEN.finditer(text, start, stop):
+        if name := encoding(m[0]):
+            out.append((m.start(), m.end(), name))
+        else:
+            runs = {(r.start(), r.end()) for signs in JOINED for r in signs.finditer(text, m.start(), m.end())}
+            out += [(x, y, name) for x, y in sorted(runs) if (name := encoding(text[x:y]))]
+    return [x for x in out if x[1] - x[0] >= MIN_LENGTH]
+
+
 def random_spans(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int, str]]:
-    """Spans that the battery finds outside of ``taken``, with their encodings."""
+    """Spans that the battery finds outside of ``taken``, with their encodings; of those that overlap the one least like ordinary text."""
     found, letters = [], None
     for m in CANDIDATE.finditer(text):
-        if any(m.start() < b and a < m.end() for a, b in taken):
-            continue
-        start, stop = m.start(), m.end() - (len(m[0]) - len(m[0].rstrip("=")))
-        token = text[start:stop]
-        name = encoding(token)
-        if name is None or stop - start < MIN_LENGTH:
-            continue
-        if letters is None:
-            letters = Counter(text)
-            usual = kinds(Counter({c: n for c, n in letters.items() if not c.isspace()}))
-        index = INDEX[name]
-        symbols, k = [index[c] for c in token], len(index)
-        total = sum(letters[c] for c in index) + k
-        shares = [(letters[c] + 1) / total for c in index]
-        p = min(1.0, 2 * min(ordinary_tail(symbols, shares), kinds_tail(token, usual)))
-        found.append((p, min(1.0, 3 * min(battery(symbols, k))), start, stop, name))
+        for start, stop, name in parts(text, m.start(), m.end()):
+            if any(start < b and a < stop for a, b in taken):
+                continue
+            token = text[start:stop]
+            if letters is None:
+                letters = Counter(text)
+                usual = kinds(Counter({c: n for c, n in letters.items() if not c.isspace()}))
+            index = INDEX[name]
+            symbols, k = [index[c] for c in token], len(index)
+            total = sum(letters[c] for c in index) + k
+            shares = [(letters[c] + 1) / total for c in index]
+            p = min(1.0, 2 * min(ordinary_tail(symbols, shares), kinds_tail(token, usual)))
+            found.append((p, min(1.0, 3 * min(battery(symbols, k))), start, stop, name))
     found.sort()
     last = max((i for i, x in enumerate(found, 1) if x[0] <= FDR * i / len(found)), default=0)
-    return sorted((start, stop, name) for p, p_random, start, stop, name in found[:last] if p_random >= ALPHA)
+    out: list[tuple[int, int, str]] = []
+    for _, p_random, start, stop, name in found[:last]:
+        if p_random >= ALPHA and not any(start < b and a < stop for a, b, _ in out):
+            out.append((start, stop, name))
+    return sorted(out)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:

@@ -105,6 +105,33 @@ def test_secrets_battery():
     assert min(secret_scan.battery([0, 1] * 100, 16)) < 1e-6
 
 
+@pytest.mark.parametrize("before", ["AWS_KEY=", "id=", "host/my-app/", "https_//host/my-app?sig=", "a_b=c/d-e/f="])
+@pytest.mark.parametrize("after", ["", "=", "==&x=1"])
+def test_secrets_behind_names_and_paths(before, after):
+    import random
+
+    random.seed(5)
+    plain = "the quick brown foxes were jumping over many lazy dogs and internationalisation misunderstandings " * 5
+    hits = 0
+    for _ in range(30):
+        secret = "".join(random.choices(secret_scan.ALPHABETS["base62"], k=40))
+        found = [(a, b) for a, k, b, _ in secret_scan.find(plain + before + secret + after + " end") if k == 3]
+        assert found == sorted(found) and all(x[1] <= y[0] for x, y in zip(found, found[1:]))
+        at = len(plain + before)
+        hits += (at, at + 40) in found
+    assert hits >= 24
+
+
+def test_secret_parts():
+    longer, other = "aB3" * 10, "Zy9" * 8
+    cut = lambda t: [t[a:b] for a, b, _ in secret_scan.parts(t, 0, len(t))]
+    assert cut(longer) == cut(longer + "==") == cut("K=" + longer) == [longer]
+    assert cut(longer + "=" + other) == [longer, other]
+    assert cut("my-app/" + longer + "/x") == ["app/" + longer + "/x", longer]
+    assert cut("1" * 30) == cut("a=b") == []
+    assert secret_scan.find("deadbeef" * 4 + "=" + "é") == [(0, 2, 32, "")]
+
+
 def test_redact(spark):
     docs = spark.createDataFrame([(1, "my token = abcdef123 and " + "0f" * 20 + "!"), (2, None), (3, "fine")], "doc_id bigint, text string")
     out = {r.doc_id: r.text for r in secret_scan.redact(docs).collect()}
