@@ -18,11 +18,13 @@ judged alike, each row by itself; other columns pass through untouched.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cyclarium.llm._common import Words, bytes_of, cut, drop_cut, slices, table
 
@@ -269,42 +271,88 @@ def merged(spans: list[tuple]) -> list[tuple]:
     return [tuple(x) for x in out]
 
 
+def without(text: str, spans: list[tuple]) -> str:
+    """The text without the bytes of hit ranges that are in order and apart."""
+    raw = text.encode()
+    for start, stop, _, _ in reversed(spans):
+        raw = raw[:start] + raw[stop:]
+    return raw.decode()
+
+
+def _remover(shared, text_col: str, earlier: bool, last: bool, alone: bool, most: float, mark: str = ""):
+    """The function for mapInArrow that adds one automaton's hit ranges to the ``earlier`` ones.
+
+    The ``last`` automaton's pass drops texts with more than ``most`` of their
+    words hit and cuts the hits from the others; if it is not ``alone`` it tells
+    which texts to read again, else it reads them itself. ``mark`` is the added column.
+    """
+
+    def spans_of(text: str) -> list[tuple]:
+        raw = np.frombuffer(text.encode(), np.uint8)
+        return merged(shared.value.scan(raw, np.array([0, len(raw)]))[1].get(0, ([],))[0])
+
+    def run(batches):
+        for batch in batches:
+            at = batch.schema.get_field_index(text_col)
+            for lo, hi in slices(batch, text_col):
+                rows = batch.slice(lo, hi - lo)
+                n_words, found = shared.value.scan(*bytes_of(rows.column(at)))
+                spans = {i: merged(x[0]) for i, x in found.items()}
+                if earlier:
+                    before = {i: [tuple(x.values()) for x in xs] for i, xs in enumerate(rows.column(rows.num_columns - 1).to_pylist()) if xs}
+                    spans = {i: merged(before.get(i, []) + spans.get(i, [])) for i in {*before, *spans}}
+                columns, names = rows.columns[: rows.num_columns - earlier], batch.schema.names[: rows.num_columns - earlier]
+                if not last:
+                    own = pa.array([[dict(zip(("start", "stop", "word", "word_stop"), x)) for x in spans.get(i, ())] for i in range(rows.num_rows)], pa.list_(SPAN))
+                    yield pa.RecordBatch.from_arrays([*columns, own], [*names, mark])
+                    continue
+                keep, again = np.ones(rows.num_rows, bool), np.zeros(rows.num_rows, bool)
+                if spans:
+                    texts = columns[at].to_pylist()
+                    for i, hits in spans.items():
+                        keep[i] = sum(x[3] - x[2] for x in hits) <= most * n_words[i]
+                        again[i] = True
+                        while keep[i] and hits:
+                            texts[i] = without(texts[i], hits)
+                            hits = spans_of(texts[i]) if alone else []
+                    columns[at] = pa.array(texts, batch.schema.field(at).type)
+                out = pa.RecordBatch.from_arrays(columns + [pa.array(again)] * (not alone), names + [mark] * (not alone))
+                yield out if keep.all() else out.filter(pa.array(keep))
+
+    return run
+
+
 def remove(docs: DataFrame, items: DataFrame, window: int = WINDOW, *, max_coverage: float = 0.8, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """The documents without the items' passages.
 
     A document of which more than ``max_coverage`` of the words are hit goes.
     From the others each hit range goes, its first word's start to its last
-    word's end; what that joins is read again until nothing more is found. All
-    columns stay; a column ``n_chars`` follows the text.
+    word's end, ranges that touch as one; what that joins is read again until
+    nothing more is found. All columns stay; a column ``n_chars`` follows the
+    text. Items beyond one shard make a pass each: hits of all shards are found
+    on the same text, judged and cut together, and texts with cuts are read
+    again by all shards. The results of passes are kept in the shared folder.
     """
-    spark, columns = docs.sparkSession, docs.columns
-    for part in shards(items, item_col, item_text, shard_bytes):
-        shared = spark.sparkContext.broadcast(Matcher([tuple(r) for r in part.toLocalIterator()], window))
-
-        def clean(batches, shared=shared):
-            for batch in batches:
-                at = batch.schema.get_field_index(text_col)
-                for lo, hi in slices(batch, text_col):
-                    rows = batch.slice(lo, hi - lo)
-                    data, ends = bytes_of(rows.column(at))
-                    n_words, found = shared.value.scan(data, ends)
-                    if not found:
-                        yield rows
-                        continue
-                    texts, keep = rows.column(at).to_pylist(), np.ones(rows.num_rows, bool)
-                    for i, (spans, _, _) in found.items():
-                        keep[i] = sum(s[3] - s[2] for s in spans) <= max_coverage * n_words[i]
-                        raw = texts[i].encode()
-                        while keep[i] and spans:
-                            for start, stop, _, _ in reversed(spans):
-                                raw = raw[:start] + raw[stop:]
-                            spans = shared.value.scan(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[1].get(0, ([],))[0]
-                        texts[i] = raw.decode()
-                    rows = rows.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
-                    yield rows.filter(pa.array(keep))
-
-        docs = docs.mapInArrow(clean, docs.schema)
-    return docs.select(*[F.length(text_col).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in columns])
+    spark, columns, schema = docs.sparkSession, docs.columns, docs.schema
+    shared = [spark.sparkContext.broadcast(Matcher([tuple(r) for r in part.toLocalIterator()], window)) for part in shards(items, item_col, item_text, shard_bytes)]
+    if len(shared) == 1:
+        docs = docs.mapInArrow(_remover(shared[0], text_col, False, True, True, max_coverage), schema)
+    else:
+        spans, again = (x.ljust(1 + max(map(len, columns)), "_") for x in ("spans", "again"))
+        marked = T.StructType([*schema.fields, T.StructField(spans, T.ArrayType(T.StructType([T.StructField(x, T.LongType()) for x in ("start", "stop", "word", "word_stop")])))])
+        ended = T.StructType([*schema.fields, T.StructField(again, T.BooleanType())])
+        done, rest, most = [], docs, max_coverage
+        while not done or not rest.isEmpty():
+            for k, one in enumerate(shared):
+                last = k + 1 == len(shared)
+                found = cut(rest.mapInArrow(_remover(one, text_col, k > 0, last, False, most, again if last else spans), ended if last else marked))
+                if k:
+                    drop_cut(rest)
+                rest = found
+            done.append(rest.where(~F.col(again)).select(*columns))
+            rest, most = rest.where(again).select(*columns), 1.0
+        docs = reduce(DataFrame.union, done)
+    return docs.select(*[F.length(text_col).cast(schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

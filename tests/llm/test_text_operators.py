@@ -57,6 +57,41 @@ def test_removal(spark):
     assert decontaminate.remove(docs, items.limit(0)).count() == 4
 
 
+def brute_removal(text, items, most=0.8, window=10):
+    """What stays of the text, or nothing at all, and the number of rounds."""
+    for turn in range(100):
+        places = [(m.start(), m.end()) for m in WORD.finditer(text)]
+        own, hit = words(text), set()
+        for words_ in items:
+            n = min(window, len(words_))
+            for k in range(len(words_) - n + 1) if n else ():
+                hit |= {j for i in range(len(own) - n + 1) if own[i : i + n] == words_[k : k + n] for j in range(i, i + n)}
+        if not hit:
+            return text
+        if not turn and len(hit) > most * len(own):
+            return None
+        runs = [i for i in sorted(hit) if i - 1 not in hit]
+        ends = [i for i in sorted(hit) if i + 1 not in hit]
+        for i, j in reversed(list(zip(runs, ends))):
+            text = text[: places[i][0]] + text[places[j][1] :]
+
+
+def test_removal_does_not_depend_on_shards(spark):
+    listed = [(1, "a b c d e f g h i j k l"), (2, "x Y z"), (3, "p q r s t"), (4, "m n o"), (5, "u v w p"), (6, "k1 k2 k3 k4 k5 k6 k7 k8 k9"), (7, "l1 l2 l3 l4 l5 l6 l7 l8"), (8, None)]
+    texts = ["k1 k2 k3 k4 k5 k6 k7 k8 k9, l1 l2 l3 l4 l5 l6 l7 l8. and two more", "p q x y z r s t, stays", "x m n o y z stays", "x p q m n o r s t y z stays", "x y z, m n o; p q r s t stays here with some other words", "u v x y z w p q r s t: é stays with others", None, "", "a b c d e x y z f g h i j k l and more words to keep it from going away"]
+    texts += ["k1 k2 k3 k4 k5 k6 k7 k8 k9 and l1 l2 l3 l4 l5 l6 l7 l8 other words are here too, enough of them", "nothing at all"]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], DOCS)
+    items = spark.createDataFrame(listed, "item_id bigint, text string")
+    assert len(decontaminate.shards(items, "item_id", "text", 40)) > 2
+    want = {i: brute_removal(t, [words(x) for _, x in listed]) for i, t in enumerate(texts) if t}
+    want = {i: t for i, t in want.items() if t is not None} | {6: None, 7: ""}
+    assert 0 not in want and want[1] == ", stays"
+    for limit in (1 << 20, 40, 15):
+        out = decontaminate.remove(docs, items, shard_bytes=limit).collect()
+        assert {r.doc_id: r.text for r in out} == want and len(out) == len(want), limit
+        assert all(r.n_chars == len(r.text) for r in out if r.text is not None)
+
+
 def test_decontamination_query(spark, sf_dir):
     bench = [(r.item_id, words(r.text)) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     window = {}
