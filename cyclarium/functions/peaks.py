@@ -35,10 +35,12 @@ def flag(values: np.ndarray, peaks: np.ndarray, window: float, least: int = 3) -
     return np.where((ids >= 0) & (count[np.maximum(ids, 0)] < least), -1, ids)
 
 
-def mixture(z: np.ndarray, t: np.ndarray, k: int, *, tries: int = 200, tolerance: float = 1e-5, floor: float = 1e-5) -> tuple[np.ndarray, np.ndarray, float]:
-    """EM of ``k`` gaussians of z times exponentials of the duration t: (weight, mean, sigma, scale) rows, responsibilities, BIC."""
-    centres = np.quantile(z, (np.arange(k) + 0.5) / k) if k > 1 else np.array([z.mean()])
-    par = np.column_stack([np.full(k, 1 / k), centres, np.full(k, max(z.std() / k, floor)), np.full(k, max(t.mean(), floor))])
+def mixture(z: np.ndarray, t: np.ndarray, k: int, *, tries: int = 200, tolerance: float = 1e-5, floor: float = 1e-5, start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, float]:
+    """EM of ``k`` gaussians of z times exponentials of the duration t, from ``start`` or quantiles of z: (weight, mean, sigma, scale) rows, responsibilities, BIC."""
+    par = start
+    if par is None:
+        centres = np.quantile(z, (np.arange(k) + 0.5) / k) if k > 1 else np.array([z.mean()])
+        par = np.column_stack([np.full(k, 1 / k), centres, np.full(k, max(z.std() / k, floor)), np.full(k, max(t.mean(), floor))])
     last = -np.inf
     for _ in range(tries):
         w, m, s, d = par.T
@@ -57,9 +59,53 @@ def mixture(z: np.ndarray, t: np.ndarray, k: int, *, tries: int = 200, tolerance
     return par, resp, (4 * k - 1) * np.log(len(z)) - 2 * like.sum()
 
 
-def best_mixture(z: np.ndarray, t: np.ndarray, most: int = 8) -> tuple[np.ndarray, np.ndarray]:
-    """The mixture with the lowest BIC among 1 to ``most`` components, in order of the means."""
-    par, resp, _ = min((mixture(z, t, k) for k in range(1, min(most, len(z)) + 1)), key=lambda x: x[2])
+#: Numbers of components that are fitted from quantiles, as starts; splits go on from there.
+STARTS = 8
+
+
+def _from_centres(z: np.ndarray, t: np.ndarray, centres: np.ndarray, least: int, floor: float = 1e-5) -> np.ndarray:
+    """(weight, mean, sigma, scale) rows of the values nearest to each centre, where there are ``least`` of them."""
+    nearest = np.abs(z[:, None] - centres[None, :]).argmin(axis=1)
+    groups = [nearest == i for i in range(len(centres))]
+    rows = [(g.sum(), z[g].mean(), max(z[g].std(), floor), max(t[g].mean(), floor)) for g in groups if g.sum() >= least]
+    par = np.array(rows, float).reshape(-1, 4)
+    par[:, 0] /= par[:, 0].sum() or 1
+    return par
+
+
+def _moves(par: np.ndarray, n: int, precision: float, least: int):
+    """Starts with one component more or less: splits of those wider than ``precision`` with values for two, the widest first, and drops."""
+    for i in np.argsort(-par[:, 2]):
+        w, m, s, d = par[i]
+        if s > precision and round(w * n) >= 2 * least:
+            yield np.vstack([np.delete(par, i, axis=0), [(w / 2, m - s, s / 2, d), (w / 2, m + s, s / 2, d)]])
+    if len(par) > 1:
+        for i in np.argsort(par[:, 0]):
+            rest = np.delete(par, i, axis=0)
+            yield np.column_stack([rest[:, 0] / rest[:, 0].sum(), rest[:, 1:]])
+
+
+def best_mixture(z: np.ndarray, t: np.ndarray, most: int | None = None, *, centres: np.ndarray | None = None, precision: float = 0.0, least: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """The mixture that no split or drop of a component betters by BIC, in order of the means; ``most`` bounds its components if given.
+
+    It begins at the best of mixtures from ``centres`` (a histogram's peaks) and
+    from quantiles. A split counts where each component keeps ``least`` values.
+    """
+    n, limit = len(z), min(len(z), most or len(z))
+    fits = [mixture(z, t, k) for k in range(1, min(limit, STARTS) + 1)]
+    if centres is not None and len(centres) and 0 < len(start := _from_centres(z, t, centres, least)) <= limit:
+        fits.append(mixture(z, t, len(start), start=start))
+    par, resp, bic = min(fits, key=lambda x: x[2])
+    better = True
+    while better:
+        better = False
+        for start in _moves(par, n, precision, least):
+            if len(start) > limit:
+                continue
+            new = mixture(z, t, len(start), start=start)
+            if new[2] < bic - 1e-6 and (len(start) < len(par) or np.bincount(new[1].argmax(axis=1), minlength=len(start)).min() >= least):
+                (par, resp, bic), better = new, True
+                break
     order = np.argsort(par[:, 1])
     return par[order], resp[:, order]
 

@@ -31,17 +31,17 @@ def select_peaks(events: DataFrame, precision: float | None = None, *, align: bo
             found = kernels.cycle_biases([z[cycle == c] for c in names], own)
             bias = found[np.searchsorted(names, cycle)]
         x = z + bias
+        step, low = own / 5, x.min() - 4 * own
+        bins = np.bincount(np.rint((x - low) / step).astype(int), minlength=int((x.max() - low) / step) + 40).astype(float)
+        density = np.convolve(bins, kernel(), "same")
+        at = kernels.local_maxima(density)
+        places = low + step * kernels.subpixel(density, at)
         if method == "em":
-            par, resp = kernels.best_mixture(x, rows["length"].to_numpy(float))
+            par, resp = kernels.best_mixture(x, rows["length"].to_numpy(float), centres=places, precision=own, least=least)
             ids, places = resp.argmax(axis=1), par[:, 1]
             count = np.bincount(ids, minlength=len(places))
             ids = np.where(count[ids] >= least, ids, -1)
         else:
-            step, low = own / 5, x.min() - 4 * own
-            bins = np.bincount(np.rint((x - low) / step).astype(int), minlength=int((x.max() - low) / step) + 40).astype(float)
-            density = np.convolve(bins, kernel(), "same")
-            at = kernels.local_maxima(density)
-            places = low + step * kernels.subpixel(density, at)
             ids = kernels.flag(x, places, window * own, least)
         known = np.unique(ids[ids >= 0])
         order = known[np.argsort(places[known])]

@@ -134,6 +134,19 @@ def test_mixture_finds_levels():
     assert len(par) >= 3 and np.abs(par[:, 1][:, None] - [0, 0.5, 1]).min(axis=0).max() < 0.02
 
 
+@pytest.mark.parametrize("given", [True, False])
+def test_mixture_has_no_largest_number_of_levels(given):
+    rng = np.random.default_rng(1)
+    levels = np.arange(14) * 10.0
+    z = np.concatenate([rng.normal(m, 0.5, 25) for m in levels])
+    par, resp = peaks.best_mixture(z, rng.exponential(10, len(z)) + 1, centres=levels[::2] if given else None, precision=0.3)
+    assert len(par) == 14 and np.abs(par[:, 1] - levels).max() < 0.5
+    assert (resp.argmax(axis=1) == np.repeat(np.arange(14), 25)).all()
+    assert len(peaks.best_mixture(z, z + 1, 5)[0]) <= 5
+    one = peaks.best_mixture(np.array([3.0]), np.array([2.0]), centres=np.array([3.0]))
+    assert len(one[0]) == 1
+
+
 def test_biases():
     true = np.array([0.0, 0.1, -0.1, 0.05, 0.0])
     means = np.array([[1.0], [2.0], [3.0]]) - true
