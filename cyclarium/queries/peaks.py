@@ -78,7 +78,7 @@ QUERIES = {
     "oligo_positions": lambda s, d: op.oligo_positions(_sequences(s, d), ["ctg", "gta", "singlestrand"]),
     "silhouettes": lambda s, d: _r(op.silhouettes(_fits(s, d)), "silhouette"),
     "beads_by_hairpin": lambda s, d: _r(op.beads_by_hairpin(_fits(s, d), -0.5), "silhouette"),
-    "fit_hairpins": lambda s, d: _r(op.fit_hairpins(_peaks(s, d).where("bead <= 20").withColumn("peakposition", F.col("peakposition") * 8.8e-4), HAIRPINS), "cost", "stretch", "bias"),
+    "fit_hairpins": lambda s, d: _r(op.fit_hairpins(_peaks(s, d).withColumn("peakposition", F.col("peakposition") * 8.8e-4), HAIRPINS), "cost", "stretch", "bias"),
     "fit_reference": lambda s, d: _r(op.fit_reference(_peaks(s, d), _peaks(s, d).withColumn("peakposition", F.col("peakposition") * 1.02 + 1).select("bead", "peakposition")), "cost", "stretch", "bias"),
     "peak_biases": lambda s, d: _r(op.peak_biases(_binned(s, d)), "bias"),
     "peak_biases_gels": lambda s, d: _r(op.peak_biases(_binned(s, d), "gels"), "bias"),

@@ -16,3 +16,12 @@ def test_equals_sql(spark, sf_dir, name):
 @pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(SQL)))
 def test_runs(spark, sf_dir, name):
     assert catalog.queries()[name](spark, sf_dir).count() > 0
+
+
+def test_hairpins_are_fitted_to_all_beads(spark):
+    from cyclarium.queries.peaks import HAIRPINS, _peaks
+
+    larger = "/root/testdata/sf0.01"
+    beads = {(r.track, r.bead) for r in _peaks(spark, larger).select("track", "bead").distinct().collect()}
+    assert max(b for _, b in beads) > 20
+    assert {(r.track, r.bead, r.hpin) for r in catalog.queries()["fit_hairpins"](spark, larger).collect()} == {(*b, h) for b in beads for h in HAIRPINS}
