@@ -218,9 +218,9 @@ def _joined(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int, m
     every = cut(described(docs, n, percent, more))
     key = ["n", "s", "r"]
     classes = every.where("n > 0").groupBy(*key).agg(F.min("id").alias("rep"), F.count("*").alias("size"))
-    copies = every.where("n > 0").select("id", *key).join(classes.where("size > 1"), key).where("id <> rep").select("id", "rep")
+    copies = every.where("n > 0").select("id", *key).join(classes.where("size > 1"), key).where("id <> rep").select("id", "rep", *key)
     copies = cut(copies.distinct())
-    own = cut(every.where("n > 0").join(copies.select("id"), "id", "left_anti").select("id", "n", F.posexplode("prefix").alias("place", "gram")))
+    own = cut(every.where("n > 0").join(copies.select("id", *key), ["id", *key], "left_anti").select("id", "n", F.posexplode("prefix").alias("place", "gram")))
     met = own.groupBy("gram").agg(F.min(F.struct("id", "n", "place")).alias("first"), F.max("id").alias("last")).where("first.id <> last")
     live = cut(own.join(met, "gram").select("gram", "id", "n", "place", F.col("first.id").alias("pivot"), F.col("first.n").alias("pivot_n"), F.col("first.place").alias("pivot_place")))
     near = live.where((F.col("id") != F.col("pivot")) & _similar_sizes("n", "pivot_n", percent) & _in_reach("n", "pivot_n", F.col("place"), F.col("pivot_place"), percent, more))

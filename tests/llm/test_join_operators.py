@@ -64,6 +64,17 @@ def near_copies(n_groups, size, seed=0):
     return rows
 
 
+def test_ngram_join_of_repeated_ids_with_different_texts(spark):
+    texts = {x: " ".join(f"{x}{i}" for i in range(60)) for x in "abcd"}
+    near = lambda x: texts[x] + f" {x}more"
+    rows = [(1, texts["a"]), (5, texts["a"]), (5, texts["b"]), (6, near("b"))]
+    rows += [(11, texts["c"]), (12, texts["c"]), (12, texts["d"]), (13, texts["d"]), (14, near("d")), (20, "something else that has no copies at all")]
+    _, want = brute_join(rows, 3, 90)
+    out = ngram_join.join(spark.createDataFrame(rows, "doc_id bigint, text string"), n=3, percent=90).collect()
+    assert len(out) == len(rows) and {r.doc_id: r.component_id for r in out} == want
+    assert want[6] == 1 and want[14] == 11
+
+
 @pytest.mark.parametrize(("n", "percent"), [(3, 90), (5, 80)])
 def test_ngram_join(spark, n, percent):
     passage = " ".join(f"p{i}" for i in range(40))
