@@ -52,7 +52,7 @@ STAGES = [
     ("benchmark_passages", benchmark_passages),
     ("packed", packed),
 ]
-#: The stages aren't expressible in SQL; tests hold them against a brute-force version.
+#: The stages aren't expressible in SQL; tests cover lines with near_duplicates, and what benchmark_passages calls against brute force, but not run().
 ORACLE_SQL = None
 
 
