@@ -2,112 +2,84 @@
 
 A document's ids (an end id follows its text) are cut where its length says: as
 many full windows as fit, then pieces of ``tail`` ids and one of the rest. Full
-windows are sequences as they are. The other pieces are dealt into blocks of
-bounded size by a hash of the piece, and each block is packed by Karmarkar and
-Karp's multiway differencing: every piece begins as a partial partition into m
-windows; the two partial partitions with the largest imbalance are merged, the
-fullest window of one with the emptiest of the other, until one is left. If its
-largest window exceeds the capacity, m rises and the block is packed again.
+windows are sequences as they are and take their ids where they are read, with
+no shuffle. The other pieces are dealt into blocks of bounded size by a hash of
+the piece, and each block is packed by Karmarkar and Karp's multiway
+differencing: every piece begins as a partial partition into m windows; the two
+partial partitions with the largest imbalance are merged, the fullest window of
+one with the emptiest of the other, until one is left. If its largest window
+exceeds the capacity, m rises and the block is packed again.
 
 Ids never move: the cut points follow from the length alone, so the pass that
 makes the ids also makes each piece's checksum, and only pieces are shuffled.
 
 Edge cases: null and empty texts give one piece, the end id alone. Very long
-documents become many pieces that land in many blocks. Repeated rows are packed
-each. An empty table gives no pieces. Other columns are ignored.
+documents become many pieces that land in many blocks. Ties in length are
+packed in the order of id and start; repeated rows are packed each. An empty
+table gives no pieces. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import bisect
+import functools
 import heapq
 import itertools
-import re
+import json
 import zlib
-from array import array
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cyclarium.llm._common import cut, slices, table
 
 CAPACITY, TAIL = 1024, 256
-#: Pieces in a block on average, and distinct words whose ids a worker keeps.
-BLOCK, CACHED = 8192, 600_000
+#: Pieces in a block on average.
+BLOCK = 8192
 VOCABULARY = "byte_bpe_50k.json"
-#: A text with this string is encoded whole, as it may be a token of its own.
+#: A text with this string goes to the tokenizer itself, for which it is a token of its own.
 SPECIAL = "<|endoftext|>"
-#: A word with the space before it begins a new unit of the tokenizer wherever a single space precedes a non-space.
-SPACED = re.compile(r" (?=\S)")
-#: A space before white space or the end; without any, every space begins a unit.
-UNEVEN = re.compile(r" (?!\S)")
-#: Units of the tokenizer: a fixed pattern of this vocabulary.
-UNIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: Units that are merged by themselves: a fixed pattern of this vocabulary.
+UNITS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Byte-level vocabularies write each byte as a visible character: itself if it is one, else the next from U+0100 on.
 VISIBLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-BYTES = {b: 0x100 + i for i, b in enumerate(x for x in range(256) if x not in VISIBLE)}
+BYTES = {chr(b): b for b in VISIBLE} | {chr(0x100 + i): b for i, b in enumerate(x for x in range(256) if x not in VISIBLE)}
 
 
-class Encoder(dict):
-    """Ids of whole texts, by way of the ids of their words.
+class Encoder:
+    """Ids of a byte-level vocabulary in which a token's id is also the rank of its merge.
 
-    The tokenizer never joins what stands before " x" with what follows it, so
-    a text's ids are those of its words in turn; each distinct word is encoded
-    once and kept while there is room.
+    The merges of the vocabulary file are done by the faster of two libraries,
+    whose ids are the same. It keeps nothing from text to text.
     """
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
-        self.spaced = Spaced(self)
-
-    def _ids(self, word: str) -> bytes:
-        """Ids of a word: of its units in turn, each of which goes straight to the merges."""
-        units = [word] if word[word[:1] == " " :].isalpha() else UNIT.findall(word)
-        if len(units) > 1:
-            return b"".join(map(self.__getitem__, units))
-        return array("I", [t.id for u in units for t in self.model.tokenize(u.encode().decode("latin1").translate(BYTES))]).tobytes()
-
-    def __missing__(self, word: str) -> bytes:
-        ids = self._ids(word)
-        if len(self) >= CACHED:
-            self.clear()
-        self[word] = ids
-        return ids
-
-    def clear(self) -> None:
-        super().clear()
-        self.spaced.clear()
-
-    def encode(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids of a text."""
-        if SPECIAL in text:
-            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-        first, *rest = SPACED.split(text) if UNEVEN.search(text) else text.split(" ")
-        return self[first] + b"".join(map(self.spaced.__getitem__, rest))
+        import tiktoken
 
+        self.path = path
+        with open(path, encoding="utf-8") as file:
+            known = json.load(file)
+        added = {t["content"] for t in known["added_tokens"]}
+        ranks = {bytes(BYTES[c] for c in token): i for token, i in known["model"]["vocab"].items() if token not in added}
+        self.merges = tiktoken.Encoding("own", pat_str=UNITS, mergeable_ranks=ranks, special_tokens={})
 
-class Spaced(dict):
-    """Ids of words with a space before them, by the words without it."""
+    @functools.cached_property
+    def tokenizer(self):
+        from tokenizers import Tokenizer
 
-    def __init__(self, encoder: Encoder) -> None:
-        self.encoder = encoder
+        return Tokenizer.from_file(self.path)
 
-    def __missing__(self, word: str) -> bytes:
-        ids = self.encoder._ids(" " + word)
-        if len(self) >= CACHED:
-            self.clear()
-        self[word] = ids
-        return ids
+    def encode(self, text: str) -> np.ndarray:
+        """Ids as little-endian unsigned 32-bit numbers."""
+        if SPECIAL in text:
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+        return np.array(self.merges.encode_ordinary(text), "<u4")
 
 
-#: Encoders of this worker by path; they outlive a task.
+#: The encoder of this worker by path; it outlives a task and doesn't grow.
 ENCODERS: dict[str, Encoder] = {}
 
 
@@ -123,7 +95,7 @@ PIECES = "id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens b
 def pieces(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, capacity: int = CAPACITY, tail: int = TAIL, with_ids: bool = False) -> DataFrame:
     """One row per piece: id, start, length, ids_crc32, doc_tokens, and the ids if asked for."""
     kind = docs.schema[id_col].dataType.simpleString()
-    end = np.array([end_id], "<u4").tobytes()
+    end = np.array([end_id], "<u4")
 
     def run(batches):
         if vocabulary not in ENCODERS:
@@ -133,12 +105,10 @@ def pieces(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col
             for lo, hi in slices(batch, limit=1 << 20):
                 rows, out = batch.slice(lo, hi - lo), ([], [], [], [], [], [])
                 for i, text in enumerate(rows.column("text").to_pylist()):
-                    ids = (encode(text) if text else b"") + end
-                    n = len(ids) // 4
-                    view = memoryview(ids)
-                    for start, length in cuts(n, capacity, tail):
-                        own = view[4 * start : 4 * (start + length)]
-                        for column, x in zip(out, (i, start, length, zlib.crc32(own), n, np.frombuffer(own, "<u4") if with_ids else None)):
+                    ids = np.append(encode(text), end) if text else end
+                    for start, length in cuts(len(ids), capacity, tail):
+                        own = ids[start : start + length]
+                        for column, x in zip(out, (i, start, length, zlib.crc32(own), len(ids), own if with_ids else None)):
                             column.append(x)
                 columns = [rows.column("id").take(pa.array(out[0], pa.int32())), *(pa.array(x, pa.int64()) for x in out[1:5])]
                 if with_ids:
@@ -211,31 +181,29 @@ def pack(sizes: list[int], capacity: int) -> list[list[int]]:
 def windows(made: DataFrame, *, capacity: int = CAPACITY, block: int = BLOCK) -> DataFrame:
     """Adds sequence_id and offset to the rows of ``pieces``.
 
-    ``made`` is read twice, so it should be stored. A sequence's id holds its
-    block's number above its number in the block; the blocks of full windows
-    follow the others.
+    ``made`` is read three times, so it should be stored. Ids of packed
+    sequences are even and hold the block's number above the sequence's number
+    in the block; those of full windows are odd and given where they are read.
     """
-    n = -(-made.where(F.col("length") < capacity).count() // block) or 1
-    spread = F.pmod(F.xxhash64("id", "start", "doc_tokens", "ids_crc32"), F.lit(n))
-    parts = made.withColumn("block", F.when(F.col("length") < capacity, spread).otherwise(spread + n))
+    rest = made.where(F.col("length") < capacity)
+    n = -(-rest.count() // block) or 1
+    rest = rest.withColumn("block", F.pmod(F.xxhash64("id", "start", "doc_tokens", "ids_crc32"), F.lit(n)))
     extra = [f for f in made.schema.fields if f.name not in ("sequence_id", "offset")]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in extra) + ", sequence_id bigint, offset bigint"
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        first = int(key[0]) << 32
         rows = rows.drop(columns="block").sort_values(["length", "id", "start"], ascending=[False, True, True], ignore_index=True)
-        if int(key[0]) >= n:
-            return rows.assign(sequence_id=first + np.arange(len(rows)), offset=0)
         sizes = rows["length"].tolist()
         sequence, offset = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
         for w, items in enumerate(pack(sizes, capacity)):
             at = 0
             for i in sorted(items):
-                sequence[i], offset[i] = first + w, at
+                sequence[i], offset[i] = (int(key[0]) << 32 | w) << 1, at
                 at += sizes[i]
         return rows.assign(sequence_id=sequence, offset=offset)
 
-    return parts.groupBy("block").applyInPandas(run, schema)
+    full = made.where(F.col("length") == capacity).select("*", (2 * F.monotonically_increasing_id() + 1).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))
+    return rest.groupBy("block").applyInPandas(run, schema).unionByName(full)
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, **options) -> DataFrame:
