@@ -172,12 +172,30 @@ def match(reference: np.ndarray, experiment: np.ndarray, window: float) -> list[
     return sorted(out)
 
 
-def chi_squared(theory: np.ndarray, peaks: np.ndarray, stretch: float, bias: float, window: float = 10.0) -> float:
-    """Root of the squared distances of matched pairs over the window's, plus unmatched ones, over the number of peaks."""
+#: The cost where nothing matches: the largest 32-bit number.
+NO_MATCH = 3.4028234663852886e38
+
+
+def chi_squared(theory: np.ndarray, peaks: np.ndarray, stretch: float, bias: float, window: float = 10.0, *, symmetry: str = "both", singlestrand: bool = False) -> float:
+    """Root of (squared distances of pairs over the window's + squared number of unmatched ones) per matched one.
+
+    Unmatched are those of both lists, of the theory (``left``) or of the peaks
+    (``right``). Peaks beyond the theory's ends count by their distance to the
+    end: to the first position if it is 0, the baseline, and to the last with
+    ``singlestrand``.
+    """
     placed = (peaks - bias) * stretch
     pairs = match(theory, placed, window)
-    lost = len(theory) + len(peaks) - 2 * len(pairs)
-    return float(np.sqrt((sum((theory[i] - placed[j]) ** 2 for i, j in pairs) / window**2 + lost**2) / max(len(peaks), 1)))
+    if not pairs:
+        return NO_MATCH
+    square = sum((theory[i] - placed[j]) ** 2 for i, j in pairs) if len(pairs) > 1 else 0.0
+    if singlestrand:
+        square += float(((placed[placed >= theory[-1]] - theory[-1]) ** 2).sum())
+    if theory[0] == 0:
+        square += float(((placed[placed < 0]) ** 2).sum())
+    total = {"both": len(theory) + len(peaks), "left": len(theory), "right": len(peaks)}[symmetry]
+    paired = len(pairs) * (2 if symmetry == "both" else 1)
+    return float(np.sqrt((square / window**2 + (total - paired) ** 2) / paired))
 
 
 def refit(theory: np.ndarray, peaks: np.ndarray, stretch: float, bias: float, window: float = 10.0) -> tuple[float, float]:
@@ -193,29 +211,46 @@ def refit(theory: np.ndarray, peaks: np.ndarray, stretch: float, bias: float, wi
     return (slope, x.mean() - y.mean() / slope) if slope > 0 else (stretch, bias)
 
 
-def pair_candidates(theory: np.ndarray, peaks: np.ndarray, stretches: tuple[float, float], biases: tuple[float, float]) -> list[tuple[float, float]]:
-    """(stretch, bias) that lay two peaks on two positions, within bounds."""
-    out = []
-    for (a, b), (x, y) in itertools.product(itertools.combinations(theory, 2), itertools.combinations(peaks, 2)):
-        if y > x:
-            s = (b - a) / (y - x)
-            if stretches[0] <= s <= stretches[1] and biases[0] <= (q := x - a / s) <= biases[1]:
-                out.append((s, q))
-    return out
-
-
-def grid_fit(theory: np.ndarray, peaks: np.ndarray, stretch: float = 1 / 8.8e-4, spread: float = 0.1, bias: tuple[float, float] = (-0.05, 0.05), window: float = 10.0, most: int = 60) -> tuple[float, float, float]:
-    """(cost, stretch, bias) of the best candidate after refitting."""
+def pair_candidates(theory: np.ndarray, peaks: np.ndarray, stretches: tuple[float, float], biases: tuple[float, float]) -> np.ndarray:
+    """(stretch, bias) rows that lay two peaks on two positions, within bounds; sorted, each once."""
+    found = []
+    a, b = np.triu_indices(len(theory), 1)
+    span, low = theory[b] - theory[a], theory[a]
+    for i, j in itertools.combinations(range(len(peaks)), 2):
+        if peaks[j] > peaks[i]:
+            s = span / (peaks[j] - peaks[i])
+            good = (s >= stretches[0]) & (s <= stretches[1])
+            q = peaks[i] - low[good] / s[good]
+            inside = (q >= biases[0]) & (q <= biases[1])
+            found.append(np.column_stack([s[good][inside], q[inside]]))
+    return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2))
+
+
+def least_cost(theory: np.ndarray, peaks: np.ndarray, options: np.ndarray, window: float) -> np.ndarray:
+    """For each (stretch, bias) row a cost that none of its matches can be below: each position within the window of a peak counts as matched."""
+    placed = (peaks[None, :] - options[:, 1:]) * options[:, :1]
+    near = np.minimum.reduce([np.abs(placed - t) for t in theory]) < window
+    back = np.minimum.reduce([np.abs(placed[:, [k]] - theory[None, :]) for k in range(len(peaks))]) < window
+    pairs = np.minimum(near.sum(1), back.sum(1))
+    lost = len(theory) + len(peaks) - 2 * pairs
+    return np.where(pairs > 0, np.sqrt(lost**2 / np.maximum(2 * pairs, 1)), NO_MATCH)
+
+
+def grid_fit(theory: np.ndarray, peaks: np.ndarray, stretch: float = 1 / 8.8e-4, spread: float = 0.1, bias: tuple[float, float] = (-0.05, 0.05), window: float = 10.0) -> tuple[float, float, float]:
+    """(cost, stretch, bias) of the best candidate, each also refitted; candidates whose bound exceeds the best cost aren't matched."""
     theory, peaks = np.sort(theory), np.sort(peaks)
     if not len(theory) or not len(peaks):
-        return float("inf"), stretch, 0.0
-    options = [(stretch, 0.0)] + pair_candidates(theory, peaks, (stretch * (1 - spread), stretch * (1 + spread)), bias)
-    ranked = sorted((chi_squared(theory, peaks, s, b, window), s, b) for s, b in options)[:most]
-    again = []
-    for cost, s, b in ranked[:5]:
-        s2, b2 = refit(theory, peaks, s, b, window)
-        again.append((chi_squared(theory, peaks, s2, b2, window), s2, b2))
-    return min([ranked[0], *again])
+        return NO_MATCH, stretch, 0.0
+    options = np.vstack([[(stretch, 0.0)], pair_candidates(theory, peaks, (stretch * (1 - spread), stretch * (1 + spread)), bias)])
+    bounds = np.concatenate([least_cost(theory, peaks, part, window) for part in np.array_split(options, max(1, len(options) // 1024))])
+    best = (NO_MATCH, stretch, 0.0)
+    for i in np.argsort(bounds, kind="stable"):
+        if bounds[i] > best[0]:
+            break
+        s, b = (float(x) for x in options[i])
+        again = refit(theory, peaks, s, b, window)
+        best = min(best, (chi_squared(theory, peaks, s, b, window), s, b), (chi_squared(theory, peaks, *again, window), *map(float, again)))
+    return best
 
 
 def gaussian_cost(theory: np.ndarray, peaks: np.ndarray, stretch: float, bias: float, sigma: float = 15.0) -> float:

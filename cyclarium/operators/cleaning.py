@@ -34,51 +34,72 @@ class Rules:
     tests: tuple = field(default=("population", "hfsigma", "extent", "pingpong", "phasejump", "saturation"))
 
 
-def ping_pong(frames: DataFrame, difference: float = 0.01) -> DataFrame:
-    """Per cycle the sum of large fourth-order differences over the extent."""
+def _with_steps(frames: DataFrame, last: int) -> DataFrame:
+    """Frames with what the tests need: all windows share the cycle's order, so one shuffle and one sort serve them."""
     over = W.partitionBy(*CYCLE).orderBy("frame")
     z = F.col("z")
-    d = F.abs((z - F.lag(z, 4).over(over)) / 12 + 2 / 3 * (F.lag(z, 3).over(over) - F.lag(z, 1).over(over)))
-    per = frames.withColumn("_d", d).groupBy(*CYCLE).agg(F.sum(F.when(F.col("_d") > difference, F.col("_d"))).alias("sum"), extent("z").alias("extent"))
-    return per.select(*CYCLE, (F.coalesce("sum", F.lit(0.0)) / F.nullif("extent", F.lit(0.0))).alias("pingpong"))
+    fourth = F.abs((z - F.lag(z, 4).over(over)) / 12 + 2 / 3 * (F.lag(z, 3).over(over) - F.lag(z, 1).over(over)))
+    end = F.max("frame").over(W.partitionBy(*CYCLE, "phase"))
+    return frames.withColumns({"_dz": z - last_defined("z", over), "_step": F.abs(z - F.lag(z).over(over)), "_fourth": fourth, "_back": end - F.col("frame") < last})
+
+
+def _aggregates(rules: Rules) -> dict[str, Column]:
+    """Value of each test over a cycle's frames."""
+    size, tolerance = rules.jump
+    at = lambda c: F.median(F.when(c, F.col("z")))
+    fourth = F.sum(F.when(F.col("_fourth") > rules.pingpong_difference, F.col("_fourth")))
+    return {
+        "population": F.count("z") * 100 / F.count("*"),
+        "extent": extent("z"),
+        "hfsigma": F.median(F.abs("_dz")),
+        "pingpong": F.coalesce(fourth, F.lit(0.0)) / F.nullif(extent("z"), F.lit(0.0)),
+        "phasejump": F.count_if((F.col("_step") > size - tolerance) & (F.col("_step") < size + tolerance)),
+        "saturation": at((F.col("phase") == PHASES["measure"]) & F.col("_back")) - at(F.col("phase") == PHASES["initial"]),
+    }
+
+
+def _one_test(frames: DataFrame, name: str, rules: Rules) -> DataFrame:
+    return _with_steps(frames, rules.saturation_frames).groupBy(*CYCLE).agg(_aggregates(rules)[name].alias(name))
+
+
+def ping_pong(frames: DataFrame, difference: float = 0.01) -> DataFrame:
+    """Per cycle the sum of large fourth-order differences over the extent."""
+    return _one_test(frames, "pingpong", Rules(pingpong_difference=difference))
 
 
 def phase_jump(frames: DataFrame, size: float = 1.4, tolerance: float = 0.2) -> DataFrame:
-    """Per cycle the number of steps of about ``size``."""
-    return steps(frames).groupBy(*CYCLE).agg(F.count_if(F.abs(F.abs("dz") - size) <= tolerance).alias("phasejump"))
+    """Per cycle the number of steps between neighbouring frames that are within ``tolerance`` of ``size``, bounds excluded."""
+    return _one_test(frames, "phasejump", Rules(jump=(size, tolerance)))
 
 
 def saturation(frames: DataFrame, last: int = 10) -> DataFrame:
-    """Per cycle the median of the measure phase's last frames over that of the initial phase."""
-    measured = W.partitionBy(*CYCLE, "phase").orderBy(F.col("frame").desc())
-    rows = frames.where(F.col("phase").isin(PHASES["initial"], PHASES["measure"])).withColumn("_back", F.row_number().over(measured))
-    at = lambda c: F.median(F.when(c, F.col("z")))
-    return rows.groupBy(*CYCLE).agg((at((F.col("phase") == PHASES["measure"]) & (F.col("_back") <= last)) - at(F.col("phase") == PHASES["initial"])).alias("saturation"))
+    """Per cycle the median of the measure phase's last frames less that of the initial phase."""
+    return _one_test(frames.where(F.col("phase").isin(PHASES["initial"], PHASES["measure"])), "saturation", Rules(saturation_frames=last))
+
+
+def judged_cycles(frames: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """One row per cycle: each test's value, ``<test>_low`` and ``<test>_high``, the frames and the values that aren't missing.
+
+    One pass over the frames: the tests' windows and their aggregates share the cycle as key.
+    """
+    own = {t: c for t, c in _aggregates(rules).items() if t in rules.tests}
+    per = _with_steps(frames, rules.saturation_frames).groupBy(*CYCLE).agg(*[c.cast("double").alias(t) for t, c in own.items()], F.count("z").alias("values"), F.count("*").alias("frames"))
+    flags = {}
+    for t in own:
+        low, high = getattr(rules, t)
+        flags[f"{t}_low"] = F.coalesce(F.col(t) < low, F.lit(False)) if low is not None else F.lit(False)
+        flags[f"{t}_high"] = F.coalesce(F.col(t) > high, F.lit(False)) if high is not None else F.lit(False)
+    per = per.withColumns(flags)
+    if "saturation" in own:
+        share = F.avg(F.col("saturation_high").cast("int")).over(W.partitionBy(*BEAD)) * 100
+        per = per.withColumn("saturation_high", share > rules.saturated_cycles)
+    return per
 
 
 def cycle_tests(frames: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """cleaning(track, bead, cycle, testtype, testvalue, testtoolow, testtoohigh): one row per cycle and test."""
-    per = frames.groupBy(*CYCLE).agg((F.count("z") * 100 / F.count("*")).alias("population"), extent("z").alias("extent"))
-    parts = {"hfsigma": hf_sigma, "pingpong": lambda f: ping_pong(f, rules.pingpong_difference), "phasejump": lambda f: phase_jump(f, *rules.jump), "saturation": lambda f: saturation(f, rules.saturation_frames)}
-    for name, make in parts.items():
-        if name in rules.tests:
-            per = per.join(make(frames), CYCLE, "left")
-    arms = ", ".join(f"'{t}', cast({t} as double)" for t in rules.tests)
-    rows = per.selectExpr(*CYCLE, f"stack({len(rules.tests)}, {arms}) as (testtype, testvalue)")
-
-    def beyond(side: int) -> Column:
-        out = F.lit(False)
-        for t in rules.tests:
-            bound = getattr(rules, t)[side]
-            if bound is not None:
-                hit = F.col("testvalue") < bound if side == 0 else F.col("testvalue") > bound
-                out = F.when(F.col("testtype") == t, F.coalesce(hit, F.lit(False))).otherwise(out)
-        return out
-
-    rows = rows.withColumns({"testtoolow": beyond(0), "testtoohigh": beyond(1)})
-    share = F.avg(F.col("testtoohigh").cast("int")).over(W.partitionBy(*BEAD, "testtype")) * 100
-    high = F.when(F.col("testtype") == "saturation", share > rules.saturated_cycles).otherwise(F.col("testtoohigh"))
-    return rows.withColumn("testtoohigh", high)
+    arms = ", ".join(f"'{t}', {t}, {t}_low, {t}_high" for t in rules.tests)
+    return judged_cycles(frames, rules).selectExpr(*CYCLE, f"stack({len(rules.tests)}, {arms}) as (testtype, testvalue, testtoolow, testtoohigh)")
 
 
 def extent_outliers(frames: DataFrame, low: float = 0.9, high: float = 1.1) -> DataFrame:
@@ -102,12 +123,21 @@ def bead_status(tests: DataFrame, frames: DataFrame, rules: Rules = Rules()) ->
     return joined.select(*BEAD, F.when(poor, F.coalesce("errkey", F.lit("population"))).otherwise("ok").alias("errkey"), F.when(poor, F.coalesce("message", F.lit("population"))).otherwise("").alias("message"))
 
 
+def good_cycles(frames: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """(track, bead, cycle) that pass all tests, of beads of which enough is left."""
+    failed = F.lit(False)
+    for t in rules.tests:
+        failed = failed | F.col(f"{t}_low") | F.col(f"{t}_high")
+    own = W.partitionBy(*BEAD)
+    rows = judged_cycles(frames, rules).withColumn("_failed", failed)
+    left = F.coalesce(F.sum(F.when(~F.col("_failed"), F.col("values"))).over(own), F.lit(0))
+    rows = rows.withColumn("_poor", left * 100 < rules.min_population * F.sum("frames").over(own))
+    return rows.where("not _failed and not _poor").select(*CYCLE)
+
+
 def clean(frames: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """Frames without the cycles that fail a test and without the beads that fail as a whole."""
-    tests = cycle_tests(frames, rules)
-    bad = tests.where("testtoolow or testtoohigh").select(*CYCLE).distinct()
-    failed = bead_status(tests, frames, rules).where("errkey <> 'ok'").select(*BEAD)
-    return frames.join(bad, CYCLE, "left_anti").join(failed, BEAD, "left_anti")
+    return frames.join(good_cycles(frames, rules), CYCLE, "left_semi")
 
 
 def suppress_derivate(frames: DataFrame, max_distance: float = 5.0, max_derivate: float = 0.6, by: list[str] = BEAD) -> DataFrame:
@@ -200,9 +230,13 @@ def fixed_beads(frames: DataFrame, *, max_extent: float, max_noise: float, min_p
 
 
 def clip_measure(frames: DataFrame, precision: DataFrame, low_factor: float = 4.0, high_factor: float = 0.0, min_population: float = 80.0) -> DataFrame:
-    """Measure values outside the initial and pull positions become missing; beads with too few left go."""
+    """Measure values outside the initial and pull positions become missing; beads with too few left go.
+
+    A position is the median over cycles of each cycle's median.
+    """
     at = lambda p: F.median(F.when(F.col("phase") == p, F.col("z")))
-    bounds = frames.groupBy(*BEAD).agg(at(PHASES["initial"]).alias("_lo"), at(PHASES["pull"]).alias("_hi")).join(precision, BEAD)
+    per = frames.groupBy(*CYCLE).agg(at(PHASES["initial"]).alias("_lo"), at(PHASES["pull"]).alias("_hi"))
+    bounds = per.groupBy(*BEAD).agg(F.median("_lo").alias("_lo"), F.median("_hi").alias("_hi")).join(precision, BEAD)
     rows = frames.join(bounds, BEAD)
     inside = F.col("z").between(F.col("_lo") - low_factor * F.col("precision"), F.col("_hi") + high_factor * F.col("precision"))
     rows = rows.withColumn("z", F.when((F.col("phase") != PHASES["measure"]) | inside, F.col("z")))

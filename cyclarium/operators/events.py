@@ -70,9 +70,12 @@ def event_frames(events: DataFrame) -> DataFrame:
 
 
 def concatenated(frames: DataFrame, events: DataFrame) -> DataFrame:
-    """Frames whose values outside of events are missing."""
-    inside = event_frames(events).select(*CYCLE, "frame", F.lit(True).alias("_in"))
-    return frames.join(inside, [*CYCLE, "frame"], "left").withColumn("z", F.when(F.col("_in"), F.col("z"))).drop("_in")
+    """Frames whose values outside of events are missing: each frame looks back to the last event's start in its cycle."""
+    marks = events.select(*CYCLE, F.col("start").alias("frame"), (F.col("start") + F.col("length")).alias("_stop"))
+    both = frames.withColumn("_own", F.lit(True)).unionByName(marks, allowMissingColumns=True)
+    back = W.partitionBy(*CYCLE).orderBy("frame", F.col("_own").asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0)
+    inside = F.col("frame") < F.last("_stop", ignorenulls=True).over(back)
+    return both.withColumn("z", F.when(inside, F.col("z"))).where("_own").select(*frames.columns)
 
 
 def swap(events: DataFrame, frames: DataFrame) -> DataFrame:

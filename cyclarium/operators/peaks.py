@@ -67,32 +67,40 @@ def density_maxima(bins: DataFrame, half: int = 3, by: list[str] = BEAD) -> Data
     return bins.withColumns({"_top": top, "_earlier": earlier, "vertex": F.coalesce(vertex, F.col("bin").cast("double"))}).where((F.col("density") == F.col("_top")) & (F.col("density") > F.col("_earlier"))).drop("_top", "_earlier")
 
 
-def probabilities(events: DataFrame, cycles: DataFrame, *, rate: float = 30.0, least: int = 4, longest: int | None = None, by: list[str] = PEAK) -> DataFrame:
-    """Per peak the hybridisation rate, durations and binding probability; ``cycles`` has (track, bead, ncycles).
+#: What a duration without a bound is reported as: the largest 32-bit number.
+LARGEST = 3.4028234663852886e38
 
-    Durations in frames beyond ``longest`` are cut off there. The likely
-    duration allows for events too short to be seen and for those cut off.
+
+def probabilities(events: DataFrame, cycles: DataFrame, limits: DataFrame | None = None, *, rate: float = 30.0, least: int = 5, by: list[str] = PEAK) -> DataFrame:
+    """Per peak the hybridisation rate, durations and probability of leaving; ``cycles`` has (track, bead, ncycles).
+
+    A cycle's events count as one, from its first start to its last end, which
+    is too long if it lies beyond the cycle's ``stop`` in ``limits`` (track,
+    bead, cycle, stop). With n such cycles, a share r of them too long, and a
+    mean duration d, the probability is that of a geometric law seen from
+    ``least`` frames on: (1 - r) / (1 - r + d - least). The likely duration is
+    -1 / log(1 - p).
     """
-    last = F.lit(longest if longest is not None else 2**31 - 1)
-    per = events.groupBy(*by).agg(
-        F.count("*").alias("nevents"),
-        F.countDistinct("cycle").alias("nhits"),
-        F.count_if(F.col("start") + F.col("length") > last).alias("ntoolong"),
-        F.sum("length").alias("total"),
-    )
-    per = per.join(cycles, BEAD)
-    ended = F.col("nevents") - F.col("ntoolong")
-    mean = F.col("total") / F.col("nevents")
-    likely = F.when(ended > 0, (F.col("total") - F.col("nevents") * (least - 0.5)) / ended)
-    p = F.when(likely > 0, F.exp(-1 / likely))
-    return per.select(
-        *by, "nevents", "ncycles", "ntoolong",
-        (F.col("nhits") / F.col("ncycles")).alias("hybridisationrate"),
-        (mean / rate).alias("averageduration"),
-        (likely / rate).alias("likelyduration"),
-        p.alias("probability"),
-        (F.col("ntoolong") / F.col("nevents")).alias("saturation"),
-        (F.sqrt(p * (1 - p) / F.col("nevents"))).alias("uncertainty"),
+    spans = events.groupBy(*dict.fromkeys([*by, "cycle"])).agg(F.min("start").alias("first"), F.max(F.col("start") + F.col("length")).alias("last"))
+    late = F.lit(False)
+    if limits is not None:
+        spans = spans.join(limits.select(*CYCLE, "stop"), CYCLE, "left")
+        late = F.col("last") > F.col("stop")
+    per = spans.groupBy(*by).agg(F.count("*").alias("nevents"), F.count_if(late).alias("ntoolong"), F.sum(F.col("last") - F.col("first")).alias("totalduration")).join(cycles, BEAD)
+    n, m = F.col("nevents"), 1 - F.col("ntoolong") / F.col("nevents")
+    over = m + F.col("totalduration") / n - least
+    p = F.when((n > F.col("ntoolong")) & (over > 0), m / over).otherwise(0.0)
+    rows = per.withColumns({"probability": p, "stddev": F.when(over > 0, F.sqrt(1 - m / over) / over).otherwise(0.0)})
+    log = -F.log(1 - F.col("probability")) * rate
+    likely = F.when(F.col("probability") >= 1, 0.0).when(F.col("probability") <= 0, LARGEST).otherwise(1 / log)
+    return rows.withColumn("likelyduration", likely).select(
+        *by, "nevents", "ncycles", "ntoolong", "totalduration",
+        F.least(F.lit(1.0), n / F.col("ncycles")).alias("hybridisationrate"),
+        (F.col("totalduration") / n / rate).alias("averageduration"),
+        "likelyduration", "probability", "stddev",
+        F.least(F.lit(100.0), 100 * F.col("ntoolong") / n).alias("saturation"),
+        F.when(n > F.col("ntoolong"), F.col("likelyduration") / F.sqrt(n - F.col("ntoolong"))).otherwise(LARGEST).alias("uncertainty"),
+        (least < 1 + (F.col("totalduration") - F.col("ntoolong")) / n).alias("good"),
     )
 
 
@@ -110,13 +118,14 @@ def peak_table(events: DataFrame, cycles: DataFrame, rate: float = 30.0) -> Data
 
 
 def baseline_peaks(events: DataFrame, cycles: DataFrame, stops: DataFrame, initial: DataFrame, *, reach: float = 0.015, within: int = 5, share: float = 0.1) -> DataFrame:
-    """Per bead the lowest peak near the initial position of which many events end with the phase: (track, bead, baseline).
+    """Per bead the lowest peak near the initial position whose last event of a cycle ends with the phase in many cycles: (track, bead, baseline).
 
     ``stops`` has the end of the phase (track, bead, cycle, stop), ``initial`` the position (track, bead, position).
     """
-    rows = events.join(stops, CYCLE).join(initial, BEAD).join(cycles, BEAD)
-    late = F.countDistinct(F.when(F.col("start") + F.col("length") >= F.col("stop") - within, F.col("cycle")))
-    per = rows.groupBy(*PEAK).agg(F.first("peakposition").alias("z"), F.first("position").alias("p"), F.first("ncycles").alias("n"), late.alias("late"))
+    ends = events.groupBy(*PEAK, "cycle").agg(F.max_by(F.col("start") + F.col("length"), "start").alias("_end"), F.first("peakposition").alias("z"))
+    rows = ends.join(stops, CYCLE).join(initial, BEAD).join(cycles, BEAD)
+    late = F.count_if(F.col("_end") > F.col("stop") - within)
+    per = rows.groupBy(*PEAK).agg(F.first("z").alias("z"), F.first("position").alias("p"), F.first("ncycles").alias("n"), late.alias("late"))
     return per.where((F.col("z") <= F.col("p") + reach) & (F.col("late") > share * F.col("n"))).groupBy(*BEAD).agg(F.min("z").alias("baseline"))
 
 

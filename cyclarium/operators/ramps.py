@@ -46,12 +46,24 @@ def ramp_events(frames: DataFrame, least_zmag: float = -0.8) -> DataFrame:
     return first.select(*CYCLE, "frame", "zmag", "dz", F.when(F.col("opens"), "open").otherwise("close").alias("kind"))
 
 
-def ramp_status(stats: DataFrame, *, population: float = 80.0, correlation: float = 0.5, extents: float = 0.1, share: float = 50.0) -> DataFrame:
-    """ok, fixed (hardly moves) or bad beads, by medians over cycles and the share of cycles that open and close."""
-    per = stats.groupBy(*BEAD).agg(F.median("population").alias("population"), F.median("correlation").alias("correlation"), F.median("extent").alias("extent"), (F.count_if(F.col("iopen").isNotNull() & F.col("iclose").isNotNull()) * 100 / F.count("*")).alias("share"))
-    bad = F.coalesce(F.col("population") < population, F.lit(True))
-    good = (F.abs("correlation") >= correlation) & (F.col("share") >= share)
-    return per.withColumn("status", F.when(bad, "bad").when(F.col("extent") < extents, "fixed").when(F.coalesce(good, F.lit(False)), "ok").otherwise("bad"))
+def ramp_status(stats: DataFrame, *, population: float = 80.0, extension: tuple[float, float, float] = (0.005, 0.05, 5.0), hfsigma: tuple[float, float] = (1e-4, 5e-3), fixed_share: float = 80.0, beads: DataFrame | None = None) -> DataFrame:
+    """status(track, bead, status): ok, fixed or bad, from ``ramp_stats``.
+
+    A cycle is good by its noise and population. It is fixed if its largest step
+    is under the first extension, or under the second without any opening or
+    closing. A bead with good cycles enough is ok if its median extent lies
+    between the first and third extension, and fixed if enough of its cycles
+    are. Those of ``beads`` (track, bead) without statistics are bad.
+    """
+    still = F.col("maxdeltaz")
+    fixed = (still < extension[0]) | ((still < extension[1]) & F.col("zmagopen").isNull() & F.col("zmagclose").isNull())
+    good = (F.col("hfsigma") > hfsigma[0]) & (F.col("hfsigma") < hfsigma[1]) & (F.col("population") > population)
+    per = stats.dropna(subset=["extent", "maxdeltaz", "hfsigma", "population"]).groupBy(*BEAD).agg(F.median("extent").alias("extent"), F.avg(good.cast("int")).alias("good"), F.count_if(fixed).alias("fixed"), F.count("*").alias("cycles"))
+    enough = F.col("good") > population / 100
+    many = F.col("fixed") >= F.least(F.col("good") * F.col("cycles") * fixed_share / 100, F.col("cycles") - 1)
+    ok = (F.col("extent") > extension[0]) & (F.col("extent") < extension[2])
+    out = per.select(*BEAD, F.when(enough & many, "fixed").when(enough & ok, "ok").otherwise("bad").alias("status"))
+    return out if beads is None else beads.select(*BEAD).distinct().join(out, BEAD, "left").na.fill("bad", ["status"])
 
 
 def ramp_consensus(frames: DataFrame) -> DataFrame:

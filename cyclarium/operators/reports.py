@@ -45,11 +45,20 @@ def binned(rows: DataFrame, by: list[str], value: str, step: float) -> DataFrame
     return rows.withColumn("binned", F.rint((F.col(value) - middle) / step - 0.5) * step + middle)
 
 
-def ordered_categories(rows: DataFrame, x: str, value: str) -> DataFrame:
-    """Categories with their medians, ranked by them."""
+def ordered_categories(rows: DataFrame, x: str, value: str, parts: int = 64) -> DataFrame:
+    """Categories with their medians, ranked by them.
+
+    Ranges of medians are ranked by themselves and moved by the number of
+    categories in the ranges before, so no task holds all categories.
+    """
     per = rows.groupBy(x).agg(F.median(value).alias("median"))
-    ranked = F.row_number().over(W.orderBy(F.col("median"), F.col(x)))
-    return per.withColumn("rank", ranked)
+    bounds = sorted(set(per.approxQuantile("median", [i / parts for i in range(1, parts)], 0.005)))
+    place = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col("median"))) if bounds else F.lit(0)
+    per = per.withColumn("_part", F.when(F.col("median").isNull(), len(bounds) + 1).otherwise(place))
+    sizes = per.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    own = F.row_number().over(W.partitionBy("_part").orderBy(F.col("median"), F.col(x)))
+    return per.withColumn("_own", own).join(F.broadcast(before), "_part").select(x, "median", (F.col("_own") + F.col("_before")).alias("rank"))
 
 
 def less_reference(rows: DataFrame, key: list[str], reference: str, value: str, by: str = "track") -> DataFrame:
@@ -103,26 +112,72 @@ def missing_beads(cleaning: DataFrame, share: float = 90.0, pingpong: float = 10
     return per.groupBy(*BEAD).agg(F.bool_or(gone).alias("missing"))
 
 
-def carry_over(experiments: DataFrame, delta: float, overlap: int = 2, ratio: float = 0.6) -> DataFrame:
-    """Pairs of peaks of consecutive experiments within ``delta`` whose oligos don't overlap and whose counts fall enough.
+def overlapping(one: Column, two: Column, least: int | None = None) -> Column:
+    """Whether ``least`` or more bases that end one name begin the other; by default all but one of the shorter name."""
+    short = F.least(F.length(one), F.length(two))
+    sizes = F.sequence(F.greatest(short - 1 if least is None else F.lit(least), F.lit(1)), short)
+    return F.exists(F.when(short >= (1 if least is None else least), sizes).otherwise(F.array().cast("array<int>")), lambda n: (F.right(one, n) == F.left(two, n)) | (F.left(one, n) == F.right(two, n)))
+
+
+def carry_over(experiments: DataFrame, delta: float = 0.003, ratio: float = 0.5, overlap: int | None = None, by: list[str] = ["bead"]) -> DataFrame:
+    """Pairs of peaks, neighbours in position within ``delta`` and of consecutive experiments, that may be left over from one to the other.
 
-    ``experiments`` has (bead, track, oligo, modification, position, count).
+    ``experiments`` has (by..., track, oligo, modification, position, count,
+    keep). The second's oligo differs from the first's and doesn't overlap it,
+    its count is at most ``ratio`` of the first's, and it is to be kept. The
+    reverse strands overlap where the oligos do, as either end is tried.
     """
-    timed = experiments.withColumn("_t", F.dense_rank().over(W.partitionBy("bead").orderBy("modification")))
-    later = timed.select("bead", (F.col("_t") - 1).alias("_t"), F.col("track").alias("next_track"), F.col("oligo").alias("next_oligo"), F.col("position").alias("next_position"), F.col("count").alias("next_count"))
-    pairs = timed.join(later, ["bead", "_t"]).where(F.abs(F.col("position") - F.col("next_position")) < delta)
-    shared = (F.right("oligo", F.lit(overlap)) == F.left("next_oligo", F.lit(overlap))) | (F.left("oligo", F.lit(overlap)) == F.right("next_oligo", F.lit(overlap)))
-    return pairs.where(~shared & (F.col("next_count") <= ratio * F.col("count"))).drop("_t")
-
-
-def confusion(detections: DataFrame, theory: DataFrame, key: list[str], window: float, by: list[str]) -> DataFrame:
-    """TP, FP and FN per group: detections within the window of a position, others, and positions without one."""
-    found = nearest(detections, theory, key, window)
-    hits = found.withColumn("_hit", F.col("closest").isNotNull())
-    one = hits.groupBy(*by).agg(F.count_if("_hit").alias("TP"), F.count_if(~F.col("_hit")).alias("FP"))
-    seen = found.where("closest is not null").select(*key, F.col("closest").alias("target")).distinct()
-    two = theory.join(seen, [*key, "target"], "left_anti").groupBy(*by).agg(F.count("*").alias("FN"))
-    return one.join(two, by, "full").na.fill(0, ["TP", "FP", "FN"])
+    columns = [*by, "track", "oligo", "modification", "position", "count", "keep"]
+    rows = experiments.select(*columns).dropDuplicates([*by, "track", "oligo", "modification", "position", "count"])
+    rows = rows.withColumn("_t", F.dense_rank().over(W.partitionBy(*by).orderBy("modification")))
+    rows = rows.withColumn("_pair", F.explode(F.array(F.col("_t") - 1, F.col("_t"))))
+    over = W.partitionBy(*by, "_pair").orderBy("position", "modification", "track", "oligo", "count")
+    pairs = rows.withColumns({f"next_{c}": F.lead(c).over(over) for c in columns[len(by):]})
+    close = (F.col("next_position") - F.col("position") < delta) & (F.col("next_modification") != F.col("modification"))
+    fewer = F.col("next_count") <= ratio * F.col("count")
+    return pairs.where(close & fewer & F.col("next_keep") & (F.col("oligo") != F.col("next_oligo")) & ~overlapping(F.col("oligo"), F.col("next_oligo"), overlap)).drop("_t", "_pair", "keep", "next_keep")
+
+
+def detections(peaks: DataFrame, theory: DataFrame, *, within: float = 1.0, tolerance: tuple[float, float] = (0.01, 0.01), brother: float = 3.0) -> DataFrame:
+    """Each peak (track, peakposition; one row per event, ``avg``) with the nearest position (track, strand, theopos) of each strand.
+
+    A position is detected where at least ``tolerance`` (of the negative and of
+    the positive strand) of the peak's events lie ``within`` of it. It binds
+    doubly if a position of the other strand is nearer than ``brother``.
+    """
+    spots = theory.select("track", "strand", "theopos").distinct()
+    marks = peaks.select("track", "peakposition").distinct().join(spots.select("track", "strand").distinct(), "track")
+    line = marks.select("track", "strand", F.col("peakposition").alias("x"), F.lit(None).cast("double").alias("theopos")).union(spots.select("track", "strand", F.col("theopos").alias("x"), "theopos"))
+    order = W.partitionBy("track", "strand").orderBy("x")
+    low = F.last("theopos", True).over(order.rangeBetween(W.unboundedPreceding, 0))
+    high = F.first("theopos", True).over(order.rangeBetween(0, W.unboundedFollowing))
+    nearer = F.when(high.isNull() | (F.col("x") - low <= high - F.col("x")), low).otherwise(high)
+    found = line.withColumn("_near", nearer).where("theopos is null").select("track", "strand", F.col("x").alias("peakposition"), F.col("_near").alias("theopos"))
+    other = spots.select("track", F.when(F.col("strand") == "positive", "negative").otherwise("positive").alias("strand"), F.col("theopos").alias("target"))
+    double = nearest(spots, other, ["track", "strand"], brother, "theopos").select("track", "strand", "theopos", F.col("closest").isNotNull().alias("doublebinding"))
+    near = F.count_if(F.abs(F.col("avg") - F.col("theopos")) <= within)
+    groups = peaks.join(found, ["track", "peakposition"]).groupBy("track", "strand", "theopos", "peakposition").agg(F.count("*").alias("estimators"), near.alias("_near"))
+    enough = F.col("_near") / F.col("estimators") >= F.when(F.col("strand") == "positive", tolerance[1]).otherwise(tolerance[0])
+    rows = groups.join(double, ["track", "strand", "theopos"])
+    return rows.select("track", "strand", "theopos", "peakposition", (F.col("peakposition") - F.col("theopos")).alias("dist"), "estimators", "doublebinding", enough.alias("detection"))
+
+
+def confusion_states(found: DataFrame, theory: DataFrame) -> DataFrame:
+    """(track, strand, theopos, state) of all positions: TP or FN on the positive strand, FP or TN on the negative.
+
+    A detected position of the negative strand that binds doubly is a TN.
+    """
+    per = found.groupBy("track", "strand", "theopos").agg(F.bool_or("detection").alias("hit"), F.bool_or(F.col("detection") & F.col("doublebinding")).alias("double"), F.count("*").alias("estimators"))
+    rows = theory.select("track", "strand", "theopos").distinct().join(per, ["track", "strand", "theopos"], "left")
+    hit, double = F.coalesce("hit", F.lit(False)), F.coalesce("double", F.lit(False))
+    state = F.when(F.col("strand") == "positive", F.when(hit, "TP").otherwise("FN")).otherwise(F.when(hit & ~double, "FP").otherwise("TN"))
+    return rows.select("track", "strand", "theopos", F.coalesce("estimators", F.lit(0)).alias("estimators"), state.alias("state"))
+
+
+def confusion(peaks: DataFrame, theory: DataFrame, by: list[str] = ["track"], **options) -> DataFrame:
+    """TP, FP, TN and FN per group."""
+    states = confusion_states(detections(peaks, theory, **options), theory)
+    return states.groupBy(*by).agg(*[F.count_if(F.col("state") == x).alias(x) for x in ("TP", "FP", "TN", "FN")])
 
 
 def summary_sheet(peaks: DataFrame, precision: DataFrame, cycles: DataFrame) -> DataFrame:

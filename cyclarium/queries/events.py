@@ -54,7 +54,7 @@ SQL = {
     "flat_events": f"{_W}, {_FLAT} SELECT track, bead, cycle, event, start, length, round(avg, 9) AS avg, round(std, 9) AS std FROM flat",
     "event_frames": f"{_W}, {_FLAT} SELECT track, bead, cycle, event, unnest(range(start, start + length)) AS frame FROM flat",
     "event_swap": f"{_W}, {_FLAT}, e AS (SELECT track, bead, cycle, event, unnest(range(start, start + length)) AS frame FROM flat) SELECT track, bead, cycle, event, min(frame) AS start, count(*) AS length, list(z + 1 ORDER BY frame) AS data FROM e LEFT JOIN frames USING (track, bead, cycle, frame) GROUP BY ALL",
-    "concatenated": f"{_W}, {_FLAT}, e AS (SELECT track, bead, unnest(range(start, start + length)) AS frame FROM flat) SELECT frames.track, frames.bead, frames.frame, CASE WHEN e.frame IS NOT NULL THEN z END AS z FROM frames LEFT JOIN e ON frames.bead = e.bead AND frames.frame = e.frame WHERE phase = 5",
+    "concatenated": f"{_W}, {_FLAT}, own AS (SELECT * FROM frames WHERE phase = 5) SELECT own.track, own.bead, own.frame, CASE WHEN own.cycle = e.cycle AND own.frame < e.start + e.length THEN z END AS z FROM own ASOF LEFT JOIN flat e ON own.bead = e.bead AND own.frame >= e.start",
     "hold": f"{_W} SELECT track, bead, frame, last_value(CASE WHEN z BETWEEN 20 AND 80 THEN z END IGNORE NULLS) OVER (PARTITION BY track, bead ORDER BY frame ROWS UNBOUNDED PRECEDING) AS z FROM frames",
     "rolling_filter": f"{_W} SELECT track, bead, frame, round(avg(z) OVER (PARTITION BY track, bead ORDER BY frame ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 9) AS z FROM frames",
     "rolling_median": f"{_W} SELECT track, bead, frame, round(quantile_cont(z, 0.5) OVER (PARTITION BY track, bead ORDER BY frame ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 9) AS z FROM frames",

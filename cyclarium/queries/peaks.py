@@ -16,6 +16,11 @@ def _r(df, *columns):
     return df.withColumns({c: round9(F.col(c)) for c in columns})
 
 
+def _small(df, *columns):
+    """The same, but for values that stand for none."""
+    return df.withColumns({c: F.when(F.col(c) < 1e30, round9(F.col(c))) for c in columns})
+
+
 def _selected(s, d, **options):
     return op.select_peaks(_flat(s, d), 1.5, **options)
 
@@ -41,7 +46,7 @@ def _sequences(s, d):
 
 
 def _fits(s, d):
-    rows = read(s, d, "lineitem").where("l_suppkey <= 60")
+    rows = read(s, d, "lineitem")
     return rows.groupBy(F.lit("lineitem").alias("track"), F.col("l_suppkey").alias("bead"), F.concat(F.lit("GF"), F.col("l_linenumber") % 4).alias("hpin")).agg(F.round(F.median("l_quantity") + F.count("*") / 100, 6).alias("cost"), F.lit(1.0).alias("stretch"), F.lit(0.0).alias("bias"))
 
 
@@ -68,9 +73,9 @@ QUERIES = {
     "select_peaks": lambda s, d: _r(_selected(s, d), "avg", "peakposition", "bias"),
     "select_peaks_aligned": lambda s, d: _r(_selected(s, d, align=True), "avg", "peakposition", "bias"),
     "select_peaks_em": lambda s, d: _r(_selected(s, d, method="em"), "avg", "peakposition", "bias"),
-    "probabilities": lambda s, d: _r(op.probabilities(_binned(s, d), _cycles(s, d), least=3), "hybridisationrate", "averageduration", "likelyduration", "probability", "saturation", "uncertainty"),
-    "resolution": lambda s, d: _r(op.resolution(_binned(s, d)), "resolution", "positionprecision").drop("skew"),
-    "peak_table": lambda s, d: _r(op.peak_table(_binned(s, d), _cycles(s, d)), "hybridisationrate", "averageduration").drop("events"),
+    "probabilities": lambda s, d: _small(op.probabilities(_binned(s, d), _cycles(s, d), _bounds(s, d).withColumn("stop", F.col("stop") - 2), least=3), "hybridisationrate", "averageduration", "likelyduration", "probability", "stddev", "saturation", "uncertainty"),
+    "resolution": lambda s, d: _r(op.resolution(_binned(s, d)), "resolution", "positionprecision").withColumn("skew", F.when(F.col("resolution") > 1e-9, F.round("skew", 6))),
+    "peak_table": lambda s, d: _r(op.peak_table(_binned(s, d), _cycles(s, d)), "hybridisationrate", "averageduration").withColumn("events", F.to_json("events")),
     "baseline_peaks": _baseline,
     "single_strand_peaks": _strand,
     "peak_status": lambda s, d: op.peak_status(_peaks(s, d), _baseline(s, d), _strand(s, d)),
@@ -86,21 +91,27 @@ QUERIES = {
 _W = "WITH " + FRAMES_SQL
 _BINNED = f"""{_FLAT}, binned AS (SELECT *, CAST(floor(avg / 8) AS INTEGER) AS peak, (floor(avg / 8) + 0.5) * 8 AS peakposition FROM flat), cycles AS (SELECT track, bead, count(DISTINCT cycle) AS ncycles FROM frames GROUP BY ALL)"""
 _EDGES = f"""{_BINNED}, bounds AS (SELECT track, bead, cycle, min(frame) AS first, max(frame) + 1 AS stop FROM frames WHERE phase = 5 GROUP BY ALL), initial AS (SELECT track, bead, quantile_cont(z, 0.5) AS position FROM frames WHERE phase = 1 GROUP BY ALL),
-low AS (SELECT track, bead, peak, first(peakposition) AS z, first(position) AS p, first(ncycles) AS n, count(DISTINCT cycle) FILTER (WHERE start + length >= stop - 5) AS late FROM binned JOIN bounds USING (track, bead, cycle) JOIN initial USING (track, bead) JOIN cycles USING (track, bead) GROUP BY track, bead, peak),
+low AS (SELECT track, bead, peak, first(peakposition) AS z, first(position) AS p, first(ncycles) AS n, count(*) FILTER (WHERE ends > stop - 5) AS late FROM (SELECT track, bead, peak, cycle, first(peakposition) AS peakposition, arg_max(start + length, start) AS ends FROM binned GROUP BY ALL) JOIN bounds USING (track, bead, cycle) JOIN initial USING (track, bead) JOIN cycles USING (track, bead) GROUP BY track, bead, peak),
 baseline AS (SELECT track, bead, min(z) AS baseline FROM low WHERE z <= p + 5 AND late > 0.05 * n GROUP BY ALL),
 early AS (SELECT track, bead, peak, first(peakposition) AS z, avg(CAST(start - bounds.first < 12 AS INTEGER)) AS early FROM binned JOIN bounds USING (track, bead, cycle) WHERE cycle % 2 = 0 GROUP BY track, bead, peak),
 cut AS (SELECT *, max(CAST(early <= 0.4 AS INTEGER)) OVER (PARTITION BY track, bead ORDER BY z DESC ROWS UNBOUNDED PRECEDING) AS broken FROM early), strand AS (SELECT track, bead, min(z) AS singlestrand FROM cut WHERE broken = 0 GROUP BY ALL),
 own AS (SELECT DISTINCT track, bead, peak, peakposition FROM binned)"""
-_FITS = "fits AS (SELECT 'lineitem' AS track, l_suppkey AS bead, 'GF' || (l_linenumber % 4) AS hpin, round(quantile_cont(l_quantity, 0.5) + count(*) / 100, 6) AS cost, 1.0::DOUBLE AS stretch, 0.0::DOUBLE AS bias FROM lineitem WHERE l_suppkey <= 60 GROUP BY ALL), r AS (SELECT *, row_number() OVER w AS i, lead(cost) OVER w AS other FROM fits WINDOW w AS (PARTITION BY track, bead ORDER BY cost, hpin)), best AS (SELECT track, bead, hpin, cost, stretch, bias, CASE WHEN other IS NULL THEN 1 ELSE coalesce(((other - cost) / nullif(greatest(cost, other), 0) - 0.5) * 2, -1) END AS silhouette FROM r WHERE i = 1)"""
+_FITS = "fits AS (SELECT 'lineitem' AS track, l_suppkey AS bead, 'GF' || (l_linenumber % 4) AS hpin, round(quantile_cont(l_quantity, 0.5) + count(*) / 100, 6) AS cost, 1.0::DOUBLE AS stretch, 0.0::DOUBLE AS bias FROM lineitem GROUP BY ALL), r AS (SELECT *, row_number() OVER w AS i, lead(cost) OVER w AS other FROM fits WINDOW w AS (PARTITION BY track, bead ORDER BY cost, hpin)), best AS (SELECT track, bead, hpin, cost, stretch, bias, CASE WHEN other IS NULL THEN 1 ELSE coalesce(((other - cost) / nullif(greatest(cost, other), 0) - 0.5) * 2, -1) END AS silhouette FROM r WHERE i = 1)"""
 SQL = {
     "density_maxima": f"""{_W}, b AS (SELECT track, bead, round_even((z - min(z) OVER (PARTITION BY track, bead)) / 7, 0)::BIGINT AS bin FROM frames WHERE z IS NOT NULL), h AS (SELECT track, bead, bin, count(*) AS n FROM b GROUP BY ALL),
 s AS (SELECT track, bead, bin + k AS bin, round(sum(n * w), 9) AS density FROM h, (VALUES (-2, 0.1::DOUBLE), (-1, 0.2::DOUBLE), (0, 0.4::DOUBLE), (1, 0.2::DOUBLE), (2, 0.1::DOUBLE)) AS kernel(k, w) GROUP BY track, bead, bin + k),
 m AS (SELECT *, max(density) OVER (w RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS top, coalesce(max(density) OVER (w RANGE BETWEEN 2 PRECEDING AND 1 PRECEDING), 0) AS earlier, max(density) OVER (w RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING) AS a, max(density) OVER (w RANGE BETWEEN 1 FOLLOWING AND 1 FOLLOWING) AS c FROM s WINDOW w AS (PARTITION BY track, bead ORDER BY bin))
 SELECT track, bead, bin, density, round(coalesce(bin + CASE WHEN a - 2 * density + c < 0 THEN 0.5 * (a - c) / (a - 2 * density + c) ELSE 0 END, bin), 9) AS vertex FROM m WHERE density = top AND density > earlier""",
-    "probabilities": f"""{_W}, {_BINNED}, per AS (SELECT track, bead, peak, count(*) AS nevents, count(DISTINCT cycle) AS nhits, sum(length) AS total FROM binned GROUP BY ALL), l AS (SELECT *, (total - nevents * 2.5) / nevents AS likely FROM per JOIN cycles USING (track, bead)), p AS (SELECT *, CASE WHEN likely > 0 THEN exp(-1 / likely) END AS p FROM l)
-SELECT track, bead, peak, nevents, ncycles, 0 AS ntoolong, round(nhits / ncycles, 9) AS hybridisationrate, round(total / nevents / 30, 9) AS averageduration, round(likely / 30, 9) AS likelyduration, round(p, 9) AS probability, 0.0::DOUBLE AS saturation, round(sqrt(p * (1 - p) / nevents), 9) AS uncertainty FROM p""",
-    "resolution": f"{_W}, {_BINNED}, m AS (SELECT track, bead, peak, cycle, sum(avg * length) / sum(length) AS m FROM binned GROUP BY ALL) SELECT track, bead, peak, round(stddev_pop(m), 9) AS resolution, round(stddev_pop(m) / sqrt(count(*)), 9) AS positionprecision FROM m GROUP BY ALL",
-    "peak_table": f"{_W}, {_BINNED} SELECT track, bead, peak, first(peakposition) AS peakposition, count(*) AS eventcount, round(count(DISTINCT cycle) / first(ncycles), 9) AS hybridisationrate, round(avg(length) / 30, 9) AS averageduration FROM binned JOIN cycles USING (track, bead) GROUP BY track, bead, peak",
+    "probabilities": f"""{_W}, {_BINNED}, spans AS (SELECT track, bead, peak, cycle, min(start) AS a, max(start + length) AS b FROM binned GROUP BY ALL), limits AS (SELECT track, bead, cycle, max(frame) - 1 AS stop FROM frames WHERE phase = 5 GROUP BY ALL),
+per AS (SELECT track, bead, peak, count(*) AS nevents, count_if(b > stop) AS ntoolong, sum(b - a) AS totalduration FROM spans LEFT JOIN limits USING (track, bead, cycle) GROUP BY ALL),
+x AS (SELECT *, 1 - ntoolong / nevents AS rest, 1 - ntoolong / nevents + totalduration / nevents - 3 AS beyond FROM per JOIN cycles USING (track, bead)),
+p AS (SELECT *, CASE WHEN nevents > ntoolong AND beyond > 0 THEN rest / beyond ELSE 0 END AS p, CASE WHEN beyond > 0 THEN sqrt(1 - rest / beyond) / beyond ELSE 0 END AS sd FROM x),
+t AS (SELECT *, CASE WHEN p >= 1 THEN 0 WHEN p > 0 THEN 1 / (-ln(1 - p) * 30) END AS likely FROM p)
+SELECT track, bead, peak, nevents, ncycles, ntoolong, totalduration, round(least(1, nevents / ncycles), 9) AS hybridisationrate, round(totalduration / nevents / 30, 9) AS averageduration, round(likely, 9) AS likelyduration, round(p, 9) AS probability, round(sd, 9) AS stddev,
+round(least(100, 100 * ntoolong / nevents), 9) AS saturation, CASE WHEN nevents > ntoolong THEN round(likely / sqrt(nevents - ntoolong), 9) END AS uncertainty, 3 < 1 + (totalduration - ntoolong) / nevents AS good FROM t""",
+    "resolution": f"""{_W}, {_BINNED}, m AS (SELECT track, bead, peak, cycle, sum(avg * length) / sum(length) AS m FROM binned GROUP BY ALL), c AS (SELECT *, m - avg(m) OVER (PARTITION BY track, bead, peak) AS d FROM m)
+SELECT track, bead, peak, round(stddev_pop(m), 9) AS resolution, round(stddev_pop(m) / sqrt(count(*)), 9) AS positionprecision, CASE WHEN stddev_pop(m) > 1e-9 THEN round(avg(d * d * d) / power(avg(d * d), 1.5::DOUBLE), 6) END AS skew FROM c GROUP BY ALL""",
+    "peak_table": f"{_W}, {_BINNED} SELECT track, bead, peak, first(peakposition) AS peakposition, count(*) AS eventcount, round(count(DISTINCT cycle) / first(ncycles), 9) AS hybridisationrate, round(avg(length) / 30, 9) AS averageduration, CAST(to_json(list({{'cycle': cycle, 'start': start, 'length': length, 'avg': avg}} ORDER BY cycle, start)) AS VARCHAR) AS events FROM binned JOIN cycles USING (track, bead) GROUP BY track, bead, peak",
     "baseline_peaks": f"{_W}, {_EDGES} SELECT * FROM baseline",
     "single_strand_peaks": f"{_W}, {_EDGES} SELECT * FROM strand",
     "peak_status": f"{_W}, {_EDGES} SELECT track, bead, peak, peakposition, CASE WHEN peakposition < baseline THEN '< baseline' WHEN peakposition = baseline THEN 'baseline' WHEN peakposition = singlestrand THEN 'singlestrand' WHEN peakposition > singlestrand THEN '> singlestrand' ELSE '' END AS status FROM own LEFT JOIN baseline USING (track, bead) LEFT JOIN strand USING (track, bead)",

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cyclarium.functions.signal import round9
 from cyclarium.operators import selection as op
+from cyclarium.queries.events import _FLAT, _flat
 from cyclarium.sources.fixtures import FRAMES_SQL, SIGNALS_SQL, frames, read, short_signals
 
 _K = ["track", "bead", "frame", "cycle", "cycleframe", "phase", "z"]
@@ -28,12 +29,13 @@ def _targets(s, d):
 
 
 def _secondaries(s, d):
-    rows = read(s, d, "events").where("event_id < 600 and event_id % 7 = 0")
-    return rows.select(F.lit("lineitem").alias("track"), F.lit("tsample").alias("name"), F.col("event_id").alias("frame"), F.col("value"))
+    return read(s, d, "events").select(F.lit("lineitem").alias("track"), F.lit("tsample").alias("name"), (F.col("event_id") * 7).alias("frame"), F.col("value"))
 
 
 def _overrides(s, d):
-    return frames(s, d).where("bead in (4, 5) and cycle % 2 = 0").select("track", "bead", "frame", (F.col("z") * 2).alias("z"))
+    """One value per user and frame: the bead of that number has these alone."""
+    rows = read(s, d, "events").groupBy(F.col("user_id").alias("bead"), (F.col("event_id") % 600).alias("frame")).agg(F.max("value").alias("z"))
+    return rows.select(F.lit("lineitem").alias("track"), "bead", "frame", "z")
 
 
 QUERIES = {
@@ -41,24 +43,24 @@ QUERIES = {
     "selecting_pairs": lambda s, d: op.selecting(frames(s, d), _pairs(s, d), ["track", "bead", "cycle"]),
     "discarding_pairs": lambda s, d: op.discarding(frames(s, d), _pairs(s, d), ["track", "bead", "cycle"]),
     "with_phases_cycles_samples": lambda s, d: op.with_samples(op.with_cycles(op.with_phases(frames(s, d), 3, 5), 2, 9), 1, 3),
-    "assign_phases": lambda s, d: op.assign_phases(frames(s, d).where("bead = 1").select("track", "frame", "z"), op.phase_table(frames(s, d).where("bead = 1"))),
+    "assign_phases": lambda s, d: op.assign_phases(frames(s, d).select("track", "bead", "frame", "z"), op.phase_table(frames(s, d))),
     "sample_cycles": lambda s, d: op.sample_cycles(frames(s, d), [2, 3, 7]),
     "rename_beads": lambda s, d: op.rename_beads(frames(s, d), {1: 1001, 2: 1002}).select("track", "bead", "frame", "z"),
-    "concatenate": lambda s, d: op.concatenate(frames(s, d).where("bead <= 3 and cycle < 2"), frames(s, d).where("bead between 2 and 4 and cycle between 4 and 5")),
+    "concatenate": lambda s, d: op.concatenate(frames(s, d), frames(s, d).withColumn("bead", F.col("bead") + 5)),
     "common_beads": lambda s, d: op.common_beads(short_signals(s, d)),
     "available_beads": lambda s, d: op.available_beads(short_signals(s, d)),
     "common_tracks": lambda s, d: op.common_tracks(short_signals(s, d), [1, 2, 3]),
     "track_counts": lambda s, d: op.track_counts(short_signals(s, d)),
     "least_common_names": lambda s, d: op.least_common_names(_names(s, d)),
     "matching_names": lambda s, d: op.matching_names(_names(s, d), "^exp_", weak=3),
-    "override_cycles": lambda s, d: op.override_cycles(frames(s, d).where("bead <= 6"), _overrides(s, d)),
-    "as_of": lambda s, d: op.as_of(frames(s, d).where("bead <= 5"), _secondaries(s, d), "tsample").select("track", "bead", "frame", "latest", round9(F.col("interpolated")).alias("interpolated")),
+    "override_cycles": lambda s, d: op.override_cycles(frames(s, d), _overrides(s, d)),
+    "as_of": lambda s, d: op.as_of(frames(s, d), _secondaries(s, d), "tsample").select("track", "bead", "frame", "latest", round9(F.col("interpolated")).alias("interpolated")),
     "wide_beads": lambda s, d: op.wide_beads(frames(s, d), [1, 2, 3]),
     "nearest_target": lambda s, d: op.nearest(_points(s, d), _targets(s, d), ["bead"], 2.0).withColumn("delta", round9(F.col("delta"))),
     "exclusive_target": lambda s, d: op.exclusive(op.nearest(_points(s, d), _targets(s, d), ["bead"], 2.0), ["bead"]).withColumn("delta", round9(F.col("delta"))),
     "mutual_matches": lambda s, d: op.mutual(_points(s, d), _targets(s, d), ["bead"], 2.0),
     "missed_targets": lambda s, d: op.missed(_targets(s, d), op.mutual(_points(s, d), _targets(s, d), ["bead"], 2.0), ["bead"]),
-    "compare_events": lambda s, d: op.compare_events(frames(s, d).where("phase = 5"), F.coalesce(F.col("z") > 90, F.lit(False))),
+    "compare_events": lambda s, d: op.compare_events(_flat(s, d), (F.col("avg") > 60) & (F.col("length") >= 6)),
 }
 
 _W = "WITH " + FRAMES_SQL
@@ -74,11 +76,11 @@ SQL = {
     "selecting_pairs": f"{_W}, {_PAIRS} SELECT {_C} FROM frames SEMI JOIN pairs USING (track, bead, cycle)",
     "discarding_pairs": f"{_W}, {_PAIRS} SELECT {_C} FROM frames ANTI JOIN pairs USING (track, bead, cycle)",
     "with_phases_cycles_samples": f"{_W} SELECT {_C} FROM frames WHERE phase BETWEEN 3 AND 5 AND cycle BETWEEN 2 AND 8 AND (frame - 1) % 3 = 0",
-    "assign_phases": f"{_W} SELECT track, frame, z, cycle, phase FROM frames WHERE bead = 1",
+    "assign_phases": f"{_W} SELECT track, bead, frame, z, cycle, phase FROM frames",
     "sample_cycles": f"{_W} SELECT track, bead, row_number() OVER (PARTITION BY track, bead ORDER BY frame) - 1 AS frame, dense_rank() OVER (PARTITION BY track, bead ORDER BY cycle) - 1 AS cycle, cycleframe, phase, z FROM frames WHERE cycle IN (2, 3, 7)",
     "rename_beads": f"{_W} SELECT track, CASE bead WHEN 1 THEN 1001 WHEN 2 THEN 1002 ELSE bead END AS bead, frame, z FROM frames",
-    "concatenate": f"""{_W}, one AS (SELECT * FROM frames WHERE bead <= 3 AND cycle < 2), two AS (SELECT * FROM frames WHERE bead BETWEEN 2 AND 4 AND cycle BETWEEN 4 AND 5),
-united AS (SELECT * FROM one UNION ALL SELECT track, bead, frame - (SELECT min(frame) FROM two) + (SELECT max(frame) + 1 FROM one) AS frame, cycle + 2 AS cycle, cycleframe, phase, z FROM two)
+    "concatenate": f"""{_W}, one AS (SELECT * FROM frames), two AS (SELECT * REPLACE (bead + 5 AS bead) FROM frames),
+united AS (SELECT * FROM one UNION ALL SELECT track, bead, frame - (SELECT min(frame) FROM two) + (SELECT max(frame) + 1 FROM one) AS frame, cycle + (SELECT max(cycle) + 1 FROM one) AS cycle, cycleframe, phase, z FROM two)
 SELECT p.track, b.bead, p.frame, p.cycle, p.cycleframe, p.phase, v.z FROM (SELECT DISTINCT track, frame, cycle, cycleframe, phase FROM united) p JOIN (SELECT DISTINCT bead FROM united) b ON TRUE LEFT JOIN united v ON v.bead = b.bead AND v.frame = p.frame""",
     "common_beads": f"WITH {SIGNALS_SQL} SELECT bead FROM signals GROUP BY bead HAVING count(DISTINCT track) = (SELECT count(DISTINCT track) FROM signals)",
     "available_beads": f"WITH {SIGNALS_SQL} SELECT DISTINCT bead FROM signals",
@@ -87,8 +89,8 @@ SELECT p.track, b.bead, p.frame, p.cycle, p.cycleframe, p.phase, v.z FROM (SELEC
     "least_common_names": f"""WITH {_NAMES}, t AS (SELECT track, unnest(string_split(track, '_')) AS token, generate_subscripts(string_split(track, '_'), 1) AS i FROM names), shared AS (SELECT token FROM t GROUP BY token HAVING count(DISTINCT track) = (SELECT count(*) FROM names))
 SELECT names.track AS track, coalesce(name, 'ref') AS name FROM names LEFT JOIN (SELECT track, string_agg(token, '_' ORDER BY i) AS name FROM t WHERE token NOT IN (SELECT token FROM shared) GROUP BY track) AS n ON n.track = names.track""",
     "matching_names": f"WITH {_NAMES} SELECT track FROM names WHERE regexp_matches(track, '^exp_') AND length(track) - length(regexp_replace(track, '[atAT]', '', 'g')) = 3",
-    "override_cycles": f"{_W} SELECT track, bead, frame, cycle, cycleframe, phase, CASE WHEN bead IN (4, 5) THEN CASE WHEN cycle % 2 = 0 THEN z * 2 END ELSE z END AS z FROM frames WHERE bead <= 6",
-    "as_of": f"""{_W}, sec AS (SELECT event_id AS frame, value FROM events WHERE event_id < 600 AND event_id % 7 = 0), j AS (SELECT f.track, f.bead, f.frame, a.value AS v0, a.frame AS f0, b.value AS v1, b.frame AS f1 FROM (SELECT * FROM frames WHERE bead <= 5) f ASOF LEFT JOIN sec a ON f.frame >= a.frame ASOF LEFT JOIN sec b ON f.frame <= b.frame),
+    "override_cycles": f"{_W}, ov AS (SELECT user_id AS bead, event_id % 600 AS frame, max(value) AS z FROM events GROUP BY ALL) SELECT f.track, f.bead, f.frame, f.cycle, f.cycleframe, f.phase, CASE WHEN b.bead IS NULL THEN f.z ELSE ov.z END AS z FROM frames f LEFT JOIN (SELECT DISTINCT bead FROM ov) b ON f.bead = b.bead LEFT JOIN ov ON f.bead = ov.bead AND f.frame = ov.frame",
+    "as_of": f"""{_W}, sec AS (SELECT event_id * 7 AS frame, value FROM events), j AS (SELECT f.track, f.bead, f.frame, a.value AS v0, a.frame AS f0, b.value AS v1, b.frame AS f1 FROM frames f ASOF LEFT JOIN sec a ON f.frame >= a.frame ASOF LEFT JOIN sec b ON f.frame <= b.frame),
 last AS (SELECT bead, max(frame) AS m FROM frames GROUP BY bead), k AS (SELECT j.track, j.bead, j.frame, v0, f0, CASE WHEN f1 <= m THEN v1 END AS v1, CASE WHEN f1 <= m THEN f1 END AS f1 FROM j JOIN last USING (bead))
 SELECT track, bead, frame, v0 AS latest, round(coalesce(CASE WHEN f0 = f1 THEN v0 ELSE v0 + (v1 - v0) * (frame - f0) / (f1 - f0) END, v0, v1), 9) AS interpolated FROM k""",
     "wide_beads": f"{_W} SELECT track, frame, max(z) FILTER (WHERE bead = 1) AS b1, max(z) FILTER (WHERE bead = 2) AS b2, max(z) FILTER (WHERE bead = 3) AS b3 FROM frames WHERE bead IN (1, 2, 3) GROUP BY ALL",
@@ -97,5 +99,5 @@ SELECT track, bead, frame, v0 AS latest, round(coalesce(CASE WHEN f0 = f1 THEN v
 SELECT bead, position, CASE WHEN k THEN closest END AS closest, CASE WHEN k THEN round(position - closest, 9) END AS delta FROM r""",
     "mutual_matches": f"WITH {_NEAR} SELECT bead, position, target FROM mutual",
     "missed_targets": f"WITH {_NEAR} SELECT bead, position, target, 'truepos' AS status FROM mutual UNION ALL SELECT bead, NULL, target, 'falseneg' FROM targets ANTI JOIN mutual USING (bead, target)",
-    "compare_events": f"{_W} SELECT track, bead, cycle FROM frames WHERE phase = 5 GROUP BY ALL HAVING bool_or(coalesce(z > 90, FALSE))",
+    "compare_events": f"{_W}, {_FLAT} SELECT track, bead, cycle FROM flat GROUP BY ALL HAVING bool_or(avg > 60 AND length >= 6)",
 }
