@@ -9,7 +9,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,11 +22,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is ``spark.checkpoint.dir``; only where that is unset (local tests) a
-    temporary folder is made and kept for the rest of the session.
+    It is ``spark.checkpoint.dir``; only where that is unset in local tests a
+    temporary folder is made and kept for the rest of the session. On a cluster
+    a folder of one machine would lose what executors write, so it must be set.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = f"file://{tempfile.mkdtemp(prefix='cyclarium-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     at = spark._jvm.org.apache.hadoop.fs.Path(root)
@@ -37,18 +43,34 @@ def shared_path(spark: SparkSession) -> str:
 
 
 #: Open scopes, the innermost last: what each is to delete.
-_SCOPES: list[list[DataFrame]] = []
+_SCOPES: list[list[DataFrame | Broadcast]] = []
 
 
 @contextlib.contextmanager
 def scratch() -> Iterator[None]:
-    """What is cut inside is deleted at the end, but for cuts made for the outside."""
+    """What is cut or shared inside is deleted at the end, but for cuts made for the outside."""
     _SCOPES.append([])
     try:
         yield
     finally:
-        for df in _SCOPES.pop():
-            drop_cut(df)
+        for made in _SCOPES.pop():
+            made.destroy() if isinstance(made, Broadcast) else drop_cut(made)
+
+
+def shared(spark: SparkSession, value: object) -> Broadcast:
+    """A broadcast that lasts as long as the open scope; without one, as long as something refers to it."""
+    out = spark.sparkContext.broadcast(value)
+    if _SCOPES:
+        _SCOPES[-1].append(out)
+    return out
+
+
+def fresh(name: str, columns: list[str]) -> str:
+    """A column name that none of ``columns`` has, whatever its case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def cut(df: DataFrame, outside: bool = False) -> DataFrame:
@@ -74,9 +96,40 @@ def drop_cut(df: DataFrame) -> None:
     path = getattr(df, "_cyclarium_path", None)
     if path:
         df._cyclarium_path = None
-        spark = df.sparkSession
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        delete(df.sparkSession, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder below the shared one, if it is there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+#: Parts into which a hot group's rows are dealt.
+SALTS = 1024
+
+
+def hot_join(rows: DataFrame, table: DataFrame, key: list[str], by: str, how: str = "left") -> DataFrame:
+    """``rows`` joined with ``table``, which has one row per key; a key may hold any share of the rows.
+
+    A group's rows are dealt into ``SALTS`` parts by a hash of the column
+    ``by``; the table's row goes to those of its parts that there are.
+    """
+    salt = fresh("_salt", [*rows.columns, *table.columns])
+    rows = rows.withColumn(salt, F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    return rows.join(rows.select(*key, salt).distinct().join(table, key), [*key, salt], how).drop(salt)
+
+
+def with_least(rows: DataFrame, key: list[str], id_col: str) -> DataFrame:
+    """The rows with ``rep``, the least id of their group, and ``size``, its rows; groups of any size.
+
+    Groups are summed up in parts before they are summed up whole.
+    """
+    salt = fresh("_salt", rows.columns)
+    parts = rows.groupBy(*key, F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int").alias(salt)).agg(F.min(id_col).alias("rep"), F.count("*").alias("size"))
+    groups = parts.groupBy(*key).agg(F.min("rep").alias("rep"), F.sum("size").alias("size")).where("size > 1")
+    out = hot_join(rows, groups, key, id_col)
+    return out.withColumns({"rep": F.coalesce("rep", id_col), "size": F.coalesce("size", F.lit(1))})
 
 
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = 1 << 19) -> Iterator[tuple[int, int]]:

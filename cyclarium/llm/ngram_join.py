@@ -10,7 +10,8 @@ at places that leave enough behind them to be shared.
 Pairs that survive must share prefix n-grams under the other two orders as
 well, and those that do are verified on the whole sets.
 
-Equal sets collapse into one class first. Links are wanted for their
+Equal sets collapse into one class first; a class of any size is summed up in
+parts, and its documents take its component in parts too. Links are wanted for their
 components, so pairs inside a component known already needn't be verified:
 a first pass compares each document only with the smallest document of the
 n-gram's bucket that it meets most often, which joins large groups of near
@@ -20,8 +21,10 @@ that meet in a bucket but lie in different components. No bucket is capped.
 Edge cases: null and empty texts have no n-grams, link with nothing and are
 their own component; texts with fewer words than n are one n-gram; rows with
 equal ids are one node of the graph, linked by any of their texts; rows with a
-null id have a null component unless their text equals another's; other columns
-are ignored; an empty table has an empty result.
+null id have a null component unless their text equals another's; of n-grams
+that tie in an order the smaller hash comes first; texts of any length are read
+whole; other columns are ignored, whatever their names; an empty table has an
+empty result.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cyclarium.llm._common import Words, bytes_of, cut, drop_cut, mix, ranges, scratch, slices, table
+from cyclarium.llm._common import Words, bytes_of, cut, drop_cut, hot_join, mix, ranges, scratch, shared, slices, table, with_least
 from cyclarium.llm.components import components
 
 #: Bytes between words.
@@ -120,7 +123,7 @@ def _lists(values: list[np.ndarray]) -> pa.Array:
 def described(docs: DataFrame, n: int, percent: int, more: int) -> DataFrame:
     """Per row of (id, text): id, n, a 128-bit digest of the set (s, r), and its prefix under the first order."""
     kind = docs.schema["id"].dataType.simpleString()
-    counts = docs.sparkSession.sparkContext.broadcast(frequencies(docs, n))
+    counts = shared(docs.sparkSession, frequencies(docs, n))
     grams = Grams(n)
 
     def run(batches):
@@ -217,13 +220,15 @@ def _joined(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int, m
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     every = cut(described(docs, n, percent, more))
     key = ["n", "s", "r"]
-    classes = every.where("n > 0").groupBy(*key).agg(F.min("id").alias("rep"), F.count("*").alias("size"))
-    copies = every.where("n > 0").select("id", *key).join(classes.where("size > 1"), key).where("id <> rep").select("id", "rep", *key)
-    copies = cut(copies.distinct())
-    own = cut(every.where("n > 0").join(copies.select("id", *key), ["id", *key], "left_anti").select("id", "n", F.posexplode("prefix").alias("place", "gram")))
-    met = own.groupBy("gram").agg(F.min(F.struct("id", "n", "place")).alias("first"), F.max("id").alias("last")).where("first.id <> last")
-    live = cut(own.join(met, "gram").select("gram", "id", "n", "place", F.col("first.id").alias("pivot"), F.col("first.n").alias("pivot_n"), F.col("first.place").alias("pivot_place")))
-    near = live.where((F.col("id") != F.col("pivot")) & _similar_sizes("n", "pivot_n", percent) & _in_reach("n", "pivot_n", F.col("place"), F.col("pivot_place"), percent, more))
+    member = cut(with_least(every.where("n > 0").select("id", *key), key, "id").select("id", *key, "rep"))
+    copies = member.where("id <> rep").select("id", *key)
+    few = copies.count() <= BROADCAST_ROWS
+    own = cut(every.where("n > 0").join(F.broadcast(copies) if few else copies, ["id", *key], "left_anti").select("id", "n", F.posexplode("prefix").alias("place", "gram")))
+    met = own.groupBy("gram").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot <> last").select("gram", "pivot")
+    live = cut(own.join(met, "gram").select("gram", "id", "n", "place", "pivot"))
+    pivots = live.where("id = pivot").groupBy("gram").agg(F.min("n").alias("pivot_n"), F.min_by("place", "n").alias("pivot_place"))
+    near = live.where("id <> pivot").join(pivots, "gram")
+    near = near.where(_similar_sizes("n", "pivot_n", percent) & _in_reach("n", "pivot_n", F.col("place"), F.col("pivot_place"), percent, more))
     near = near.groupBy("id", "n", "pivot", "pivot_n").agg(F.count("*").alias("shared"), F.min("place").alias("place"), F.min("pivot_place").alias("pivot_place"))
     near = near.where((F.col("shared") >= _enough("n", "pivot_n", percent, more)) & _in_reach("n", "pivot_n", F.col("place"), F.col("pivot_place"), percent, 0))
     drop_cut(own)
@@ -246,10 +251,16 @@ def _joined(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int, m
     across = across.where((F.col("shared") >= _enough("n_a", "n_b", percent, more)) & _in_reach("n_a", "n_b", F.col("place_a"), F.col("place_b"), percent, 0))
     more_links = verified(across.select("a", "b"), docs, n, percent)
 
-    all_links = links.union(more_links).union(copies.select(F.col("rep").alias("a"), F.col("id").alias("b")))
-    found = components(all_links)
-    out = every.select("id", "n").join(found, "id", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+    # An id with several texts ties their classes.
+    by_id = cut(member.groupBy("id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")))
+    several = by_id.where("low <> high")
+    tied = several.select(F.col("low").alias("a"), F.col("high").alias("b")).union(several.select("low", "id"))
+    tied = tied.union(member.join(several.select("id"), "id", "left_semi").select("rep", "id"))
+    found = components(links.union(more_links).union(tied))
+    full = hot_join(member.select("id", "n", "rep"), found.select(F.col("id").alias("rep"), "component"), ["rep"], "id").select("id", "n", F.coalesce("component", "rep").alias("component"))
+    bare = every.where("n = 0").select("id", "n").join(by_id.select("id", F.col("low").alias("rep")), "id", "left").join(found.withColumnRenamed("id", "rep"), "rep", "left")
+    out = full.union(bare.select("id", "n", F.coalesce("component", "rep", "id")))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
