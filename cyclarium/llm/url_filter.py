@@ -6,16 +6,25 @@ suffix that of its registered domains, a domain that of its hosts. At each
 level the prior is a beta distribution whose mean is the parent's posterior
 mean and whose strength comes from how far the children's rates scatter about
 their parents' (method of moments over beta-binomial counts). A host is
-blocked if the lower bound of its posterior rate exceeds the limit; one
-without labelled pages has its domain's posterior as its prior, and so on up.
+blocked if the lower bound of its posterior rate exceeds the limit. A host
+without labelled pages has its prior as its posterior, about the mean of the
+nearest level that has labelled pages.
 
-Outcomes are counted per host before anything is joined. A join on hosts has a
+A suffix is a host's last label, or its last two where these are one of
+``SUFFIXES``; a registered domain is the suffix and one label more.
+
+Outcomes are counted per host and stored before anything is joined, so pages
+are read twice: for the counts and for the verdicts. A join on hosts has a
 table of one row per host on one side, so Spark can split a hot host's pages.
 
 Edge cases: null urls and urls without "://" have an empty host and path, and
-get the verdict of all pages' rate; hosts without a dot are their own domain
-and suffix; repeated pages are judged alike, repeated labels count each; labels
-without an outcome and labels of unknown pages are ignored.
+get the verdict of a host without labelled pages anywhere; hosts without a dot
+are their own domain and suffix; repeated pages are judged alike, repeated
+labels count each; labels without an outcome and labels of unknown pages are
+ignored; of rules of equal length that fit, the last in the alphabet wins; urls
+of any length are read whole; empty tables give empty results or, as outcomes,
+an even prior; input columns with the names of the results are replaced, all
+others stay.
 """
 
 from __future__ import annotations
@@ -25,10 +34,12 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cyclarium.llm._common import table
+from cyclarium.llm._common import cut, fresh, table
 
 #: Rules of host and path, with their verdicts.
 RULES = {"com/": "allow", "example.com/en/": "block", "www.example.com/en/": "allow", "net/es/": "block", "net/fr/": "block"}
+#: Suffixes of two labels under which domains are registered: fixed values.
+SUFFIXES = ("ac.uk", "co.uk", "gov.uk", "org.uk", "com.au", "net.au", "org.au", "co.nz", "co.jp", "ne.jp", "or.jp", "co.kr", "co.in", "com.br", "com.mx", "com.ar", "com.cn", "com.tw", "com.hk", "com.sg", "com.tr", "co.za", "co.il")
 #: A host is blocked if its rate of bad pages exceeds LIMIT with Z standard deviations to spare.
 LIMIT, Z = 0.5, 1.645
 #: Bounds of a prior's strength in pages.
@@ -76,17 +87,25 @@ def _strength(children: DataFrame) -> float:
     return round(1 / share - 1, 6)
 
 
-def reputations(outcomes: DataFrame, *, z: float = Z) -> tuple[dict[str, DataFrame], float]:
-    """From (host, bad): bound, the lower limit of the bad rate, by host, domain and suffix, and of all pages.
+def levels_of(host: Column) -> tuple[Column, Column]:
+    """The registered domain and the suffix of a host."""
+    labels = F.split(host, r"\.")
+    last = lambda k: F.array_join(F.slice(labels, -k, k), ".")
+    two = (F.size(labels) > 1) & last(2).isin(*SUFFIXES)
+    domain = F.when(F.size(labels) > F.when(two, 3).otherwise(2), F.when(two, last(3)).otherwise(last(2))).otherwise(host)
+    return domain, F.when(two, last(2)).otherwise(F.element_at(labels, -1))
+
+
+def reputations(outcomes: DataFrame) -> tuple[dict[str, DataFrame], float, float]:
+    """From (host, bad): key, n and posterior mean by host, domain and suffix; all pages' rate; the strength of a host's prior.
 
-    ``bad`` is a boolean. Each table has the columns key and bound.
+    ``bad`` is a boolean.
     """
-    labels = F.split("host", r"\.")
     hosts = outcomes.groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("bad").cast("bigint")).alias("bad"))
-    hosts = hosts.withColumns({"domain": F.when(F.size(labels) > 2, F.array_join(F.slice(labels, -2, 2), ".")).otherwise(F.col("host")), "suffix": F.element_at(labels, -1)})
+    domain, suffix = levels_of(F.col("host"))
+    hosts = cut(hosts.withColumns({"domain": domain, "suffix": suffix}))
     total = hosts.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).first()
-    n, bad = total["n"] or 0, total["bad"] or 0
-    top = (bad + 0.5) / (n + 1)
+    top = ((total["bad"] or 0) + 0.5) / ((total["n"] or 0) + 1)
     sums = (F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     levels, above = {}, None
     for level, parent, counts in (("suffix", None, hosts.groupBy("suffix").agg(*sums)), ("domain", "suffix", hosts.groupBy("domain", "suffix").agg(*sums)), ("host", "domain", hosts)):
@@ -94,31 +113,30 @@ def reputations(outcomes: DataFrame, *, z: float = Z) -> tuple[dict[str, DataFra
             counts = counts.withColumn("prior", F.lit(top))
         else:
             counts = counts.join(above.select(F.col(parent), F.col("mean").alias("prior")), parent)
+        counts = cut(counts)
         strength = _strength(counts)
-        a = F.col("prior") * strength + F.col("bad")
-        all_ = F.lit(strength) + F.col("n")
-        mean = a / all_
-        bound = mean - z * F.sqrt(mean * (1 - mean) / (all_ + 1))
-        above = counts.withColumns({"mean": mean, "bound": bound})
-        levels[level] = above.select(F.col(level).alias("key"), "bound")
-    return levels, top
+        above = counts.withColumn("mean", (F.col("prior") * strength + F.col("bad")) / (F.lit(strength) + F.col("n")))
+        levels[level] = above.select(F.col(level).alias("key"), "n", "mean")
+    return levels, top, strength
 
 
 def judge(pages: DataFrame, outcomes: DataFrame, rules: dict[str, str] = RULES, *, url_col: str = "url", limit: float = LIMIT, z: float = Z) -> DataFrame:
-    """The pages with host, path, rule and verdict, which replace columns of these names."""
-    pages = pages.drop("host", "path", "rule", "verdict")
-    columns = pages.columns
-    pages = pages.withColumns({"host": host_of(F.col(url_col)), "path": path_of(F.col(url_col))})
-    pages = pages.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
-    levels, top = reputations(outcomes, z=z)
-    labels = F.split("host", r"\.")
-    pages = pages.withColumns({"_domain": F.when(F.size(labels) > 2, F.array_join(F.slice(labels, -2, 2), ".")).otherwise(F.col("host")), "_suffix": F.element_at(labels, -1)})
-    for level, key in (("host", "host"), ("domain", "_domain"), ("suffix", "_suffix")):
-        pages = pages.join(levels[level].select(F.col("key").alias(key), F.col("bound").alias(f"_{level}_bound")), key, "left")
-    bound = F.coalesce("_host_bound", "_domain_bound", "_suffix_bound", F.lit(top))
+    """The pages with host, path, rule, verdict and bad_rate_bound, which replace columns of these names."""
+    made = ("host", "path", "rule", "verdict", "bad_rate_bound")
+    columns = [c for c in pages.columns if c.lower() not in made]
+    host, path, rule, domain, suffix, *means, n = (fresh(f"_{x}", pages.columns) for x in ("host", "path", "rule", "domain", "suffix", "host_mean", "domain_mean", "suffix_mean", "n"))
+    levels, top, strength = reputations(outcomes)
+    pages = pages.withColumns({host: host_of(F.col(url_col)), path: path_of(F.col(url_col))})
+    names = levels_of(F.col(host))
+    pages = pages.withColumns({rule: rule_of(F.col(host), F.col(path), rules), domain: names[0], suffix: names[1]})
+    for level, key, mean in zip(("host", "domain", "suffix"), (host, domain, suffix), means):
+        own = [F.col("n").alias(n)] if level == "host" else []
+        pages = pages.join(levels[level].select(F.col("key").alias(key), F.col("mean").alias(mean), *own), key, "left")
+    mean = F.coalesce(*means, F.lit(top))
+    bound = mean - z * F.sqrt(mean * (1 - mean) / (F.lit(strength) + F.coalesce(n, F.lit(0)) + 1))
     verdicts = F.create_map(*[F.lit(x) for pair in rules.items() for x in pair]) if rules else F.create_map().cast("map<string,string>")
-    verdict = F.coalesce(F.element_at(verdicts, F.col("rule")), F.when(bound > limit, "block").otherwise("allow"))
-    return pages.select(*columns, "host", "path", "rule", verdict.alias("verdict"), F.round(bound, 6).alias("bad_rate_bound"))
+    verdict = F.coalesce(F.element_at(verdicts, F.col(rule)), F.when(bound > limit, "block").otherwise("allow"))
+    return pages.select(*columns, F.col(host).alias("host"), F.col(path).alias("path"), F.col(rule).alias("rule"), verdict.alias("verdict"), F.round(bound, 6).alias("bad_rate_bound"))
 
 
 def labelled(pages: DataFrame, labels: DataFrame) -> DataFrame:
@@ -143,11 +161,14 @@ def _level_sql(level: str, parent: str, of: str) -> str:
 {level}_prior AS (SELECT {", ".join(f"{level}_counts.{c}" for c in of.split(", "))}, {prior} AS prior FROM {level}_counts{join}),
 {level}_sums AS (SELECT sum(n * power(bad / n - prior, 2)) AS scatter, sum(prior * (1 - prior)) AS chance, sum(n * prior * (1 - prior)) AS most FROM {level}_prior),
 {level}_strength AS (SELECT CASE WHEN coalesce(most, 0) = 0 THEN {STRONG} ELSE round(1 / least(greatest((scatter - chance) / greatest(most - chance, 1e-9), 1 / ({STRONG} + 1)), 1 / ({WEAK} + 1)) - 1, 6) END AS strength FROM {level}_sums),
-{level}_mean AS (SELECT {level}, (prior * strength + bad) / (strength + n) AS mean, strength + n AS pages FROM {level}_prior, {level}_strength),
-{level}_post AS (SELECT *, mean - {Z} * sqrt(mean * (1 - mean) / (pages + 1)) AS bound FROM {level}_mean)"""
+{level}_post AS (SELECT {level}, n, (prior * strength + bad) / (strength + n) AS mean FROM {level}_prior, {level}_strength)"""
 
 
-_PARTS = """CASE WHEN {h} LIKE '%.%.%' THEN array_to_string(list_slice(string_split({h}, '.'), -2, NULL), '.') ELSE {h} END AS domain, list_extract(string_split({h}, '.'), -1) AS suffix"""
+_TWO = "array_to_string(list_slice(string_split({h}, '.'), -2, NULL), '.')"
+_LISTED = "(" + ", ".join(f"'{x}'" for x in SUFFIXES) + ")"
+_PARTS = f"""CASE WHEN {_TWO} IN {_LISTED} AND {{h}} LIKE '%.%.%.%' THEN array_to_string(list_slice(string_split({{h}}, '.'), -3, NULL), '.')
+    WHEN {_TWO} NOT IN {_LISTED} AND {{h}} LIKE '%.%.%' THEN {_TWO} ELSE {{h}} END AS domain,
+    CASE WHEN {_TWO} IN {_LISTED} THEN {_TWO} ELSE list_extract(string_split({{h}}, '.'), -1) END AS suffix"""
 ORACLE_SQL = f"""
 WITH cut AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 named AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
@@ -162,8 +183,10 @@ host_counts AS (SELECT host, domain, n, bad FROM hosts),
 {_level_sql("domain", "suffix", "domain, n, bad")},
 {_level_sql("host", "domain", "host, n, bad")},
 ruled AS (SELECT page_id, host, path, domain, suffix, (SELECT max_by(r, length(r)) FROM (VALUES {", ".join(f"('{r}')" for r in RULES)}) AS rules(r)
-    WHERE (host = split_part(r, '/', 1) OR ends_with(host, '.' || split_part(r, '/', 1))) AND starts_with(path, substr(r, instr(r, '/')))) AS rule FROM parts)
-SELECT page_id, ruled.host AS host, path, rule, CASE {" ".join(f"WHEN rule = '{r}' THEN '{v}'" for r, v in RULES.items())}
-    WHEN coalesce(host_post.bound, domain_post.bound, suffix_post.bound, (SELECT top FROM total)) > {LIMIT} THEN 'block' ELSE 'allow' END AS verdict
-FROM ruled LEFT JOIN host_post ON ruled.host = host_post.host LEFT JOIN domain_post ON ruled.domain = domain_post.domain LEFT JOIN suffix_post ON ruled.suffix = suffix_post.suffix
+    WHERE (host = split_part(r, '/', 1) OR ends_with(host, '.' || split_part(r, '/', 1))) AND starts_with(path, substr(r, instr(r, '/')))) AS rule FROM parts),
+judged AS (SELECT page_id, ruled.host AS host, path, rule, coalesce(host_post.mean, domain_post.mean, suffix_post.mean, (SELECT top FROM total)) AS mean, (SELECT strength FROM host_strength) + coalesce(host_post.n, 0) AS pages
+    FROM ruled LEFT JOIN host_post ON ruled.host = host_post.host LEFT JOIN domain_post ON ruled.domain = domain_post.domain LEFT JOIN suffix_post ON ruled.suffix = suffix_post.suffix)
+SELECT page_id, host, path, rule, CASE {" ".join(f"WHEN rule = '{r}' THEN '{v}'" for r, v in RULES.items())}
+    WHEN mean - {Z} * sqrt(mean * (1 - mean) / (pages + 1)) > {LIMIT} THEN 'block' ELSE 'allow' END AS verdict
+FROM judged
 """
