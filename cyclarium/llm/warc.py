@@ -1,10 +1,16 @@
 """WARC archives: deduplicating writer, and a reader into a table of chunks.
 
-The writer makes one gzipped WARC/1.1 file per task, each record a gzip member
-of its own. Of records with equal payloads the one with the smallest id is a
-response and the others are revisits that refer to it and hold no payload. A
-task writes to a name of its own and returns it; the list of names (the
-manifest) is stored once, so files of lost or repeated tasks are never read.
+The writer takes a table of chunks: rows of a record's id, chunk number and
+bytes, in order and side by side, so that a task holds a chunk of a record at a
+time; the digest that it carries along must end as the one in the header. It
+makes one gzipped WARC/1.1 file per task, each record a gzip member of its own.
+Of records with equal payloads the one with the smallest id is a response and
+the others are revisits that refer to it and hold no payload. A task writes to
+a name of its own and returns it; the list of names (the manifest) is stored
+once, so files of lost or repeated tasks are never read.
+
+Payloads never move: digests are summed up, and only the ids of revisits are
+joined to the pages, so a page with a third of all copies is no hot key.
 
 The reader streams each file and yields a row per record and chunk number,
 with the length and SHA-256 digest of the payload so far; no record is held in
@@ -12,8 +18,10 @@ memory as a whole. A record's last chunk so has its full length and digest.
 
 Edge cases: null payloads are empty; an empty payload has one chunk of no
 bytes; payloads under ``MIN_REVISIT`` bytes are never revisits; null urls are
-left out of the record; line ends in urls are percent-encoded; equal rows with
-equal ids are all responses; an empty table writes no file that is read.
+left out of the record; line ends in urls are percent-encoded; records without
+an id refer to the first with one and are revisits too; equal rows with equal
+ids are all responses; an empty table writes no file that is read; other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,10 +38,10 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cyclarium.llm._common import cut, shared_path, table
+from cyclarium.llm._common import cut, delete, scratch, shared_path, table, with_least
 
 CHUNK, MIN_REVISIT = 1 << 20, 100
-#: Repeated payloads (of about 200 bytes in memory) that may be broadcast.
+#: Revisits (of about 200 bytes in memory) that may be broadcast.
 BROADCAST_ROWS = 50_000
 ID = "urn:x-record:"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -55,8 +63,8 @@ def header(record_id: str, kind: str, url: str | None, digest: str, size: int, r
     return "\r\n".join(lines).encode() + http
 
 
-def write(records: DataFrame, path: str) -> DataFrame:
-    """Write (record_id, url, payload, digest, refers_to) below ``path``; the manifest: file, records."""
+def write(parts: DataFrame, path: str) -> DataFrame:
+    """Write the chunks of ``records`` below ``path``; the manifest: file, records."""
 
     def run(batches):
         store, folder = pafs.FileSystem.from_uri(path)
@@ -66,21 +74,24 @@ def write(records: DataFrame, path: str) -> DataFrame:
             for i in range(batch.num_rows):
                 if out is None:
                     out = store.open_output_stream(f"{folder}/{name}", compression=None)
-                record, url, digest, refers = (batch.column(c)[i].as_py() for c in ("record_id", "url", "digest", "refers_to"))
-                value = batch.column("payload")[i].as_buffer()
-                payload = memoryview(value) if value is not None else memoryview(b"")
-                kind = "response" if refers is None else "revisit"
-                squeeze = zlib.compressobj(1, zlib.DEFLATED, 31)
-                out.write(squeeze.compress(header(record or "", kind, url, digest, len(payload), refers)))
-                for at in range(0, len(payload) if kind == "response" else 0, CHUNK):
-                    out.write(squeeze.compress(payload[at : at + CHUNK]))
-                out.write(squeeze.compress(b"\r\n\r\n") + squeeze.flush())
-                n += 1
+                number, n_chunks, declared, refers = (batch.column(c)[i].as_py() for c in ("chunk_no", "n_chunks", "digest", "refers_to"))
+                if number == 0:
+                    squeeze, digest = zlib.compressobj(1, zlib.DEFLATED, 31), hashlib.sha256()
+                    record, url, size = (batch.column(c)[i].as_py() for c in ("record_id", "url", "size"))
+                    out.write(squeeze.compress(header(record or "", "response" if refers is None else "revisit", url, declared, size, refers)))
+                chunk = batch.column("chunk")[i].as_buffer()
+                digest.update(chunk)
+                out.write(squeeze.compress(chunk))
+                if number + 1 == n_chunks:
+                    if refers is None and digest.hexdigest() != declared:
+                        raise ValueError(f"the chunks of record {record} don't have its digest")
+                    out.write(squeeze.compress(b"\r\n\r\n") + squeeze.flush())
+                    n += 1
         if out is not None:
             out.close()
             yield pa.RecordBatch.from_arrays([pa.array([f"{path}/{name}"]), pa.array([n], pa.int64())], ["file", "records"])
 
-    return cut(records.mapInArrow(run, "file string, records bigint"))
+    return cut(parts.mapInArrow(run, "file string, records bigint"))
 
 
 def _fields(stream: io.BufferedReader) -> tuple[str, dict[str, str]]:
@@ -172,32 +183,44 @@ def read(manifest: DataFrame, *, size: int = CHUNK, with_data: bool = True) -> D
     return manifest.select("file").coalesce(1).repartition(n).mapInArrow(run, CHUNKS)
 
 
-def records(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_revisit: int = MIN_REVISIT, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """What ``write`` takes: payloads in UTF-8 with digests, and for repeated payloads the record to refer to."""
+def records(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_revisit: int = MIN_REVISIT, broadcast_rows: int = BROADCAST_ROWS, size: int = CHUNK) -> DataFrame:
+    """What ``write`` takes: record_id, url, digest, size, refers_to (for repeated payloads), chunk_no, n_chunks, chunk of payloads in UTF-8.
+
+    A record's chunks follow each other in its partition. The digests are kept
+    in the shared folder meanwhile.
+    """
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
-    own = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
-    own = own.withColumn("digest", F.sha2("payload", 256))
-    large = F.length("payload") >= min_revisit
-    repeated = cut(own.where(large).groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first"))
-    few = repeated.count() <= broadcast_rows
-    own = own.join(F.broadcast(repeated) if few else repeated, "digest", "left")
-    revisit = large & F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
-    return own.select(F.col("id").cast("string").alias("record_id"), "url", "payload", "digest", F.when(revisit, F.col("first").cast("string")).alias("refers_to"))
+    own = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload")).withColumns({"digest": F.sha2("payload", 256), "size": F.length("payload").cast("bigint")})
+    known = cut(own.where(F.col("size") >= min_revisit).select("id", "digest"))
+    repeated = with_least(known, ["digest"], "id").where("size > 1 and rep is not null")
+    revisits = cut(repeated.where(~F.col("id").eqNullSafe(F.col("rep"))).distinct())
+    revisits = revisits.select(F.col("id").alias("own"), F.col("digest").alias("same"), F.col("rep").alias("first"))
+    few = revisits.count() <= broadcast_rows
+    own = own.join(F.broadcast(revisits) if few else revisits, F.col("id").eqNullSafe(F.col("own")) & (F.col("digest") == F.col("same")), "left")
+    own = own.withColumns({"refers_to": F.col("first").cast("string"), "n_chunks": F.when(F.col("first").isNotNull(), F.lit(1)).otherwise(F.greatest(F.lit(1), F.ceil(F.col("size") / size))).cast("bigint")})
+    own = own.withColumn("chunk_no", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_chunks") - 1)))
+    chunk = F.when(F.col("first").isNotNull(), F.lit(b"")).otherwise(F.substring("payload", (F.col("chunk_no") * size + 1).cast("int"), F.lit(size)))
+    return own.select(F.col("id").cast("string").alias("record_id"), "url", "digest", "size", "refers_to", "chunk_no", "n_chunks", chunk.alias("chunk"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op4_warc: all pages through archives and back."""
-    manifest = write(records(table(spark, sf_dir, "pages")), shared_path(spark))
-    last = read(manifest, with_data=False).where("is_last")
-    own = F.col("record_type") == "response"
-    return last.select(
-        F.nullif(F.col("record_id"), F.lit("")).cast("bigint").alias("page_id"),
-        F.when(own, F.col("bytes_so_far")).otherwise(F.col("declared_bytes")).alias("payload_bytes"),
-        F.when(own, F.col("digest_so_far")).otherwise(F.col("declared_digest")).alias("payload_digest"),
-        "record_type",
-        F.col("refers_to").cast("bigint").alias("refers_to"),
-        (~own | (F.col("digest_so_far") == F.col("declared_digest"))).alias("digest_holds"),
-    )
+    """op4_warc: all pages through archives and back; the archives are deleted once they are read."""
+    path = shared_path(spark)
+    with scratch():
+        manifest = write(records(table(spark, sf_dir, "pages")), path)
+        last = read(manifest, with_data=False).where("is_last")
+        own = F.col("record_type") == "response"
+        out = last.select(
+            F.nullif(F.col("record_id"), F.lit("")).cast("bigint").alias("page_id"),
+            F.when(own, F.col("bytes_so_far")).otherwise(F.col("declared_bytes")).alias("payload_bytes"),
+            F.when(own, F.col("digest_so_far")).otherwise(F.col("declared_digest")).alias("payload_digest"),
+            "record_type",
+            F.col("refers_to").cast("bigint").alias("refers_to"),
+            (~own | (F.col("digest_so_far") == F.col("declared_digest"))).alias("digest_holds"),
+        )
+        out = cut(out, outside=True)
+    delete(spark, path)
+    return out
 
 
 ORACLE_SQL = f"""
