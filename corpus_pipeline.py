@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cyclarium.llm import decontaminate, language_id, line_dedup, ngram_join, packing
-from cyclarium.llm._common import cut, table
+from cyclarium.llm._common import cut, drop_cut, scratch, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +25,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the boilerplate lines of their source; exact copies count as one page, and one of them is kept later."""
-    cleaned = line_dedup.clean(docs, copies_count=False)
+    cleaned = line_dedup.clean(docs, copies_count=False, counts=())
     chars = {"n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
     return cleaned.withColumns(chars).select(*docs.columns)
 
@@ -57,8 +57,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+    """All stages over ``documents``; what a stage has written is deleted once the next has read it."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir))
+        with scratch():
+            made = cut(stage(spark, docs, sf_dir), outside=True)
+        drop_cut(docs)
+        docs = made
     return docs
