@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cyclarium.llm._common import cut, drop_cut, scratch
+from cyclarium.llm._common import cut, drop_cut, hot_join, scratch
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -16,14 +16,14 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Each node's larger neighbours are tied to its smallest neighbour, or to itself."""
     near = _both_ways(edges)
     least = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return near.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+    return hot_join(near.where("v > u"), least, ["u"], "v", "inner").select(F.col("v").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Each node and its smaller neighbours are tied to the smallest of them."""
     down = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"))
-    tied = down.join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+    tied = hot_join(down, least, ["u"], "v", "inner").select(F.col("v").alias("a"), F.col("m").alias("b"))
     return tied.union(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).where("a <> b")
 
 
@@ -31,7 +31,7 @@ def components(edges: DataFrame) -> DataFrame:
     """(id, component) of all nodes in ``edges`` (a, b): the smallest id that can be reached.
 
     Each round is cut to the shared folder. Minima are summed up before they
-    are shuffled, and a hub's edges can be split by the join. Self-loops,
+    are shuffled, and a hub's edges are dealt into parts for the join. Self-loops,
     repeated edges and edges with a null end are ignored.
     """
     with scratch():

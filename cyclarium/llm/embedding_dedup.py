@@ -6,28 +6,37 @@ classes with an equal code in a table are compared by exact cosine. A pair with
 a cosine of 0.98 agrees on one sign with probability 0.936, so it misses all
 24 tables of 20 signs with probability 0.0006.
 
-A bucket is cut into blocks of about ``BLOCK`` classes and each pair of blocks
-is one unit of work, so no bucket is too large for a task and none is capped.
-A pair that meets in several tables counts in the first; that is read from the
-codes of both, so links are counted without listing the pairs.
+A bucket is cut into blocks. A block's classes are compared where they meet;
+a block then travels as one row of packed arrays to be compared with each other
+block of its bucket, so a pair of blocks is one unit of work and no bucket is
+too large for a task and none is capped. Blocks grow with their bucket, up to
+a bound, as vectors are sent once per other block. A pair that meets in
+several tables counts in the first; that is read from the codes of both, so
+links are counted without listing the pairs.
 
 Edge cases: vectors that are null, empty, zero or hold null or non-finite
 numbers, and those without a label, link with nothing; vectors of different
-lengths don't link; rows with equal ids count as vectors each; an empty table
-has an empty result; other columns are ignored.
+lengths don't link; of equal cosines none is preferred; rows with equal ids are
+one node with the links of all their vectors, and rows without an id link with
+exact copies only; vectors of any length are compared whole; an empty table
+has an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cyclarium.llm._common import cut, table
+from cyclarium.llm._common import cut, hot_join, scratch, table, with_least
 from cyclarium.llm.components import components
 
-THRESHOLD, BITS, TABLES, BLOCK = 0.98, 20, 24, 512
+THRESHOLD, BITS, TABLES = 0.98, 20, 24
+#: Classes in a block of a small bucket and of a large one, and rows of a block that are compared at a time.
+BLOCK, LARGE_BLOCK, TILE = 256, 4096, 512
 
 
 def codes(classes: DataFrame, bits: int, tables: int, seed: int = 5) -> DataFrame:
@@ -55,20 +64,40 @@ def codes(classes: DataFrame, bits: int, tables: int, seed: int = 5) -> DataFram
     return classes.mapInArrow(run, f"rep {classes.schema['rep'].dataType.simpleString()}, label {classes.schema['label'].dataType.simpleString()}, n bigint, unit array<double>, codes array<int>")
 
 
-def _compare(unit: np.ndarray, code: np.ndarray, label: np.ndarray, side: np.ndarray, n: np.ndarray, t: int, whole: bool, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Links of each row of a pair of blocks, and the row that stands for its group."""
-    a = np.arange(len(side)) if whole else np.flatnonzero(side == 0)
-    b = a if whole else np.flatnonzero(side == 1)
-    near = unit[a] @ unit[b].T >= threshold
-    if whole:
-        near = np.triu(near, 1)
-    p, q = np.nonzero(near)
-    p, q = a[p], b[q]
-    same = code[p] == code[q]
-    first = (label[p] == label[q]) & same[:, t] & ~same[:, :t].any(axis=1)
-    p, q = p[first], q[first]
-    links = np.bincount(p, n[q], len(side)) + np.bincount(q, n[p], len(side))
-    root = np.arange(len(side))
+class Block:
+    """Packed classes: unit vectors, codes, hashed labels, rows of each class, and the classes' ids."""
+
+    def __init__(self, rep: pa.Array, n: np.ndarray, label: np.ndarray, unit: np.ndarray, codes: np.ndarray) -> None:
+        self.rep, self.n, self.label, self.unit, self.codes = rep, n, label, unit, codes
+
+    @classmethod
+    def of_cells(cls, rep: pa.Array, n: bytes, label: bytes, unit: bytes, codes: bytes) -> Block:
+        matrix = lambda x, kind: np.frombuffer(x, kind).reshape(len(rep), -1)
+        return cls(rep, np.frombuffer(n, "<i8"), np.frombuffer(label, "<i8"), matrix(unit, "<f8"), matrix(codes, "<i4"))
+
+    def cells(self) -> list[bytes]:
+        return [x.astype(kind, copy=False).tobytes() for x, kind in ((self.n, "<i8"), (self.label, "<i8"), (self.unit, "<f8"), (self.codes, "<i4"))]
+
+
+def _compare(x: Block, y: Block | None, t: int, threshold: float) -> tuple[pa.Array, np.ndarray, pa.Array]:
+    """Of the classes of two blocks, or of one with itself, that are linked first in table ``t``: id, links, and a class of their group."""
+    whole = y is None
+    y = x if whole else y
+    found = []
+    for at in range(0, len(x.rep), TILE):
+        p, q = np.nonzero(x.unit[at : at + TILE] @ y.unit.T >= threshold)
+        p = p + at
+        if whole:
+            p, q = p[p < q], q[p < q]
+        same = x.codes[p] == y.codes[q]
+        first = (x.label[p] == y.label[q]) & same[:, t] & ~same[:, :t].any(axis=1)
+        found.append((p[first], q[first]))
+    p, q = (np.concatenate(z) for z in zip(*found))
+    rep, shift = (x.rep, 0) if whole else (pa.concat_arrays([x.rep, y.rep]), len(x.rep))
+    q = q + shift
+    n = x.n if whole else np.concatenate([x.n, y.n])
+    links = np.bincount(p, n[q], len(rep)) + np.bincount(q, n[p], len(rep))
+    root = np.arange(len(rep))
     while len(p):
         low = np.minimum(root[p], root[q])
         before = root.copy()
@@ -77,72 +106,128 @@ def _compare(unit: np.ndarray, code: np.ndarray, label: np.ndarray, side: np.nda
         root = root[root]
         if (root == before).all():
             break
-    return links.astype(np.int64), root
-
-
-def links(coded: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
-    """(rep, links, root): parts of each class's links, and a class that it is linked with."""
-    kind = coded.schema["rep"].dataType.simpleString()
-    rows = coded.select("rep", F.col("label").cast("string").alias("label"), F.size("unit").alias("dim"), F.posexplode("codes").alias("t", "code"))
-    key = ["label", "dim", "t", "code"]
-    buckets = rows.groupBy(*key).agg(F.count("*").alias("size")).where("size > 1").withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
-    rows = rows.join(buckets, key).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    low, high = F.least("own", "other"), F.greatest("own", "other")
-    rows = rows.select("rep", "t", (low == high).alias("whole"), (F.col("own") > F.col("other")).cast("int").alias("side"), F.xxhash64(*key, low, high).alias("unit_key"))
-    rows = rows.join(coded.select("rep", F.xxhash64(F.col("label")).alias("label_key"), "n", "unit", "codes"), "rep")
+    at = np.flatnonzero(links)
+    return rep.take(pa.array(at)), links[at].astype(np.int64), rep.take(pa.array(root[at]))
+
+
+CELLS = ["ns", "labels", "units", "all_codes"]
+
+
+def _within(threshold: float):
+    """The function for mapInArrow that compares the classes of each block, and packs those of buckets with several blocks."""
+    where = ("t", "bucket", "dim", "own", "blocks")
+
+    def batch_of(rows: pa.RecordBatch, edges: list[tuple[int, int]]) -> pa.RecordBatch | None:
+        """What the blocks at ``edges`` give: first their links, then their packed rows."""
+        one = {c: rows.column(c).to_numpy() for c in (*where, "n", "label_key")}
+        flat = {c: (offsets_of_lists(rows.column(c)), rows.column(c).flatten().to_numpy()) for c in ("unit", "codes")}
+        rep, found, packed = rows.column("rep"), [], []
+        for lo, hi in edges:
+            matrix = lambda c: flat[c][1][flat[c][0][lo] : flat[c][0][hi]].reshape(hi - lo, -1)  # noqa: B023, E731
+            block = Block(rep.slice(lo, hi - lo), one["n"][lo:hi], one["label_key"][lo:hi], matrix("unit"), matrix("codes"))
+            part = _compare(block, None, int(one["t"][lo]), threshold)
+            if len(part[0]):
+                found.append(part)
+            if one["blocks"][lo] > 1:
+                packed.append(([one[c][lo].item() for c in where], block.rep.to_pylist(), block.cells()))
+        n, m = sum(len(x) for x, _, _ in found), len(packed)
+        if not n + m:
+            return None
+        join = lambda parts, kind, pad: pa.concat_arrays([*parts, pa.nulls(pad, kind)])
+        late = lambda values, kind: pa.concat_arrays([pa.nulls(n, kind), pa.array(values, kind)])
+        columns = [join([x[0] for x in found], rep.type, m), join([pa.array(x[1]) for x in found], pa.int64(), m), join([x[2] for x in found], rep.type, m)]
+        columns += [late([x[0][i] for x in packed], pa.int64() if c == "bucket" else pa.int32()) for i, c in enumerate(where)]
+        columns += [late([x[1] for x in packed], pa.list_(rep.type)), *(late([x[2][i] for x in packed], pa.binary()) for i in range(len(CELLS)))]
+        return pa.RecordBatch.from_arrays(columns, ["rep", "links", "root", *where, "reps", *CELLS])
 
     def run(batches):
         held = None
+        for batch in itertools.chain(batches, [None]):
+            parts = [x for x in (held, batch) if x is not None and x.num_rows]
+            if not parts:
+                continue
+            held = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+            keys = [held.column(c).to_numpy() for c in ("bucket", "dim", "own")]
+            starts = [0, *(np.flatnonzero(np.any([np.diff(k) != 0 for k in keys], axis=0)) + 1).tolist()]
+            ends = [*starts[1:], held.num_rows] if batch is None else starts[1:]
+            several = held.column("blocks").to_numpy()
+            out = batch_of(held, [(a, b) for a, b in zip(starts, ends) if b - a > 1 or several[a] > 1])
+            if out is not None:
+                yield out
+            held = held.slice(starts[-1]) if batch is not None else None
+
+    return run
+
 
-        def work(group: pa.Table):
-            whole = group.column("whole")[0].as_py()
-            as_matrix = lambda c: np.array(group.column(c).combine_chunks().flatten()).reshape(group.num_rows, -1)
-            links, root = _compare(as_matrix("unit"), as_matrix("codes"), group.column("label_key").to_numpy(), group.column("side").to_numpy(), group.column("n").to_numpy(), group.column("t")[0].as_py(), whole, threshold)
-            at = np.flatnonzero(links)
-            rep = group.column("rep").combine_chunks()
-            return rep.take(pa.array(at)), pa.array(links[at]), rep.take(pa.array(root[at]))
+def offsets_of_lists(array: pa.ListArray) -> np.ndarray:
+    """Where each list begins in the flattened values (one more at the end)."""
+    ends = array.offsets.to_numpy()
+    return ends - ends[0]
 
-        def out(parts):
-            parts = [p for p in parts if len(p[0])]
-            if parts:
-                yield pa.RecordBatch.from_arrays([pa.concat_arrays([p[i] for p in parts]) for i in range(3)], ["rep", "links", "root"])
 
+def _across(threshold: float):
+    """The function for mapInArrow that compares the two packed blocks of each row."""
+
+    def run(batches):
         for batch in batches:
-            more = pa.Table.from_batches([batch])
-            held = more if held is None else pa.concat_tables([held, more])
-            keys = held.column("unit_key").to_numpy()
-            edges = np.flatnonzero(np.diff(keys)) + 1
-            if len(edges):
-                starts = np.concatenate([[0], edges])
-                yield from out(work(held.slice(s, e - s)) for s, e in zip(starts, starts[1:]) if e - s > 1)
-                held = held.slice(starts[-1]).combine_chunks()
-        if held is not None and held.num_rows > 1:
-            yield from out([work(held)])
+            for i in range(batch.num_rows):
+                cell = lambda c: batch.column(c)[i]
+                x, y = (Block.of_cells(cell(f"reps_{k}").values, *(cell(f"{c}_{k}").as_py() for c in CELLS)) for k in ("a", "b"))
+                rep, links, root = _compare(x, y, cell("t").as_py(), threshold)
+                yield pa.RecordBatch.from_arrays([rep, pa.array(links), root], ["rep", "links", "root"])
 
-    parts = rows.repartition(F.col("unit_key")).sortWithinPartitions("unit_key")
-    return parts.mapInArrow(run, f"rep {kind}, links bigint, root {kind}")
+    return run
+
+
+def links(coded: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK, large_block: int = LARGE_BLOCK) -> DataFrame:
+    """(rep, links, root): parts of each class's links, and a class that it is linked with."""
+    with scratch():
+        return cut(_links(coded, threshold, block, large_block), outside=True)
+
+
+def _links(coded: DataFrame, threshold: float, block: int, large_block: int) -> DataFrame:
+    kind = coded.schema["rep"].dataType.simpleString()
+    rows = coded.select("rep", "label", F.size("unit").alias("dim"), F.posexplode("codes").alias("t", "code"))
+    rows = rows.select("rep", "t", "dim", F.xxhash64(F.col("label").cast("string"), "t", "code").alias("bucket"))
+    buckets = rows.groupBy("bucket", "dim").agg(F.count("*").alias("size")).where("size > 1")
+    per_block = F.least(F.lit(max(block, large_block)), F.greatest(F.lit(block), F.ceil(F.col("size") / 64)))
+    buckets = buckets.select("bucket", "dim", F.ceil(F.col("size") / per_block).cast("int").alias("blocks"))
+    rows = hot_join(rows, buckets, ["bucket", "dim"], "rep", "inner").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    rows = rows.join(coded.select("rep", F.xxhash64(F.col("label")).alias("label_key"), "n", "unit", "codes"), "rep")
+    where = ["bucket", "dim", "own"]
+    schema = f"rep {kind}, links bigint, root {kind}, t int, bucket bigint, dim int, own int, blocks int, reps array<{kind}>, " + ", ".join(f"{c} binary" for c in CELLS)
+    met = cut(rows.repartition(*where).sortWithinPartitions(*where).mapInArrow(_within(threshold), schema))
+    packed = ["reps", *CELLS]
+    side = lambda k, own, other, first, last: met.where("blocks > 1").select("t", "bucket", "dim", F.col("own").alias(own), F.explode(F.when(last >= first, F.sequence(first, last))).alias(other), *[F.col(c).alias(f"{c}_{k}") for c in packed])
+    low, high = side("a", "low", "high", F.col("own") + 1, F.col("blocks") - 1), side("b", "high", "low", F.lit(0), F.col("own") - 1)
+    pairs = low.join(high.drop("t"), ["bucket", "dim", "low", "high"]).select("t", *[f"{c}_{k}" for k in ("a", "b") for c in packed])
+    return met.where("rep is not null").select("rep", "links", "root").union(pairs.mapInArrow(_across(threshold), f"rep {kind}, links bigint, root {kind}"))
 
 
 def deduplicate(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD, bits: int = BITS, tables: int = TABLES, block: int = BLOCK) -> DataFrame:
     """Per vector: ``id_col``, n_links, component_id, kept."""
+    with scratch():
+        return cut(_deduplicated(vectors, id_col, vector_col, label_col, threshold, bits, tables, block), outside=True)
+
+
+def _deduplicated(vectors: DataFrame, id_col: str, vector_col: str, label_col: str, threshold: float, bits: int, tables: int, block: int) -> DataFrame:
     v = F.col("vector")
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     usable = F.col("label").isNotNull() & v.isNotNull() & F.forall(v, finite) & F.exists(v, lambda x: x != 0)
     rows = vectors.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("vector"))
-    rows = rows.withColumn("usable", F.coalesce(usable, F.lit(False))).withColumns({"h": F.when(F.col("usable"), F.xxhash64("vector")), "g": F.when(F.col("usable"), F.xxhash64(F.lit("second"), "vector"))})
+    rows = rows.withColumn("usable", F.coalesce(usable, F.lit(False)))
     key = ["label", "h", "g"]
-    classes = rows.where("usable").groupBy(*key).agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("vector").alias("vector"))
-    classes = cut(classes)
+    own = rows.where("usable").withColumns({"h": F.xxhash64("vector"), "g": F.xxhash64(F.lit("second"), "vector")})
+    classes = own.groupBy(*key).agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("vector").alias("vector"))
     coded = cut(codes(classes.select("rep", "label", "n", "vector"), bits, tables))
-    parts = cut(links(coded, threshold, block))
+    parts = links(coded, threshold, block)
     found = components(parts.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     total = parts.groupBy("rep").agg(F.sum("links").alias("links"))
-    known = classes.select(*key, "rep", "n").join(total, "rep", "left").join(found.withColumnRenamed("id", "rep"), "rep", "left")
-    out = rows.select("id", *key).join(known, key, "left")
-    component = F.coalesce("component", "rep", "id")
-    n_links = F.coalesce(F.col("n") - 1, F.lit(0)) + F.coalesce("links", F.lit(0))
-    return out.select(F.col("id").alias(id_col), n_links.cast("bigint").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    known = total.join(found.withColumnRenamed("id", "rep"), "rep", "full")
+    own = hot_join(with_least(own.select("id", *key), key, "id"), known, ["rep"], "id")
+    own = own.select("id", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component"))
+    out = own.union(rows.where("not usable").select("id", F.lit(0).alias("n_links"), F.col("id").alias("component")))
+    return out.select(F.col("id").alias(id_col), F.col("n_links").cast("bigint").alias("n_links"), F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
