@@ -165,7 +165,10 @@ def detailed(docs: DataFrame, n: int, percent: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) that share prefixes under the other orders and are similar."""
+    """Those of the pairs (a, b) that share prefixes under the other orders and are similar; some repeat where ids do.
+
+    Nothing is grouped right after a join, so that Spark can split an id that has many pairs.
+    """
     with scratch():
         return cut(_verified(pairs, docs, n, percent), outside=True)
 
@@ -181,13 +184,13 @@ def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFr
     total = lambda x: F.aggregate(x, F.lit(0), lambda m, v: m + v)
     at_most = total(F.zip_with("a_tally", "b_tally", lambda p, q: F.least(p, q)))
     possible = 100 * at_most >= percent * (total(F.col("a_tally")) + total(F.col("b_tally")) - at_most)
-    some = cut(some.where(F.arrays_overlap("a_second", "b_second") & F.arrays_overlap("a_third", "b_third") & possible).select("a", "b").distinct())
+    some = cut(some.where(F.arrays_overlap("a_second", "b_second") & F.arrays_overlap("a_third", "b_third") & possible).select("a", "b")).distinct()
     left = cut(some.select(F.col("a").alias("id")).union(some.select(F.col("b").alias("id"))).distinct())
     known = known.join(F.broadcast(left) if few else left, "id", "left_semi")
     both = some.join(side("a", ["grams"], known), "a").join(side("b", ["grams"], known), "b")
     shared = F.size(F.array_intersect("a_grams", "b_grams"))
     every = F.size("a_grams") + F.size("b_grams") - shared
-    return both.where(100 * shared >= percent * every).select("a", "b").distinct()
+    return both.where(100 * shared >= percent * every).select("a", "b")
 
 
 def _similar_sizes(a: str, b: str, percent: int):
