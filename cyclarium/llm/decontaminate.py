@@ -10,14 +10,21 @@ Most words never come near a match, so arrays find the runs of words whose
 neighbours are neighbours in some item; only runs of at least the shortest
 window go through the automaton, which yields the same matches as reading all.
 
+Items beyond ``SHARD_BYTES`` make several automata. Then a Bloom filter of all
+items' windows first finds the texts that may hold one, and only these are read
+by each automaton in turn; the corpus is read twice, however many items there are.
+
 Edge cases: null or empty texts have no words and no hits; items without words
 never occur; items without an id are ignored; repeated items and documents are
-judged alike, each row by itself; other columns pass through untouched.
+judged alike, each row by itself; a coverage that meets the limit exactly is
+allowed; texts of any length are read whole; an empty table has an empty
+result; other columns pass through ``remove`` untouched, whatever their names,
+and ``scan`` ignores them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -26,13 +33,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cyclarium.llm._common import Words, bytes_of, cut, drop_cut, slices, table
+from cyclarium.llm._common import Words, bytes_of, cut, drop_cut, fresh, mix, ranges, scratch, shared, slices, table
 
 #: Bytes that separate words once A-Z are a-z: all of ASCII but digits and letters.
 SEPARATORS = bytes([*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)])
 WINDOW = 10
 #: Bytes of item text in one automaton; more items make more automata, applied in turn.
 SHARD_BYTES = 2 << 20
+#: Bits of the Bloom filter for each window, and how many of them each window sets.
+BITS, PROBES = 32, 4
 
 
 class SuffixAutomaton:
@@ -208,6 +217,48 @@ class Matcher:
         return np.diff(begin), found
 
 
+class Sieve:
+    """A Bloom filter of windows of words: texts without any of them are known for sure."""
+
+    def __init__(self, texts: Iterable[str], n_bytes: int, window: int) -> None:
+        self.window, self.words, self.sizes = window, Words(SEPARATORS), set()
+        self.size = 1 << max(16, (BITS * n_bytes // 4).bit_length())
+        bits = np.zeros(self.size, bool)
+        for text in texts:
+            data = np.frombuffer(text.encode(), np.uint8)
+            h = self.words(data, np.array([0, len(data)]))[2]
+            n = min(window, len(h))
+            if n:
+                self.sizes.add(n)
+                for slot in self._slots(h, n, np.arange(len(h) - n + 1)):
+                    bits[slot] = True
+        self.bits = np.packbits(bits)
+
+    def _slots(self, hashed: np.ndarray, n: int, starts: np.ndarray) -> Iterator[np.ndarray]:
+        """Places of the bits of each window of ``n`` words."""
+        h = np.full(len(starts), np.uint64(n))
+        for k in range(n):
+            h = mix(h * np.uint64(3) + hashed[starts + k])
+        for _ in range(PROBES):
+            yield (h & np.uint64(self.size - 1)).astype(np.int64)
+            h = mix(h + np.uint64(0x9E3779B97F4A7C15))
+
+    def __call__(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Words of each text, and whether it may hold a window."""
+        _, _, hashed, begin = self.words(data, ends)
+        n_words = np.diff(begin)
+        may = np.zeros(len(n_words), bool)
+        for n in self.sizes:
+            count = np.maximum(n_words - n + 1, 0)
+            starts = ranges(begin[:-1], count)
+            text = np.repeat(np.arange(len(count)), count)
+            every = np.ones(len(text), bool)
+            for slot in self._slots(hashed, n, starts):
+                every &= (self.bits[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1).astype(bool)
+            may[text[every]] = True
+        return n_words, may
+
+
 SPAN = pa.struct([(x, pa.int64()) for x in ("start", "stop", "word", "word_stop")])
 
 
@@ -218,14 +269,41 @@ def shards(items: DataFrame, item_col: str, text_col: str, limit: int = SHARD_BY
     return [items.where(F.pmod(F.xxhash64("item"), F.lit(n)) == k) for k in range(n)]
 
 
-def _finder(shared, first: bool, keep_text: bool):
+def _sieved(sieve, text_col: str, maybe: bool):
+    """The function for mapInArrow that keeps the texts which may hold a window, or the others."""
+
+    def run(batches):
+        for batch in batches:
+            at = batch.schema.get_field_index(text_col)
+            for lo, hi in slices(batch, text_col):
+                rows = batch.slice(lo, hi - lo)
+                may = sieve.value(*bytes_of(rows.column(at)))[1]
+                if (may == maybe).any():
+                    yield rows.filter(pa.array(may == maybe))
+
+    return run
+
+
+def sieve_of(items: DataFrame, item_col: str, text_col: str, window: int):
+    """The broadcast filter of all items."""
+    texts = items.where(F.col(item_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).cast("string").alias("text"))
+    n_bytes = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return shared(items.sparkSession, Sieve((r[0] for r in texts.toLocalIterator()), n_bytes, window))
+
+
+def matcher_of(part: DataFrame, window: int):
+    """The broadcast automaton of one shard."""
+    return shared(part.sparkSession, Matcher([tuple(r) for r in part.toLocalIterator()], window))
+
+
+def _finder(known, first: bool, keep_text: bool):
     """The function for mapInArrow that adds one automaton's matches."""
 
     def find(batches):
         for batch in batches:
             for lo, hi in slices(batch):
                 rows = batch.slice(lo, hi - lo)
-                n_words, found = shared.value.scan(*bytes_of(rows.column("text")))
+                n_words, found = known.value.scan(*bytes_of(rows.column("text")))
                 hits = [found.get(i, ([], (), 0)) for i in range(len(n_words))]
                 spans, owners, longest = [x[0] for x in hits], [sorted(x[1]) for x in hits], [x[2] for x in hits]
                 if not first:
@@ -243,20 +321,26 @@ def scan(docs: DataFrame, items: DataFrame, window: int = WINDOW, *, id_col: str
     """Per document: ``id_col``, n_words, spans, items, longest.
 
     A span is a hit range: bytes [start, stop) and words [word, word_stop).
-    ``longest`` is the longest match, 0 without hits. Items are integers. Items
-    beyond one shard make further passes, each adding to the one before, whose
-    result is kept in the shared folder meanwhile.
+    ``longest`` is the longest match, 0 without hits. Items are integers. With
+    items beyond one shard, texts that may hold a window are kept in the shared
+    folder while each shard adds to what the ones before have found.
     """
-    spark, parts = docs.sparkSession, shards(items, item_col, item_text, shard_bytes)
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    schema = f"id {docs.schema[id_col].dataType.simpleString()}, n_words bigint, spans array<struct<start:bigint,stop:bigint,word:bigint,word_stop:bigint>>, items array<bigint>, longest bigint"
-    for k, part in enumerate(parts):
-        shared = spark.sparkContext.broadcast(Matcher([tuple(r) for r in part.toLocalIterator()], window))
-        more = k + 1 < len(parts)
-        before, out = out, out.mapInArrow(_finder(shared, k == 0, more), schema + ", text string" * more)
-        if more:
-            out = cut(out)
-            drop_cut(before)
+    parts = shards(items, item_col, item_text, shard_bytes)
+    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    schema = f"id {docs.schema['id'].dataType.simpleString()}, n_words bigint, spans array<struct<start:bigint,stop:bigint,word:bigint,word_stop:bigint>>, items array<bigint>, longest bigint"
+    if len(parts) == 1:
+        out = docs.mapInArrow(_finder(matcher_of(parts[0], window), True, False), schema)
+    else:
+        sieve = sieve_of(items, item_col, item_text, window)
+        out = cut(docs.mapInArrow(_sieved(sieve, "text", True), docs.schema))
+        for k, part in enumerate(parts):
+            with scratch():
+                found = cut(out.mapInArrow(_finder(matcher_of(part, window), k == 0, True), schema + ", text string"), outside=True)
+            drop_cut(out)
+            out = found
+        nothing = Matcher([], window)
+        bare = docs.mapInArrow(_sieved(sieve, "text", False), docs.schema).mapInArrow(_finder(shared(docs.sparkSession, nothing), True, False), schema)
+        out = out.drop("text").union(bare)
     return out.withColumnRenamed("id", id_col)
 
 
@@ -279,7 +363,7 @@ def without(text: str, spans: list[tuple]) -> str:
     return raw.decode()
 
 
-def _remover(shared, text_col: str, earlier: bool, last: bool, alone: bool, most: float, mark: str = ""):
+def _remover(known, text_col: str, earlier: bool, last: bool, alone: bool, most: float, mark: str = ""):
     """The function for mapInArrow that adds one automaton's hit ranges to the ``earlier`` ones.
 
     The ``last`` automaton's pass drops texts with more than ``most`` of their
@@ -289,14 +373,14 @@ def _remover(shared, text_col: str, earlier: bool, last: bool, alone: bool, most
 
     def spans_of(text: str) -> list[tuple]:
         raw = np.frombuffer(text.encode(), np.uint8)
-        return merged(shared.value.scan(raw, np.array([0, len(raw)]))[1].get(0, ([],))[0])
+        return merged(known.value.scan(raw, np.array([0, len(raw)]))[1].get(0, ([],))[0])
 
     def run(batches):
         for batch in batches:
             at = batch.schema.get_field_index(text_col)
             for lo, hi in slices(batch, text_col):
                 rows = batch.slice(lo, hi - lo)
-                n_words, found = shared.value.scan(*bytes_of(rows.column(at)))
+                n_words, found = known.value.scan(*bytes_of(rows.column(at)))
                 spans = {i: merged(x[0]) for i, x in found.items()}
                 if earlier:
                     before = {i: [tuple(x.values()) for x in xs] for i, xs in enumerate(rows.column(rows.num_columns - 1).to_pylist()) if xs}
@@ -329,23 +413,27 @@ def remove(docs: DataFrame, items: DataFrame, window: int = WINDOW, *, max_cover
     From the others each hit range goes, its first word's start to its last
     word's end, ranges that touch as one; what that joins is read again until
     nothing more is found. All columns stay; a column ``n_chars`` follows the
-    text. Items beyond one shard make a pass each: hits of all shards are found
-    on the same text, judged and cut together, and texts with cuts are read
-    again by all shards. The results of passes are kept in the shared folder.
+    text. With items beyond one shard, texts that may hold a window make a pass
+    of each: hits of all shards are found on the same text, judged and cut
+    together, and texts with cuts are read again by all shards. The results of
+    passes are kept in the shared folder.
     """
-    spark, columns, schema = docs.sparkSession, docs.columns, docs.schema
-    shared = [spark.sparkContext.broadcast(Matcher([tuple(r) for r in part.toLocalIterator()], window)) for part in shards(items, item_col, item_text, shard_bytes)]
-    if len(shared) == 1:
-        docs = docs.mapInArrow(_remover(shared[0], text_col, False, True, True, max_coverage), schema)
+    columns, schema = docs.columns, docs.schema
+    parts = shards(items, item_col, item_text, shard_bytes)
+    if len(parts) == 1:
+        docs = docs.mapInArrow(_remover(matcher_of(parts[0], window), text_col, False, True, True, max_coverage), schema)
     else:
-        spans, again = (x.ljust(1 + max(map(len, columns)), "_") for x in ("spans", "again"))
+        sieve = sieve_of(items, item_col, item_text, window)
+        done = [docs.mapInArrow(_sieved(sieve, text_col, False), schema)]
+        spans, again = (fresh(x, columns) for x in ("spans", "again"))
         marked = T.StructType([*schema.fields, T.StructField(spans, T.ArrayType(T.StructType([T.StructField(x, T.LongType()) for x in ("start", "stop", "word", "word_stop")])))])
         ended = T.StructType([*schema.fields, T.StructField(again, T.BooleanType())])
-        done, rest, most = [], docs, max_coverage
-        while not done or not rest.isEmpty():
-            for k, one in enumerate(shared):
-                last = k + 1 == len(shared)
-                found = cut(rest.mapInArrow(_remover(one, text_col, k > 0, last, False, most, again if last else spans), ended if last else marked))
+        rest, most = cut(docs.mapInArrow(_sieved(sieve, text_col, True), schema)), max_coverage
+        while not rest.isEmpty():
+            for k, part in enumerate(parts):
+                last = k + 1 == len(parts)
+                with scratch():
+                    found = cut(rest.mapInArrow(_remover(matcher_of(part, window), text_col, k > 0, last, False, most, again if last else spans), ended if last else marked), outside=True)
                 if k:
                     drop_cut(rest)
                 rest = found
