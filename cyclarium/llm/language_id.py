@@ -8,7 +8,11 @@ the sample that training doesn't see sets the temperature of the softmax.
 
 Edge cases: null texts and texts without letters are ``und`` with score 0, as
 is everything if no training row has a label; rows without a label are never
-trained on; repeated rows count each; whole texts are read.
+trained on; repeated rows count each for the frequencies, and of rows with
+equal ids the sample holds one; rows without an id aren't in the sample; of
+labels with equal probability the first in order is predicted; whole texts of
+any length are read; an empty table has an empty result; columns with the names
+of the results are replaced, all others stay.
 """
 
 from __future__ import annotations
@@ -19,8 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from cyclarium.llm._common import mix, slices, table
+from cyclarium.llm._common import fresh, mix, shared, slices, table
 
 #: Hashed n-grams, the longest n-gram, and the most training rows that the weights are fitted on.
 DIM, ORDER, SAMPLE = 1 << 14, 3, 3000
@@ -66,22 +71,21 @@ class Model:
     bias: np.ndarray
     temperature: float = 1.0
 
-    def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """The unit-length TF-IDF vector."""
-        used, counts = features(text)
+    def weigh(self, used: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Values of the unit-length TF-IDF vector."""
         values = (1 + np.log(counts)) * self.idf[used] if len(used) else counts
         norm = np.sqrt(values @ values) if len(used) else 0
-        return used, values / norm if norm else values
+        return values / norm if norm else values
 
     def logits(self, used: np.ndarray, values: np.ndarray) -> np.ndarray:
         return values @ self.weights[used] + self.bias
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """Label and calibrated probability."""
-        used, values = self.vector(text or "")
+        used, counts = features(text or "")
         if not len(used) or not self.classes:
             return UNKNOWN, 0.0
-        p = softmax(self.logits(used, values) / self.temperature)
+        p = softmax(self.logits(used, self.weigh(used, counts)) / self.temperature)
         k = int(np.argmax(p))
         return self.classes[k], float(p[k])
 
@@ -91,14 +95,13 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def fit(rows: list[tuple[str, str]], idf: np.ndarray, *, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.002, l2: float = 0.002, epochs: int = 3, seed: int = 7) -> Model:
-    """FTRL-proximal with elastic net over (text, label) rows, then the temperature on a fifth of them."""
-    classes = sorted({label for _, label in rows})
+def fit(rows: list[tuple[np.ndarray, np.ndarray, str]], idf: np.ndarray, *, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.002, l2: float = 0.002, epochs: int = 3, seed: int = 7) -> Model:
+    """FTRL-proximal with elastic net over (slots, counts, label) rows, then the temperature on a fifth of them."""
+    classes = sorted({label for _, _, label in rows})
     model = Model(classes, idf, np.zeros((DIM, len(classes))), np.zeros(len(classes)))
     if not classes:
         return model
-    data = [(*model.vector(text), classes.index(label)) for text, label in rows]
-    data = [x for x in data if len(x[0])]
+    data = [(used, model.weigh(used, counts), classes.index(label)) for used, counts, label in rows if len(used)]
     order = np.random.default_rng(seed).permutation(len(data))
     held, trained = order[: len(order) // 5], order[len(order) // 5 :]
     z, n = np.zeros((DIM + 1, len(classes))), np.zeros((DIM + 1, len(classes)))
@@ -135,10 +138,11 @@ def inverse_frequencies(docs: DataFrame) -> np.ndarray:
     def count(batches):
         df, n = np.zeros(DIM, np.int64), 0
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                used = features(text or "")[0]
-                df[used] += 1
-                n += len(used) > 0
+            for lo, hi in slices(batch):
+                for text in batch.column(0).slice(lo, hi - lo).to_pylist():
+                    used = features(text or "")[0]
+                    df[used] += 1
+                    n += len(used) > 0
         used = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(used, DIM), pa.int32()), pa.array(np.append(df[used], n), pa.int64())], ["slot", "df"])
 
@@ -150,31 +154,50 @@ def inverse_frequencies(docs: DataFrame) -> np.ndarray:
     return np.log((1 + n) / (1 + df[:DIM])) + 1
 
 
+def _counted(docs: DataFrame) -> DataFrame:
+    """(id, label, slots, counts) of (id, text, label); n-grams as two packed arrays of at most ``DIM`` numbers."""
+
+    def run(batches):
+        for batch in batches:
+            for lo, hi in slices(batch):
+                rows = batch.slice(lo, hi - lo)
+                made = [features(t or "") for t in rows.column("text").to_pylist()]
+                packed = [pa.array([x.astype(kind).tobytes() for x in of], pa.binary()) for of, kind in zip(zip(*made), ("<u2", "<u4"))]
+                yield pa.RecordBatch.from_arrays([rows.column("id"), rows.column("label"), *packed], ["id", "label", "slots", "counts"])
+
+    return docs.select("id", "text", "label").mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, label string, slots binary, counts binary")
+
+
 def train(docs: DataFrame, *, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id", sample: int = SAMPLE) -> Model:
-    """Fit on labelled rows: frequencies on all, weights on the ``sample`` rows whose ids hash lowest."""
+    """Fit on labelled rows: frequencies on all, weights on the ``sample`` rows whose ids hash lowest.
+
+    The sample's texts are counted where they are read; the driver gets at most
+    ``sample`` times ``DIM`` slots and counts, whatever the texts' length.
+    """
     rows = docs.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("string").alias("label"))
     idf = inverse_frequencies(rows)
-    chosen = rows.select("id").orderBy(F.xxhash64(F.lit(7), "id"), "id").limit(sample)
-    picked = rows.join(F.broadcast(chosen.distinct()), "id", "left_semi").select("id", "text", "label").limit(sample).collect()
-    picked.sort(key=lambda r: (r["id"] is None, r["id"], r["label"], r["text"] or ""))
-    return fit([(r["text"] or "", r["label"]) for r in picked], idf)
+    chosen = rows.select("id").where("id is not null").orderBy(F.xxhash64(F.lit(7), "id"), "id").limit(sample)
+    counted = _counted(rows.join(F.broadcast(chosen.distinct()), "id", "left_semi"))
+    picked = counted.groupBy("id").agg(F.min(F.struct("label", "slots", "counts")).alias("row")).collect()
+    unpacked = lambda x, kind: np.frombuffer(x, kind).astype(np.int64)
+    return fit([(unpacked(r["row"]["slots"], "<u2"), unpacked(r["row"]["counts"], "<u4"), r["row"]["label"]) for r in sorted(picked, key=lambda r: r["id"])], idf)
 
 
-def predict(docs: DataFrame, model: Model, *, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The documents (or their columns ``keep``) with ``lang_pred`` and ``score``; columns of these names are replaced."""
-    keep = [c for c in keep or docs.columns if c not in ("lang_pred", "score")]
+def predict(docs: DataFrame, model: Model, *, text_col: str = "text", keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The documents (or their columns ``keep``) with a language and its probability as ``names``; columns of these names are replaced."""
+    keep = [c for c in keep or docs.columns if c.lower() not in names]
     docs = docs.select(*dict.fromkeys([*keep, text_col]))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    known = shared(docs.sparkSession, model)
 
     def run(batches):
         for batch in batches:
             for lo, hi in slices(batch, text_col):
                 rows = batch.slice(lo, hi - lo)
-                made = [shared.value.predict(t) for t in rows.column(rows.schema.get_field_index(text_col)).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in keep), pa.array([x for x, _ in made], pa.string()), pa.array([x for _, x in made], pa.float64())], [*keep, "lang_pred", "score"])
+                made = [known.value.predict(t) for t in rows.column(rows.schema.get_field_index(text_col)).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in keep), pa.array([x for x, _ in made], pa.string()), pa.array([x for _, x in made], pa.float64())], [*keep, *names])
 
-    extra = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in keep)
-    return docs.mapInArrow(run, f"{extra}, lang_pred string, score double")
+    fields = [f for f in docs.schema.fields if f.name in keep]
+    return docs.mapInArrow(run, T.StructType([*fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())]))
 
 
 def held_out() -> Column:
@@ -193,4 +216,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def known_language(docs: DataFrame, labelled: DataFrame, *, accept: float = ACCEPT) -> DataFrame:
     """The documents whose language is predicted with a probability of ``accept`` at least; columns stay."""
     model = train(labelled)
-    return predict(docs, model).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= accept)).select(*docs.columns)
+    label, score = (fresh(f"_{x}", docs.columns) for x in ("language", "score"))
+    return predict(docs, model, names=(label, score)).where((F.col(label) != UNKNOWN) & (F.col(score) >= accept)).select(*docs.columns)
