@@ -15,7 +15,10 @@ Edge cases: null texts stay null with no lines; pages without a host are left
 as they are; blank lines are always kept; a page of which every line goes stays
 with an empty text; repeated rows count as pages each, as in the SQL, unless
 ``copies_count`` is false: then a host's rows with equal texts are one page, so
-that copies of a page can't make its lines boilerplate. Other columns stay.
+that copies of a page can't make its lines boilerplate. A ratio that is met
+exactly is no boilerplate. Texts of any length are read whole. An empty table
+has an empty result. All other columns stay, whatever their names, but those
+with the names of the results are replaced.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cyclarium.llm._common import cut, table
+from cyclarium.llm._common import cut, fresh, table
 
 RATIO, MIN_PAGES = 0.08, 3
 #: Boilerplate lines (of about 100 bytes in memory) that may be broadcast.
@@ -49,26 +52,26 @@ def boilerplate(pages: DataFrame, *, host_col: str = "source", text_col: str = "
     return counts.join(totals, "host").where(F.col("n") > ratio * F.col("total")).select("host", "line")
 
 
-def clean(pages: DataFrame, *, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, copies_count: bool = True, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """The pages without boilerplate lines, and ``n_lines`` and ``n_dropped``, which replace columns of these names."""
+def clean(pages: DataFrame, *, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, copies_count: bool = True, broadcast_rows: int = BROADCAST_ROWS, counts: tuple[str, ...] = ("n_lines", "n_dropped")) -> DataFrame:
+    """The pages without boilerplate lines, and the columns ``counts``: lines before, lines dropped. Without ``counts`` the columns stay as they are."""
     found = cut(boilerplate(pages, host_col=host_col, text_col=text_col, ratio=ratio, min_pages=min_pages, copies_count=copies_count))
-    pages = pages.drop("n_lines", "n_dropped", "_host", "_drop", "_row", "_kept")
-    columns = pages.columns
-    pages = pages.withColumn("_host", F.col(host_col).cast("string"))
+    columns = [c for c in pages.columns if c.lower() not in counts]
+    host, drop, row, line = (fresh(f"_{x}", pages.columns) for x in ("host", "drop", "row", "line"))
+    pages = pages.withColumn(host, F.col(host_col).cast("string"))
     if found.count() <= broadcast_rows:
-        by_host = found.groupBy(F.col("host").alias("_host")).agg(F.collect_set("line").alias("_drop"))
-        pages = pages.join(F.broadcast(by_host), "_host", "left")
+        by_host = found.groupBy(F.col("host").alias(host)).agg(F.collect_set("line").alias(drop))
+        pages = pages.join(F.broadcast(by_host), host, "left")
     else:
-        pages = pages.withColumn("_row", F.struct(_key(F.col(text_col)).alias("text"), F.col("_host").alias("host")))
-        own = pages.where("_host is not null").select("_row", "_host", F.explode(F.array_distinct(F.split(text_col, "\n"))).alias("line")).select("_row", F.col("_host").alias("host"), _key(F.col("line")).alias("line"))
-        drops = own.join(found, ["host", "line"], "left_semi").groupBy("_row").agg(F.collect_set("line").alias("_drop"))
-        pages = pages.join(drops, "_row", "left")
+        pages = pages.withColumn(row, F.struct(_key(F.col(text_col)).alias("text"), F.col(host).alias("host")))
+        own = pages.where(F.col(host).isNotNull()).select(row, host, F.explode(F.array_distinct(F.split(text_col, "\n"))).alias(line)).select(row, F.col(host).alias("host"), _key(F.col(line)).alias("line"))
+        pages = pages.join(own.join(found, ["host", "line"], "left_semi").groupBy(row).agg(F.collect_set("line").alias(drop)), row, "left")
     lines = F.split(text_col, "\n")
-    dropped = lambda x: F.coalesce(F.array_contains("_drop", _key(x)), F.lit(False)) & (F.trim(x) != "")
-    kept = F.when(F.col("_drop").isNull(), F.col(text_col)).otherwise(F.array_join(F.filter(lines, lambda x: ~dropped(x)), "\n"))
+    dropped = lambda x: F.coalesce(F.array_contains(drop, _key(x)), F.lit(False)) & (F.trim(x) != "")
+    kept = F.when(F.col(drop).isNull(), F.col(text_col)).otherwise(F.array_join(F.filter(lines, lambda x: ~dropped(x)), "\n"))
     n_lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines))
-    n_dropped = F.when(F.col(text_col).isNull() | F.col("_drop").isNull(), 0).otherwise(F.size(F.filter(lines, dropped)))
-    return pages.withColumns({"_kept": kept, "n_lines": n_lines.cast("bigint"), "n_dropped": n_dropped.cast("bigint")}).select(*[F.col("_kept").alias(c) if c == text_col else F.col(c) for c in columns], "n_lines", "n_dropped")
+    n_dropped = F.when(F.col(text_col).isNull() | F.col(drop).isNull(), 0).otherwise(F.size(F.filter(lines, dropped)))
+    told = [n.cast("bigint").alias(c) for n, c in zip((n_lines, n_dropped), counts)]
+    return pages.select(*[kept.alias(c) if c == text_col else F.col(c) for c in columns], *told)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
