@@ -10,10 +10,17 @@ so that no amount of harmless words outweighs a toxic one, and rare words are
 left out. The thresholds keep their order as the later ones are sums of
 positive steps.
 
+A document counts as toxic if P(grade > 0) reaches the model's ``cut``. A first
+fit on four fifths of the sample sets it where precision and recall balance
+best (the F1 score) on the fifth that it hasn't seen.
+
 Edge cases: null and empty texts have no words and the grades' base rates;
 documents without a label are scored but not learned from; a label row without
-grades is ignored; repeated rows are scored alike; without any labels the
-severity is null.
+grades is ignored, and of several rows for one document the highest grade
+counts; of documents with equal ids one is learned from; repeated rows are
+scored alike; of grades with equal probability the lowest is reported; whole
+texts of any length are read; without any labels the severity is null; an empty
+table has an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,22 +32,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cyclarium.llm._common import Words, bytes_of, mix, slices, table
+from cyclarium.llm._common import Words, bytes_of, mix, shared, slices, table
 
 #: Hashed words, and the most labelled documents that the model is fitted on.
 DIM, SAMPLE = 1 << 18, 6000
-#: A document is toxic if P(grade > 0) reaches this, twice the usual share of toxic documents.
-TOXIC = 0.2
+#: The cut of a model whose sample has no toxic documents to set it by.
+CUT = 0.5
 #: Words are runs of ASCII letters, digits and anything beyond ASCII.
 SEPARATORS = bytes([*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)])
 
 
 @dataclass
 class Model:
-    """Weights by word slot and increasing thresholds, one less than grades."""
+    """Weights by word slot, increasing thresholds (one less than grades), and the least P(grade > 0) of a toxic document."""
 
     weights: np.ndarray
     thresholds: np.ndarray
+    cut: float = CUT
 
     def exceed(self, score: np.ndarray) -> np.ndarray:
         """P(grade > k) for each score and threshold."""
@@ -126,13 +134,32 @@ def _slots(docs: DataFrame, kinds: str, names: list[str]) -> DataFrame:
     return docs.select(*names, "text").mapInArrow(run, f"{kinds}, slots array<bigint>")
 
 
+def best_cut(p: np.ndarray, toxic: np.ndarray) -> float:
+    """The probability from which on counting as toxic has the highest F1 score; of equals the highest."""
+    at = np.argsort(-p, kind="stable")
+    p, toxic = p[at], toxic[at]
+    if not toxic.any():
+        return CUT
+    last = np.append(p[1:] < p[:-1], True)
+    f1 = np.where(last, 2 * np.cumsum(toxic) / (np.arange(1, len(p) + 1) + toxic.sum()), -1)
+    return float(p[int(np.argmax(f1))])
+
+
 def train(docs: DataFrame, grades: DataFrame, *, n_grades: int = 3, sample: int = SAMPLE) -> Model | None:
-    """Fit on at most ``sample`` rows of ``grades`` (doc_id, grade): those whose ids hash lowest."""
-    chosen = grades.where("doc_id is not null and grade is not null").orderBy(F.xxhash64(F.lit(11), "doc_id"), "doc_id", "grade").limit(sample)
+    """Fit on at most ``sample`` documents of ``grades`` (doc_id, grade): those whose ids hash lowest."""
+    known = grades.where("doc_id is not null and grade is not null").groupBy("doc_id").agg(F.max("grade").cast("int").alias("grade"))
+    chosen = known.orderBy(F.xxhash64(F.lit(11), "doc_id"), "doc_id").limit(sample)
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
-    got = _slots(rows, "doc_id bigint, grade int", ["doc_id", "grade"]).limit(sample).collect()
-    got.sort(key=lambda r: (r["doc_id"], r["grade"], r["slots"]))
-    return fit([np.array(r["slots"], np.int64) for r in got], [r["grade"] for r in got], n_grades) if got else None
+    slots = _slots(rows, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, grade int", ["doc_id", "grade"])
+    got = slots.groupBy("doc_id", "grade").agg(F.min("slots").alias("slots")).collect()
+    if not got:
+        return None
+    got.sort(key=lambda r: r["doc_id"])
+    slots, own = [np.array(r["slots"], np.int64) for r in got], np.array([r["grade"] for r in got])
+    held = np.arange(len(got)) % 5 == 4
+    model, tried = fit(slots, own.tolist(), n_grades), fit([x for x, h in zip(slots, held) if not h], own[~held].tolist(), n_grades)
+    model.cut = best_cut(tried.exceed(np.array([tried.weights[x].sum() for x, h in zip(slots, held) if h]))[:, 0], own[held] > 0)
+    return model
 
 
 def score(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -142,11 +169,11 @@ def score(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", text_
     if model is None:
         return docs.select(F.col("id").alias(id_col), F.lit(None).cast("double").alias("severity"), F.lit(None).cast("double").alias("p_toxic"), F.lit(None).cast("array<double>").alias("p_grades"))
     used = np.flatnonzero(model.weights)
-    shared = docs.sparkSession.sparkContext.broadcast((used, model.weights[used], model.thresholds))
+    known = shared(docs.sparkSession, (used, model.weights[used], model.thresholds))
     read = Features()
 
     def run(batches):
-        used, values, thresholds = shared.value
+        used, values, thresholds = known.value
         weights = np.zeros(DIM)
         weights[used] = values
         own = Model(weights, thresholds)
@@ -177,4 +204,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = train(docs, grades_of(table(spark, sf_dir, "labels")))
     out = score(docs, model)
     grade = F.array_position("p_grades", F.array_max("p_grades")) - 1
-    return out.select("doc_id", "severity", "p_toxic", grade.alias("grade"), (F.col("p_toxic") >= TOXIC).alias("toxic"))
+    return out.select("doc_id", "severity", "p_toxic", grade.alias("grade"), (F.col("p_toxic") >= (model.cut if model else CUT)).alias("toxic"))
