@@ -5,46 +5,63 @@ from __future__ import annotations
 import numpy as np
 
 
-def _estimates(z: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and mean squared residual of the ``width`` values that end at each place."""
-    n = np.minimum(np.arange(len(z)) + 1, width)
-    total, square = (np.concatenate([[0.0], np.cumsum(x)]) for x in (z, z * z))
+def _trailing(z: np.ndarray, width: int) -> np.ndarray:
+    """Mean of up to ``width`` values that end at each place."""
     i = np.arange(len(z)) + 1
-    mean = (total[i] - total[i - n]) / n
-    return mean, np.maximum((square[i] - square[i - n]) / n - mean * mean, 0)
+    n = np.minimum(i, width)
+    total = np.concatenate([[0.0], np.cumsum(z)])
+    return (total[i] - total[i - n]) / n
 
 
-def forward_backward(z: np.ndarray, widths: tuple[int, ...] = (1, 5, 15), precision: float = 3e-3, power: float = 20.0) -> np.ndarray:
-    """Moving means of several widths from both sides, weighted by how well each fits its values."""
+#: Weights are cut off here: the largest 32-bit number.
+MOST = 3.4028234663852886e38
+
+
+def _weights(chi: np.ndarray, width: int, power: float) -> np.ndarray:
+    """What a mean of ``width`` values counts if its squared residuals over the precision's are ``chi``: less with more, and more for wide ones."""
+    if width <= 1:
+        return np.full(len(chi), min(4.0**-power, MOST))
+    base = np.maximum(chi, 0) * width / (width - 1) + 2 * np.sqrt(width) / (width - 1)
+    with np.errstate(over="ignore", divide="ignore"):
+        return np.minimum(base**-power, MOST)
+
+
+def forward_backward(z: np.ndarray, widths: tuple[int, ...] = (1, 5, 15), precision: float = 3e-3, power: float = 20.0, window: int = 10) -> np.ndarray:
+    """Means of several widths up to each value, from both sides, weighted by how well each has lately (over ``window`` values) told the value it ends at."""
     out, good = z.copy(), np.isfinite(z)
     v = z[good]
     if not len(v):
         return out
     total, weight = np.zeros(len(v)), np.zeros(len(v))
     for flip in (1, -1):
+        x = v[::flip]
         for width in widths:
-            mean, chi = _estimates(v[::flip], width)
-            w = (precision**2 / (chi[::flip] + precision**2)) ** (power / 2) * width
-            total += w * mean[::flip]
-            weight += w
+            mean = _trailing(x, width)
+            w = _weights(_trailing(((x - mean) / precision) ** 2, window), width, power)
+            total += (w * mean)[::flip]
+            weight += w[::flip]
     out[good] = total / weight
     return out
 
 
 def non_linear(z: np.ndarray, widths: tuple[int, ...] = (1, 5, 15), precision: float = 3e-3, power: float = 20.0) -> np.ndarray:
-    """As above, but each window's mean counts for all values in the window."""
+    """Means of windows of several widths that begin or end at each value, weighted by how little the window's values scatter."""
     out, good = z.copy(), np.isfinite(z)
     v = z[good]
     if not len(v):
         return out
+    v = v - v[0]
     total, weight = np.zeros(len(v)), np.zeros(len(v))
     for width in widths:
-        mean, chi = _estimates(v, width)
-        w = (precision**2 / (chi + precision**2)) ** (power / 2)
-        for k in range(min(width, len(v))):
-            total[: len(v) - k] += (w * mean)[k:]
-            weight[: len(v) - k] += w[k:]
-    out[good] = total / weight
+        mean = _trailing(v, width)
+        w = _weights((_trailing(v * v, width) - mean * mean) / precision**2, width, power)
+        total += w * mean
+        weight += w
+        if len(v) >= width:
+            whole = len(v) - width + 1
+            total[:whole] += (w * mean)[width - 1 :]
+            weight[:whole] += w[width - 1 :]
+    out[good] = total / weight + z[good][0]
     return out
 
 

@@ -25,13 +25,21 @@ def subpixel(density: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def flag(values: np.ndarray, peaks: np.ndarray, window: float, least: int = 3) -> np.ndarray:
-    """Index of the nearest peak within ``window`` of each value, -1 without one; peaks with too few values go."""
+def flag(values: np.ndarray, peaks: np.ndarray, window: float, least: int = 3, base: float | None = None) -> np.ndarray:
+    """Index of the nearest peak within ``window`` of each value, -1 without one; peaks with too few values go.
+
+    With ``base`` the fullest peak within that of the lowest one stays; of equals the lowest.
+    """
     if not len(peaks):
         return np.full(len(values), -1)
     nearest = np.abs(values[:, None] - peaks[None, :]).argmin(axis=1)
     ids = np.where(np.abs(values - peaks[nearest]) <= window, nearest, -1)
     count = np.bincount(ids[ids >= 0], minlength=len(peaks))
+    if base is not None:
+        low = np.flatnonzero(peaks <= peaks.min() + base)
+        low = low[np.argsort(peaks[low], kind="stable")]
+        kept = low[np.argmax(count[low])]
+        count[kept] = max(count[kept], least)
     return np.where((ids >= 0) & (count[np.maximum(ids, 0)] < least), -1, ids)
 
 

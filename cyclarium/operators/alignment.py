@@ -90,7 +90,7 @@ def measure_end(frames: DataFrame, last: int = 10, max_distance: float | None =
     """Each cycle moved so that its last measure frames have mean zero; cycles far off in the relax phase go."""
     back = F.row_number().over(W.partitionBy(*CYCLE, "phase").orderBy(F.col("frame").desc()))
     tail = frames.withColumn("_i", back).where((F.col("phase") == PHASES["measure"]) & (F.col("_i") <= last))
-    moved = frames.join(tail.groupBy(*CYCLE).agg(F.avg("z").alias("_m")), CYCLE).withColumn("z", F.col("z") - F.col("_m")).drop("_m")
+    moved = frames.join(tail.groupBy(*CYCLE).agg(F.avg("z").alias("_m")), CYCLE).withColumn("z", F.col("z") - F.col("_m")).select(*frames.columns)
     if max_distance is None:
         return moved
     relax = moved.where(F.col("phase") == PHASES["relax"]).groupBy(*CYCLE).agg(F.median("z").alias("_r"))

@@ -160,12 +160,15 @@ def suppress_local(frames: DataFrame, window: int = 5, ratio: float = 20.0, by:
     return frames.withColumn("z", F.when(~F.coalesce(drop, F.lit(False)), F.col("z")))
 
 
-def by_bead(frames: DataFrame, kernel, by: list[str] = BEAD) -> DataFrame:
-    """The frames with z passed through a kernel on each key's values in order."""
+def by_bead(frames: DataFrame, kernel, by: list[str] = BEAD, skip: tuple[type[Exception], ...] = ()) -> DataFrame:
+    """The frames with z passed through a kernel on each key's values in order; keys on which it raises one of ``skip`` go."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("frame")
-        return rows.assign(z=kernel(rows["z"].to_numpy(np.float64, na_value=np.nan, copy=True)))
+        try:
+            return rows.assign(z=kernel(rows["z"].to_numpy(np.float64, na_value=np.nan, copy=True)))
+        except skip:
+            return rows[:0]
 
     out = frames.groupBy(*by).applyInPandas(run, frames.schema)
     return out.withColumn("z", F.when(~F.isnan("z"), F.col("z")))

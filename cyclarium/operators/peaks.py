@@ -17,8 +17,11 @@ from cyclarium.operators.statistics import BEAD, CYCLE
 PEAK = [*BEAD, "peak"]
 
 
-def select_peaks(events: DataFrame, precision: float | None = None, *, align: bool = False, method: str = "histogram", window: float = 2.5, least: int = 3) -> DataFrame:
-    """peak_events(track, bead, cycle, event, start, length, avg, bias, peak, peakposition) from (…, avg[, precision])."""
+def select_peaks(events: DataFrame, precision: float | None = None, *, align: bool = False, method: str = "histogram", window: float = 2.5, least: int = 3, base: float | None = 0.1) -> DataFrame:
+    """peak_events(track, bead, cycle, event, start, length, avg, bias, peak, peakposition) from (…, avg[, precision]).
+
+    Peaks with fewer than ``least`` events go, but for the fullest of those within ``base`` of the lowest: the baseline.
+    """
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["cycle", "event"], ignore_index=True)
@@ -42,7 +45,7 @@ def select_peaks(events: DataFrame, precision: float | None = None, *, align: bo
             count = np.bincount(ids, minlength=len(places))
             ids = np.where(count[ids] >= least, ids, -1)
         else:
-            ids = kernels.flag(x, places, window * own, least)
+            ids = kernels.flag(x, places, window * own, least, base)
         known = np.unique(ids[ids >= 0])
         order = known[np.argsort(places[known])]
         number = {int(k): i for i, k in enumerate(order)}
@@ -237,6 +240,24 @@ def fit_reference(peaks: DataFrame, reference: DataFrame, spread: float = 0.1, b
     return peaks.select(*BEAD, "peakposition").groupBy("bead").cogroup(reference.select("bead", "peakposition").groupBy("bead")).applyInPandas(run, "track string, bead bigint, cost double, stretch double, bias double")
 
 
+def correlation_biases(events: DataFrame, precision: float, by: list[str] = BEAD) -> DataFrame:
+    """bias(track, bead, cycle) at which each cycle's events agree best with those of all cycles."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        names = np.unique(rows["cycle"])
+        bias = kernels.cycle_biases([rows.loc[rows["cycle"] == c, "avg"].to_numpy(float) for c in names], precision)
+        return pd.DataFrame({"track": rows["track"].iloc[0], "bead": rows["bead"].iloc[0], "cycle": names, "bias": bias})
+
+    return events.where("avg is not null").select(*CYCLE, "avg").groupBy(*by).applyInPandas(run, "track string, bead bigint, cycle int, bias double")
+
+
+def move_events(events: DataFrame, biases: DataFrame) -> DataFrame:
+    """Events with their cycle's bias added to ``avg``; peaks' positions become the means of their events."""
+    rows = events.drop("bias").join(biases.select(*CYCLE, "bias"), CYCLE, "left").withColumn("bias", F.coalesce("bias", F.lit(0.0)))
+    rows = rows.withColumn("avg", F.col("avg") + F.col("bias"))
+    return rows.withColumn("peakposition", F.avg("avg").over(W.partitionBy(*PEAK))) if "peakposition" in events.columns else rows
+
+
 def peak_biases(events: DataFrame, method: str = "minbias") -> DataFrame:
     """bias(track, bead, cycle) from the events of each peak, by turns of means or by least squares."""
     per = events.groupBy(*PEAK, "cycle").agg(F.avg("avg").alias("m"), F.count("*").alias("w"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cyclarium.operators.selection import nearest
+from cyclarium.operators.selection import closest, nearest
 from cyclarium.operators.statistics import BEAD
 
 
@@ -147,12 +147,7 @@ def detections(peaks: DataFrame, theory: DataFrame, *, within: float = 1.0, tole
     """
     spots = theory.select("track", "strand", "theopos").distinct()
     marks = peaks.select("track", "peakposition").distinct().join(spots.select("track", "strand").distinct(), "track")
-    line = marks.select("track", "strand", F.col("peakposition").alias("x"), F.lit(None).cast("double").alias("theopos")).union(spots.select("track", "strand", F.col("theopos").alias("x"), "theopos"))
-    order = W.partitionBy("track", "strand").orderBy("x")
-    low = F.last("theopos", True).over(order.rangeBetween(W.unboundedPreceding, 0))
-    high = F.first("theopos", True).over(order.rangeBetween(0, W.unboundedFollowing))
-    nearer = F.when(high.isNull() | (F.col("x") - low <= high - F.col("x")), low).otherwise(high)
-    found = line.withColumn("_near", nearer).where("theopos is null").select("track", "strand", F.col("x").alias("peakposition"), F.col("_near").alias("theopos"))
+    found = closest(marks, spots, ["track", "strand"], "peakposition", "theopos").withColumnRenamed("closest", "theopos")
     other = spots.select("track", F.when(F.col("strand") == "positive", "negative").otherwise("positive").alias("strand"), F.col("theopos").alias("target"))
     double = nearest(spots, other, ["track", "strand"], brother, "theopos").select("track", "strand", "theopos", F.col("closest").isNotNull().alias("doublebinding"))
     near = F.count_if(F.abs(F.col("avg") - F.col("theopos")) <= within)

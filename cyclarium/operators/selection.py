@@ -179,6 +179,22 @@ def nearest(points: DataFrame, targets: DataFrame, key: list[str], window: float
     return points.join(best, [*key, value], "left").withColumn("delta", F.col(value) - F.col("closest"))
 
 
+def closest(points: DataFrame, targets: DataFrame, key: list[str], value: str = "position", target: str = "target") -> DataFrame:
+    """Each point with the nearest target of its key, however far; of two at the same distance the larger.
+
+    Points and targets of a key stand in one line, and each point looks to both sides.
+    """
+    marks = points.select(*key, F.col(value).alias("_x")).where("_x is not null").distinct().withColumn("_t", F.lit(None).cast("double"))
+    spots = targets.select(*key, F.col(target).cast("double").alias("_x")).where("_x is not null").distinct()
+    line = marks.union(spots.select(*key, "_x", F.col("_x").alias("_t")))
+    order = W.partitionBy(*key).orderBy("_x")
+    low = F.last("_t", True).over(order.rangeBetween(W.unboundedPreceding, 0))
+    high = F.first("_t", True).over(order.rangeBetween(0, W.unboundedFollowing))
+    found = F.when(high.isNull() | (F.col("_x") - low < high - F.col("_x")), low).otherwise(high)
+    near = line.withColumn("closest", found).where("_t is null").select(*key, F.col("_x").alias(value), "closest")
+    return points.join(near, [*key, value], "left")
+
+
 def exclusive(nearest_rows: DataFrame, key: list[str]) -> DataFrame:
     """Of the points with the same closest target only the nearest keeps it."""
     rank = F.row_number().over(W.partitionBy(*key, "closest").orderBy(F.abs("delta"), "position"))

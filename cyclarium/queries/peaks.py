@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from cyclarium.functions.signal import round9
 from cyclarium.operators import events as ev
+from cyclarium.operators import calling
 from cyclarium.operators import peaks as op
+from cyclarium.operators.statistics import hf_sigma
 from cyclarium.queries.events import KERNEL, _flat
 from cyclarium.queries.events import _FLAT
 from cyclarium.sources.fixtures import FRAMES_SQL, frames, read
@@ -22,7 +24,7 @@ def _small(df, *columns):
 
 
 def _selected(s, d, **options):
-    return op.select_peaks(_flat(s, d), 1.5, **options)
+    return op.select_peaks(_flat(s, d), 1.5, base=8.0, **options)
 
 
 def _binned(s, d):
@@ -68,7 +70,33 @@ def _peaks(s, d):
 
 HAIRPINS = {"GF1": [5.0, 20.0, 33.0, 60.0], "GF2": [12.0, 30.0, 55.0]}
 
+def _hairpins(s):
+    return s.createDataFrame([(h, 70, int(p), i % 2 == 0) for h, x in HAIRPINS.items() for i, p in enumerate(x)], "hpin string, strandsize int, position int, orientation boolean")
+
+
+def _placed(s, d):
+    """A fit of each bead to each hairpin."""
+    beads = frames(s, d).select("track", "bead").distinct()
+    kinds = F.explode(F.array(*[F.struct(F.lit(h).alias("hpin"), F.lit(a).alias("stretch"), F.lit(b).alias("shift")) for h, a, b in PLACES])).alias("k")
+    return beads.select("track", "bead", kinds).select("track", "bead", "k.hpin", F.lit(1.0).alias("cost"), "k.stretch", (F.col("bead") % 5 + F.col("k.shift")).alias("bias"))
+
+
+def _measured(s, d):
+    return op.peak_table(_binned(s, d), _cycles(s, d)).drop("events").withColumn("status", F.when(F.col("peak") < 3, "< baseline").otherwise(""))
+
+
+def _calling(s, d):
+    return _measured(s, d), _placed(s, d), _hairpins(s)
+
+
+#: Stretch and least bias of each hairpin's fits.
+PLACES = (("GF1", 1.0, 0.5), ("GF2", 0.75, -2.25))
+_NESTED = ("tpaverageduration", "tphybridisationrate", "fpaverageduration", "fphybridisationrate", "expresiduals", "hpinresiduals", "hfsigma")
+
 QUERIES = {
+    "identified_peaks": lambda s, d: _r(calling.identified_peaks(*_calling(s, d), window=4.0), "baseposition", "distance", "hybridisationrate", "averageduration"),
+    "missing_bindings": lambda s, d: _r(calling.missing_bindings(calling.identified_peaks(*_calling(s, d), window=4.0), _placed(s, d), _hairpins(s)), "peakposition"),
+    "fits_table": lambda s, d: _r(calling.fits_table(*_calling(s, d), hf_sigma(frames(s, d), ["track", "bead"]), 4.0, oligos=["ctg"]), *_NESTED),
     "density_maxima": lambda s, d: _r(op.density_maxima(_r(ev.smooth(ev.histogram(frames(s, d), 7.0, column="z"), KERNEL), "density"), 2), "vertex", "density"),
     "select_peaks": lambda s, d: _r(_selected(s, d), "avg", "peakposition", "bias"),
     "select_peaks_aligned": lambda s, d: _r(_selected(s, d, align=True), "avg", "peakposition", "bias"),
@@ -97,7 +125,24 @@ early AS (SELECT track, bead, peak, first(peakposition) AS z, avg(CAST(start - b
 cut AS (SELECT *, max(CAST(early <= 0.4 AS INTEGER)) OVER (PARTITION BY track, bead ORDER BY z DESC ROWS UNBOUNDED PRECEDING) AS broken FROM early), strand AS (SELECT track, bead, min(z) AS singlestrand FROM cut WHERE broken = 0 GROUP BY ALL),
 own AS (SELECT DISTINCT track, bead, peak, peakposition FROM binned)"""
 _FITS = "fits AS (SELECT 'lineitem' AS track, l_suppkey AS bead, 'GF' || (l_linenumber % 4) AS hpin, round(quantile_cont(l_quantity, 0.5) + count(*) / 100, 6) AS cost, 1.0::DOUBLE AS stretch, 0.0::DOUBLE AS bias FROM lineitem GROUP BY ALL), r AS (SELECT *, row_number() OVER w AS i, lead(cost) OVER w AS other FROM fits WINDOW w AS (PARTITION BY track, bead ORDER BY cost, hpin)), best AS (SELECT track, bead, hpin, cost, stretch, bias, CASE WHEN other IS NULL THEN 1 ELSE coalesce(((other - cost) / nullif(greatest(cost, other), 0) - 0.5) * 2, -1) END AS silhouette FROM r WHERE i = 1)"""
+_HP = "hp(hpin, position, plus) AS (VALUES " + ", ".join(f"('{h}', {p}::DOUBLE, {str(i % 2 == 0).upper()})" for h, x in HAIRPINS.items() for i, p in enumerate(x)) + ")"
+_CALLED = f"""{_BINNED}, {_HP}, placed AS (SELECT track, bead, hpin, a AS stretch, bead % 5 + b AS bias FROM (SELECT DISTINCT track, bead FROM frames) AS beads, (VALUES {", ".join(f"('{h}', {a}::DOUBLE, {b}::DOUBLE)" for h, a, b in PLACES)}) AS k(hpin, a, b)),
+pk AS (SELECT track, bead, peak, first(peakposition) AS peakposition, count(*) AS eventcount, least(1, count(DISTINCT cycle) / first(ncycles)) AS hybridisationrate, avg(length) / 30 AS averageduration, CASE WHEN peak < 3 THEN '< baseline' ELSE '' END AS own FROM binned JOIN cycles USING (track, bead) GROUP BY track, bead, peak),
+based AS (SELECT *, (peakposition - bias) * stretch AS baseposition FROM pk JOIN placed USING (track, bead)),
+met AS (SELECT based.*, position AS closest, plus, row_number() OVER (PARTITION BY track, bead, hpin, peak ORDER BY abs(position - baseposition), position DESC) AS i FROM based JOIN hp USING (hpin)),
+called AS (SELECT * EXCLUDE (i, own, plus), closest - baseposition AS distance, CASE WHEN plus THEN '+' ELSE '-' END AS orientation, CASE WHEN own <> '' THEN own WHEN abs(closest - baseposition) < 4 THEN 'truepos' ELSE 'falsepos' END AS status FROM met WHERE i = 1)"""
 SQL = {
+    "identified_peaks": f"{_W}, {_CALLED} SELECT * REPLACE (round(baseposition, 9) AS baseposition, round(distance, 9) AS distance, round(hybridisationrate, 9) AS hybridisationrate, round(averageduration, 9) AS averageduration) FROM called",
+    "missing_bindings": f"{_W}, {_CALLED} SELECT track, bead, hpin, round(position / stretch + bias, 9) AS peakposition, position AS baseposition, position AS closest, CASE WHEN plus THEN '+' ELSE '-' END AS orientation, 0 AS eventcount, 0.0::DOUBLE AS hybridisationrate, 'falseneg' AS status FROM placed JOIN hp USING (hpin) ANTI JOIN (SELECT track, bead, hpin, closest AS position FROM called WHERE status = 'truepos') AS seen USING (track, bead, hpin, position)",
+    "fits_table": f"""{_W}, {_CALLED}, dz AS (SELECT *, z - last_value(z IGNORE NULLS) OVER (PARTITION BY track, bead ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS dz FROM frames), noise AS (SELECT track, bead, quantile_cont(abs(dz), 0.5) AS hfsigma FROM dz GROUP BY ALL),
+ex AS (SELECT track, bead, hpin, count(*) AS nblockages, count_if(abs(distance) < 4) AS expaffected, count_if(abs(distance) >= 4) AS expnonaffected, count(DISTINCT closest) FILTER (WHERE abs(distance) < 4) AS exptruepos, quantile_cont(distance * distance, 0.5) FILTER (WHERE abs(distance) < 4) AS expresiduals,
+{", ".join(f"quantile_cont({c}, 0.5) FILTER (WHERE status = '{t}') AS {k}{c}" for k, t in (("tp", "truepos"), ("fp", "falsepos")) for c in calling.MEASURED)} FROM called GROUP BY ALL),
+back AS (SELECT p.track, p.bead, hpin, position, baseposition, row_number() OVER (PARTITION BY p.track, p.bead, hpin, position ORDER BY abs(position - baseposition), baseposition DESC) AS i FROM placed p JOIN hp USING (hpin) LEFT JOIN called USING (track, bead, hpin)),
+hs AS (SELECT track, bead, hpin, count_if(abs(position - baseposition) < 4) AS hpinaffected, count_if(NOT coalesce(abs(position - baseposition) < 4, FALSE)) AS hpinnonaffected, count(*) - count(DISTINCT baseposition) FILTER (WHERE abs(position - baseposition) < 4) AS hpinduplicates, count(DISTINCT baseposition) FILTER (WHERE abs(position - baseposition) < 4) AS hpintruepos, quantile_cont(power(position - baseposition, 2), 0.5) FILTER (WHERE abs(position - baseposition) < 4) AS hpinresiduals FROM back WHERE i = 1 GROUP BY ALL),
+size AS (SELECT hpin, 70 AS strandsize, count(DISTINCT position) AS nbindings FROM hp GROUP BY hpin)
+SELECT track, bead, hpin, 1.0::DOUBLE AS cost, stretch, bias, strandsize, nbindings, round(hfsigma, 9) AS hfsigma, expaffected, expnonaffected, nblockages - exptruepos AS expduplicates, exptruepos, round(expresiduals, 9) AS expresiduals, coalesce(nblockages, 0) AS nblockages, nbindings - coalesce(exptruepos, 0) AS expfalseneg,
+round(tpaverageduration, 9) AS tpaverageduration, round(tphybridisationrate, 9) AS tphybridisationrate, tpeventcount, round(fpaverageduration, 9) AS fpaverageduration, round(fphybridisationrate, 9) AS fphybridisationrate, fpeventcount, hpinaffected, hpinnonaffected, hpinduplicates, hpintruepos, round(hpinresiduals, 9) AS hpinresiduals, 'ctg' AS oligo
+FROM placed JOIN size USING (hpin) LEFT JOIN noise USING (track, bead) LEFT JOIN ex USING (track, bead, hpin) LEFT JOIN hs USING (track, bead, hpin)""",
     "density_maxima": f"""{_W}, b AS (SELECT track, bead, round_even((z - min(z) OVER (PARTITION BY track, bead)) / 7, 0)::BIGINT AS bin FROM frames WHERE z IS NOT NULL), h AS (SELECT track, bead, bin, count(*) AS n FROM b GROUP BY ALL),
 s AS (SELECT track, bead, bin + k AS bin, round(sum(n * w), 9) AS density FROM h, (VALUES (-2, 0.1::DOUBLE), (-1, 0.2::DOUBLE), (0, 0.4::DOUBLE), (1, 0.2::DOUBLE), (2, 0.1::DOUBLE)) AS kernel(k, w) GROUP BY track, bead, bin + k),
 m AS (SELECT *, max(density) OVER (w RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS top, coalesce(max(density) OVER (w RANGE BETWEEN 2 PRECEDING AND 1 PRECEDING), 0) AS earlier, max(density) OVER (w RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING) AS a, max(density) OVER (w RANGE BETWEEN 1 FOLLOWING AND 1 FOLLOWING) AS c FROM s WINDOW w AS (PARTITION BY track, bead ORDER BY bin))

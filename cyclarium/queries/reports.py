@@ -67,7 +67,7 @@ _W = "WITH " + FRAMES_SQL
 _ST = "st AS (SELECT o_custkey % 40 AS bead, date_trunc('quarter', o_orderdate) AS modification, arg_max(substr(o_orderpriority, 1, 1), o_orderkey) AS status FROM orders GROUP BY ALL), status AS (SELECT *, strftime(modification, '%Y-%m') AS track FROM st)"
 _ID = "ident AS (SELECT l_suppkey AS bead, l_linestatus AS strand, CASE l_returnflag WHEN 'A' THEN 'truepos' WHEN 'N' THEN 'falseneg' ELSE 'falsepos' END AS status, l_quantity AS size FROM lineitem)"
 _CALLED = """called AS (SELECT o_custkey % 50 AS track, CAST(floor(o_totalprice / 5000) * 50 AS DOUBLE) AS peakposition, floor(o_totalprice / 10) / 10 AS avg FROM orders), theory AS (SELECT DISTINCT p_partkey % 50 AS track, CASE WHEN p_size > 25 THEN 'positive' ELSE 'negative' END AS strand, floor(p_retailprice * 10) / 10 AS theopos FROM part),
-met AS (SELECT g.track, strand, theopos, peakposition, n, row_number() OVER (PARTITION BY g.track, peakposition, strand ORDER BY abs(theopos - peakposition), theopos) AS i FROM (SELECT track, peakposition, count(*) AS n FROM called GROUP BY ALL) g JOIN theory ON g.track = theory.track),
+met AS (SELECT g.track, strand, theopos, peakposition, n, row_number() OVER (PARTITION BY g.track, peakposition, strand ORDER BY abs(theopos - peakposition), theopos DESC) AS i FROM (SELECT track, peakposition, count(*) AS n FROM called GROUP BY ALL) g JOIN theory ON g.track = theory.track),
 near AS (SELECT * FROM met WHERE i = 1), hits AS (SELECT near.track, strand, near.peakposition, count_if(abs(avg - theopos) <= 2) AS k FROM near JOIN called ON near.track = called.track AND near.peakposition = called.peakposition GROUP BY ALL),
 judged AS (SELECT track, strand, theopos, peakposition, n AS estimators, EXISTS (SELECT 1 FROM theory o WHERE o.track = near.track AND o.strand <> near.strand AND abs(o.theopos - near.theopos) < 3) AS doublebinding, k / n >= CASE WHEN strand = 'positive' THEN 0.4 ELSE 0.6 END AS detection FROM near JOIN hits USING (track, strand, peakposition))"""
 _FAIL = "avg(CAST(testtoolow OR testtoohigh AS INTEGER)) * 100"
