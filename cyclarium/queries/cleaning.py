@@ -13,7 +13,7 @@ from cyclarium.sources.fixtures import FRAMES_SQL, frames
 #: Bounds that suit the fixture's scale.
 RULES = op.Rules(hfsigma=(0.1, 26.0), population=(85.0, None), extent=(55.0, 64.0), pingpong=(None, 14.0), phasejump=(None, 2), saturation=(None, 12.0), jump=(14.0, 3.0), pingpong_difference=0.01, min_population=3.0)
 #: Wider bounds, within which some cycles of most beads pass.
-WIDE = op.Rules(hfsigma=(0.1, 34.0), population=(75.0, None), extent=(45.0, 75.0), pingpong=(None, 30.0), phasejump=(None, 12), saturation=(None, 40.0), jump=(14.0, 3.0), saturated_cycles=60.0, min_population=20.0)
+WIDE = op.Rules(hfsigma=(0.1, 36.0), population=(75.0, None), extent=(80.0, 95.0), pingpong=(None, 7.0), phasejump=(None, 5), saturation=(None, 40.0), jump=(14.0, 3.0), saturated_cycles=60.0, min_population=20.0)
 BEADS = [1, 2, 3]
 
 

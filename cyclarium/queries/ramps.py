@@ -20,7 +20,7 @@ def _ramps(s, d):
 QUERIES = {
     "ramp_stats": lambda s, d: _r(op.ramp_stats(_ramps(s, d).withColumn("z", F.pow("z", 3) / 1000)), "population", "correlation", "extent", "maxdeltaz", "hfsigma", "zmagopen", "zmagclose"),
     "ramp_events": lambda s, d: _r(op.ramp_events(_ramps(s, d).withColumn("z", F.pow("z", 9) / 1e15)), "zmag", "dz"),
-    "ramp_status": lambda s, d: op.ramp_status(op.ramp_stats(_ramps(s, d)), population=60.0, extension=(57.0, 66.0, 61.0), hfsigma=(12.0, 30.0), fixed_share=60.0, beads=frames(s, d)),
+    "ramp_status": lambda s, d: op.ramp_status(op.ramp_stats(_ramps(s, d)), population=70.0, extension=(62.0, 80.0, 89.0), hfsigma=(12.0, 40.0), fixed_share=60.0, beads=frames(s, d)),
     "ramp_consensus": lambda s, d: _r(op.ramp_consensus(_ramps(s, d)), "z"),
     "track_consensus": lambda s, d: _r(op.track_consensus(op.ramp_consensus(_ramps(s, d))), "z"),
 }
@@ -38,9 +38,9 @@ con AS (SELECT track, bead, "offset", way, (z - min(z) OVER b) * 100 / nullif(ma
 SQL = {
     "ramp_stats": f"WITH {_steps('power(z, 3) / 1000')}, {_STATS} SELECT track, bead, cycle, round(population, 9) AS population, round(correlation, 9) AS correlation, round(extent, 9) AS extent, round(maxdeltaz, 9) AS maxdeltaz, round(hfsigma, 9) AS hfsigma, iopen, round(zmagopen, 9) AS zmagopen, iclose, round(zmagclose, 9) AS zmagclose FROM stats",
     "ramp_events": f"WITH {_steps('power(z, 9) / 1e15')}, o AS (SELECT *, lag(frame) OVER (PARTITION BY track, bead, cycle ORDER BY frame) AS before FROM s WHERE (opens OR closes) AND zmag > -0.8) SELECT track, bead, cycle, frame, round(zmag, 9) AS zmag, round(dz, 9) AS dz, CASE WHEN opens THEN 'open' ELSE 'close' END AS kind FROM o WHERE coalesce(frame - before > 1, TRUE)",
-    "ramp_status": f"""WITH {_steps('z')}, {_STATS}, c AS (SELECT *, maxdeltaz < 57 OR (maxdeltaz < 66 AND zmagopen IS NULL AND zmagclose IS NULL) AS fixed, hfsigma > 12 AND hfsigma < 30 AND population > 60 AS good FROM stats WHERE extent IS NOT NULL AND maxdeltaz IS NOT NULL AND hfsigma IS NOT NULL),
+    "ramp_status": f"""WITH {_steps('z')}, {_STATS}, c AS (SELECT *, maxdeltaz < 62 OR (maxdeltaz < 80 AND zmagopen IS NULL AND zmagclose IS NULL) AS fixed, hfsigma > 12 AND hfsigma < 40 AND population > 70 AS good FROM stats WHERE extent IS NOT NULL AND maxdeltaz IS NOT NULL AND hfsigma IS NOT NULL),
 b AS (SELECT track, bead, quantile_cont(extent, 0.5) AS extent, avg(CAST(good AS INTEGER)) AS good, count_if(fixed) AS fixed, count(*) AS n FROM c GROUP BY ALL)
-SELECT track, bead, CASE WHEN good > 0.6 AND fixed >= least(good * n * 0.6, n - 1) THEN 'fixed' WHEN good > 0.6 AND extent > 57 AND extent < 61 THEN 'ok' ELSE 'bad' END AS status FROM (SELECT DISTINCT track, bead FROM frames) AS every LEFT JOIN b USING (track, bead)""",
+SELECT track, bead, CASE WHEN good > 0.7 AND fixed >= least(good * n * 0.6, n - 1) THEN 'fixed' WHEN good > 0.7 AND extent > 62 AND extent < 89 THEN 'ok' ELSE 'bad' END AS status FROM (SELECT DISTINCT track, bead FROM frames) AS every LEFT JOIN b USING (track, bead)""",
     "ramp_consensus": f"WITH {_steps('z')}, {_FOLD} SELECT track, bead, \"offset\", way, round(z, 9) AS z FROM con",
     "track_consensus": f"WITH {_steps('z')}, {_FOLD} SELECT track, \"offset\", way, round(quantile_cont(z, 0.5), 9) AS z, count(z) AS beads FROM con GROUP BY ALL",
 }

@@ -25,3 +25,9 @@ def test_hairpins_are_fitted_to_all_beads(spark):
     beads = {(r.track, r.bead) for r in _peaks(spark, larger).select("track", "bead").distinct().collect()}
     assert max(b for _, b in beads) > 20
     assert {(r.track, r.bead, r.hpin) for r in catalog.queries()["fit_hairpins"](spark, larger).collect()} == {(*b, h) for b in beads for h in HAIRPINS}
+
+
+@pytest.mark.parametrize(("name", "column", "kinds"), [("data_cleaning", "phase", set(range(8))), ("ramp_status", "status", {"ok", "fixed", "bad"})])
+def test_all_kinds_of_rows_are_compared(spark, name, column, kinds):
+    rows = catalog.queries()[name](spark, "/root/testdata/sf0.01").select(column).distinct().collect()
+    assert {r[0] for r in rows} == kinds
