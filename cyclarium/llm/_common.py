@@ -19,6 +19,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows that go to a Python worker at once, and Spark's own number, which is for narrow rows.
+BATCH_ROWS, USUAL_ROWS = 2000, 10_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Texts are wide rows: unless the session says otherwise, fewer of them are held on their way to a worker."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, str(USUAL_ROWS)) == str(USUAL_ROWS):
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
@@ -59,6 +70,7 @@ def scratch() -> Iterator[None]:
 
 def shared(spark: SparkSession, value: object) -> Broadcast:
     """A broadcast that lasts as long as the open scope; without one, as long as something refers to it."""
+    small_batches(spark)
     out = spark.sparkContext.broadcast(value)
     if _SCOPES:
         _SCOPES[-1].append(out)
@@ -82,6 +94,7 @@ def cut(df: DataFrame, outside: bool = False) -> DataFrame:
     they are for the outside.
     """
     spark = df.sparkSession
+    small_batches(spark)
     path = shared_path(spark)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
