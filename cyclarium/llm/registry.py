@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cyclarium.llm import decontaminate, embedding_dedup, language_id, line_dedup, ngram_join, packing, secret_scan, toxicity, url_filter, warc
+from cyclarium.llm import decontaminate, embedding_dedup, language_id, line_dedup, ngram_join, packing, secret_scan, spelling, toxicity, url_filter, vector_codes, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_id": language_id.query,
         "op9_ngram_jaccard": ngram_join.query,
         "op10_embedding_dedup": embedding_dedup.query,
+        "op11_spelling_variants": spelling.query,
+        "op12_vector_codes": vector_codes.query,
     }
 
 
@@ -33,4 +35,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_line_dedup": line_dedup.ORACLE_SQL,
         "op7_url_filter": url_filter.ORACLE_SQL,
         "op9_ngram_jaccard": ngram_join.ORACLE_SQL,
+        "op11_spelling_variants": spelling.ORACLE_SQL,
+        "op12_vector_codes": vector_codes.ORACLE_SQL,
     }
