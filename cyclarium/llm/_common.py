@@ -177,6 +177,22 @@ def bytes_of(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(buffer, np.uint8)[ends[0] : ends[-1]], ends - ends[0]
 
 
+def cuts_between(within: np.ndarray, ends: np.ndarray, piece: int) -> list[int]:
+    """Where to cut so that parts have about ``piece`` bytes and no word is cut: ends of texts, or bytes within very long ones that belong to no word."""
+    out, n = [0], len(within)
+    while n - out[-1] > piece:
+        at = out[-1] + piece
+        near = ends[np.searchsorted(ends, at, side="right") - 1]
+        if near <= out[-1]:
+            gap = np.flatnonzero(~within[at : at + piece])
+            while not len(gap) and at + piece < n:
+                at += piece
+                gap = np.flatnonzero(~within[at : at + piece])
+            near = at + int(gap[0]) if len(gap) else n
+        out.append(int(near))
+    return [*out, n] if out[-1] < n else out
+
+
 class Words:
     """Splits UTF-8 text into words and hashes each to 64 bits, for many texts at once.
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cyclarium.llm import decontaminate, embedding_dedup, language_id, line_dedup, ngram_join, packing, secret_scan, spelling, toxicity, url_filter, vector_codes, warc
+from cyclarium.llm import decontaminate, embedding_dedup, language_id, line_dedup, ngram_join, packing, personal_data, secret_scan, spelling, toxicity, url_filter, vector_codes, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -24,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_embedding_dedup": embedding_dedup.query,
         "op11_spelling_variants": spelling.query,
         "op12_vector_codes": vector_codes.query,
+        "op13_personal_data": personal_data.query,
     }
 
 

@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cyclarium.llm._common import bytes_of, cut, drop_cut, hot_join, ranges, scratch, slices, small_batches, table
+from cyclarium.llm._common import bytes_of, cut, cuts_between, drop_cut, hot_join, ranges, scratch, slices, small_batches, table
 
 MIN_LENGTH, MIN_COUNT, RATIO = 6, 5, 5
 #: Of the words of a document one in so many loses a letter, by its checksum: the contract's own noise.
@@ -124,22 +124,6 @@ def counted(data: np.ndarray, is_letter: np.ndarray, ends: np.ndarray, states: n
     return pa.RecordBatch.from_arrays([found.field(0), found.field(1)], ["word", "n"])
 
 
-def cuts(is_letter: np.ndarray, ends: np.ndarray, piece: int) -> list[int]:
-    """Where to cut so that parts have about ``piece`` bytes and no word is cut: ends of texts, or bytes that are no letters within very long ones."""
-    out, n = [0], len(is_letter)
-    while n - out[-1] > piece:
-        at = out[-1] + piece
-        near = ends[np.searchsorted(ends, at, side="right") - 1]
-        if near <= out[-1]:
-            gap = np.flatnonzero(~is_letter[at : at + piece])
-            while not len(gap) and at + piece < n:
-                at += piece
-                gap = np.flatnonzero(~is_letter[at : at + piece])
-            near = at + int(gap[0]) if len(gap) else n
-        out.append(int(near))
-    return [*out, n] if out[-1] < n else out
-
-
 def vocabulary(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_length: int = MIN_LENGTH, min_count: int = MIN_COUNT, noise: int | None = None, piece: int = PIECE) -> DataFrame:
     """(word, n): words of at least ``min_length`` code points and how often they occur, if ``min_count`` times."""
     small_batches(docs.sparkSession)
@@ -152,7 +136,7 @@ def vocabulary(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
                 data = LOWER[raw]
                 is_letter = letters(data)
                 states = np.array([zlib.crc32(f"{x or ''}:".encode()) for x in rows.column("id").to_pylist()], np.uint32)
-                at = cuts(is_letter, ends, piece)
+                at = cuts_between(is_letter, ends, piece)
                 for a, b in zip(at, at[1:]):
                     t, u = np.searchsorted(ends, a, side="right") - 1, np.searchsorted(ends, b, side="left")
                     own = counted(data[a:b], is_letter[a:b], np.clip(ends[t : u + 1] - a, 0, b - a), states[t:u], min_length, noise)
