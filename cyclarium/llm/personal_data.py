@@ -224,9 +224,9 @@ def contexts(text: str, spans: list[tuple[int, int]], piece: int = PIECE) -> lis
     parts = cuts_between(BYTE_KIND[data] != 0, ends, piece)
     made = [(a, tokens(data[a:b], np.array([0, b - a]))) for a, b in zip(parts, parts[1:])]
     first, hashed = np.concatenate([a + x[0] for a, x in made]), np.concatenate([x[1] for _, x in made])
-    points = np.array(spans).reshape(-1, 2)
+    points = np.array(spans, np.int64).reshape(-1, 2)
     if len(data) > len(text):
-        points = np.flatnonzero((data & 0xC0) != 0x80)[np.minimum(points, len(text) - 1)] + np.where(points == len(text), len(data), 0)
+        points = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))[points]
     before, behind = np.searchsorted(first, points[:, 0]), np.searchsorted(first, points[:, 1])
     all_of = {order: grams(hashed, order) for order in ORDERS}
     out: list[list[int]] = []
