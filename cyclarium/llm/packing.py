@@ -14,7 +14,8 @@ Ids never move: the cut points follow from the length alone, so the pass that
 makes the ids also makes each piece's checksum, and only pieces are shuffled.
 
 Edge cases: null and empty texts give one piece, the end id alone. Very long
-documents become many pieces that land in many blocks. Ties in length are
+documents become many pieces that land in many blocks; their ids are made at
+once, also where millions of blanks or of one letter stand in a row. Ties in length are
 packed in the order of id and start; repeated rows are packed each. An empty
 table gives no pieces. Other columns are ignored, whatever their names.
 """
@@ -26,6 +27,7 @@ import functools
 import heapq
 import itertools
 import json
+import re
 import zlib
 
 import numpy as np
@@ -42,6 +44,8 @@ BLOCK = 8192
 VOCABULARY = "byte_bpe_50k.json"
 #: A text with this string goes to the tokenizer itself, for which it is a token of its own.
 SPECIAL = "<|endoftext|>"
+#: So does one with this many blanks in a row, on which the other library's pattern runs out of stack.
+BLANKS, LONG_BLANKS = re.compile(r"\s++"), 100_000
 #: Units that are merged by themselves: a fixed pattern of this vocabulary.
 UNITS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Byte-level vocabularies write each byte as a visible character: itself if it is one, else the next from U+0100 on.
@@ -52,8 +56,9 @@ BYTES = {chr(b): b for b in VISIBLE} | {chr(0x100 + i): b for i, b in enumerate(
 class Encoder:
     """Ids of a byte-level vocabulary in which a token's id is also the rank of its merge.
 
-    The merges of the vocabulary file are done by the faster of two libraries,
-    whose ids are the same. It keeps nothing from text to text.
+    The merges of the vocabulary file are done by the faster of two libraries
+    where it can, and by the other where it can't; their ids are the same. It
+    keeps nothing from text to text.
     """
 
     def __init__(self, path: str) -> None:
@@ -74,7 +79,7 @@ class Encoder:
 
     def encode(self, text: str) -> np.ndarray:
         """Ids as little-endian unsigned 32-bit numbers."""
-        if SPECIAL in text:
+        if SPECIAL in text or len(text) >= LONG_BLANKS and any(m.end() - m.start() >= LONG_BLANKS for m in BLANKS.finditer(text)):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
         return np.array(self.merges.encode_ordinary(text), "<u4")
 

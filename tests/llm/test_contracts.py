@@ -2,10 +2,12 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
@@ -203,6 +205,22 @@ def test_ids_of_every_kind_of_character():
         assert encoder.encode(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("unit", [" ", "\n", "\r\n", " \n\t", "\u2003", "a", "7", "!", "\u00e9", "\u3042"])
+def test_ids_of_two_million_characters_in_a_row(unit):
+    encoder = packing.Encoder(public_tokenizers.path(packing.VOCABULARY))
+    rng = random.Random(1)
+    run = "".join(rng.choice(unit) for _ in range(2_000_000)) if len(unit) > 1 else unit * 2_000_000
+    text = f"before {run}after"
+    assert (encoder.encode(text) == np.array(encoder.tokenizer.encode(text, add_special_tokens=False).ids)).all()
+
+
+def test_very_long_blanks_are_packed(spark):
+    rows = [(1, "x" + " " * 1_500_000), (2, "\n" * 1_500_000), (3, "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"id": F.lit(1), "length": F.lit(2), "block": F.lit("x")})
+    got = packing.result(df).groupBy("doc_id").agg(F.sum("length").alias("n"), F.first("doc_tokens").alias("m")).collect()
+    assert {r.doc_id for r in got} == {1, 2, 3} and all(r.n == r.m for r in got)
+
+
 def test_full_windows_need_no_group(spark):
     import public_tokenizers
 
