@@ -68,6 +68,8 @@ ORDERS = (2, 3)
 SUPPORT, CONFIDENCE, UNKNOWN, ROUNDS = 3, 0.5, 0.1, 4
 #: Bytes whose tokens are made at a time.
 PIECE = 1 << 20
+#: Counts that a task holds before it hands them on.
+HELD = 1 << 20
 #: 64-bit words of the filter.
 FILTER = 1 << 16
 
@@ -301,16 +303,29 @@ def totals(docs: DataFrame, patterns: DataFrame, text_col: str) -> DataFrame:
         def within(at: np.ndarray) -> np.ndarray:
             return (own[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)) != 0
 
+        held, waiting = (np.zeros(0, np.uint64), np.zeros(0, np.int64)), []
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            """All counts of this task so far."""
+            gram, at = np.unique(np.concatenate([held[0], *waiting]), return_inverse=True)
+            n = np.bincount(at, np.concatenate([held[1], np.ones(len(at) - len(held[1]), np.int64)]), len(gram))
+            waiting.clear()
+            return gram, n.astype(np.int64)
+
+        def rows(gram: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(gram.astype(np.int64)), pa.array(n)], ["gram", "total"])
+
         for batch in batches:
             for lo, hi in slices(batch):
-                kept = []
                 for made in all_grams(*bytes_of(batch.slice(lo, hi - lo).column("text"))):
                     made = made[within(made % size)]
-                    kept.append(made[within((made >> np.uint64(31)) % size)])
-                if kept:
-                    gram, n = np.unique(np.concatenate(kept), return_counts=True)
-                    if len(gram):
-                        yield pa.RecordBatch.from_arrays([pa.array(gram.astype(np.int64)), pa.array(n)], ["gram", "total"])
+                    waiting.append(made[within((made >> np.uint64(31)) % size)])
+                if sum(map(len, waiting)) >= HELD:
+                    held = merged()
+                if len(held[0]) >= HELD:
+                    yield rows(*held)
+                    held = held[0][:0], held[1][:0]
+        yield rows(*merged())
 
     return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "gram bigint, total bigint").groupBy("gram").agg(F.sum("total").alias("total"))
 

@@ -263,10 +263,10 @@ def corpus():
     """Seeds and unknown identifiers in shared contexts, contexts that hold anything, and clean texts."""
     rng = random.Random(8)
     fill = lambda n: " ".join(rng.choice("the of thtion été and hehe".split()) for _ in range(n))
-    out = []
+    out, local = [], [f"{rng.randrange(100, 999)}-555-{rng.randrange(1000, 9999)}" for _ in range(9)]
     for i in range(120):
-        phone = rng.choice([f"+1 ({rng.randrange(100, 999)}) 555-{rng.randrange(1000, 9999)}", f"{rng.randrange(100, 999)}-555-{rng.randrange(1000, 9999)}"])
-        account = rng.choice([f"AC{rng.randrange(10**7, 10**8)}", f"{rng.randrange(100, 999)}-555-{rng.randrange(1000, 9999)}"])
+        phone = rng.choice([f"+1 ({rng.randrange(100, 999)}) 555-{rng.randrange(1000, 9999)}", rng.choice(local)])
+        account = rng.choice([f"AC{rng.randrange(10**7, 10**8)}", rng.choice(local)])
         out.append([f"{fill(5)} Please call me at {phone} today. {fill(4)}", f"{fill(3)} my account number is {account} thanks {fill(2)}", f"{fill(6)} in the year {rng.randrange(10000, 99999)} {fill(3)}", f"Call me at home. {fill(8)}"][i % 4])
     return [*out, None, "", "a", out[0], out[0], "x 12345"]
 
