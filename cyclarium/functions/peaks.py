@@ -166,17 +166,49 @@ def least_squares_bias(weights: np.ndarray, means: np.ndarray) -> np.ndarray:
     return np.linalg.lstsq(a, np.append(root * means[p, c], 0.0), rcond=None)[0][peaks:]
 
 
+def chains(reference: np.ndarray, experiment: np.ndarray, window: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Both sorted lists in one line: list (0 is the reference) and index of each, and the distance to the one before.
+
+    The distance is infinite where a chain ends: at one of the same list, or
+    beyond the window. At equal positions the list that had the last place
+    goes on.
+    """
+    x = np.concatenate([reference, experiment]).astype(float)
+    side = np.repeat([0, 1], [len(reference), len(experiment)])
+    index = np.concatenate([np.arange(len(reference)), np.arange(len(experiment))])
+    order = np.lexsort((side, x))
+    x, side, index = x[order], side[order], index[order]
+    last = 0
+    for start, stop in zip(*_equal_runs(x)):
+        own = side[start:stop]
+        if last == 1 and own[0] != own[-1]:
+            turned = np.argsort(1 - own, kind="stable") + start
+            side[start:stop], index[start:stop] = side[turned], index[turned]
+        last = side[stop - 1]
+    gap = np.full(len(x), np.inf)
+    going = (side[1:] != side[:-1]) & ~(x[:-1] < x[1:] - window)
+    gap[1:][going] = (x[1:] - x[:-1])[going]
+    return side, index, gap
+
+
+def _equal_runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal values begin and end."""
+    starts = np.concatenate([[0], np.flatnonzero(np.diff(x) != 0) + 1]) if len(x) else np.zeros(0, int)
+    return starts, np.append(starts[1:], len(x)) if len(x) else starts
+
+
 def match(reference: np.ndarray, experiment: np.ndarray, window: float) -> list[tuple[int, int]]:
-    """One-to-one pairs of sorted lists within ``window``, the closest first."""
-    pairs = sorted((abs(r - e), i, j) for i, r in enumerate(reference) for j, e in enumerate(experiment) if abs(r - e) < window)
-    used_r: set[int] = set()
-    used_e: set[int] = set()
+    """One-to-one pairs of sorted lists: of neighbours in chains of both lists' turns, the closest first."""
+    side, index, gap = chains(reference, experiment, window)
+    free = np.ones(len(gap), bool)
     out = []
-    for _, i, j in pairs:
-        if i not in used_r and j not in used_e:
-            used_r.add(i)
-            used_e.add(j)
-            out.append((i, j))
+    for i in np.argsort(gap, kind="stable"):
+        if gap[i] == np.inf:
+            break
+        if free[i - 1] and free[i]:
+            free[i - 1] = free[i] = False
+            pair = index[i - 1], index[i]
+            out.append(tuple(int(k) for k in (pair if side[i] == 1 else pair[::-1])))
     return sorted(out)
 
 
@@ -237,8 +269,8 @@ def pair_candidates(theory: np.ndarray, peaks: np.ndarray, stretches: tuple[floa
 def least_cost(theory: np.ndarray, peaks: np.ndarray, options: np.ndarray, window: float) -> np.ndarray:
     """For each (stretch, bias) row a cost that none of its matches can be below: each position within the window of a peak counts as matched."""
     placed = (peaks[None, :] - options[:, 1:]) * options[:, :1]
-    near = np.minimum.reduce([np.abs(placed - t) for t in theory]) < window
-    back = np.minimum.reduce([np.abs(placed[:, [k]] - theory[None, :]) for k in range(len(peaks))]) < window
+    near = np.minimum.reduce([np.abs(placed - t) for t in theory]) <= window * (1 + 1e-9)
+    back = np.minimum.reduce([np.abs(placed[:, [k]] - theory[None, :]) for k in range(len(peaks))]) <= window * (1 + 1e-9)
     pairs = np.minimum(near.sum(1), back.sum(1))
     lost = len(theory) + len(peaks) - 2 * pairs
     return np.where(pairs > 0, np.sqrt(lost**2 / np.maximum(2 * pairs, 1)), NO_MATCH)

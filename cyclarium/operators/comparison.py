@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from cyclarium.functions.signal import complement
 from cyclarium.operators.peaks import PEAK, oligo_positions
-from cyclarium.operators.selection import as_of, assign_phases, mutual, nearest
+from cyclarium.operators.selection import as_of, assign_phases, matched, nearest
 from cyclarium.operators.statistics import BEAD
 
 FIT = [*BEAD, "hpin"]
@@ -26,7 +26,7 @@ def population_threshold(steps: Column, outliers: float = 75.0, deviation: tuple
 
 
 def match_distance(points: DataFrame, targets: DataFrame, key: list[str], window: float, stretch: float = 1.0, bias: float = 0.0) -> DataFrame:
-    """Per key how many points and targets match, their distance, and its slopes in stretch and bias.
+    """Per key how many points and targets match (see ``matched``), their distance, and its slopes in stretch and bias.
 
     Targets are placed at target * stretch + bias. The distance is the sum of
     squares over the window's and the number of those without a match; without
@@ -35,7 +35,7 @@ def match_distance(points: DataFrame, targets: DataFrame, key: list[str], window
     placed = targets.select(*key, F.col("target").alias("raw"), (F.col("target") * stretch + bias).alias("target"))
     sizes = points.groupBy(*key).agg(F.count("*").alias("n1")).join(targets.groupBy(*key).agg(F.count("*").alias("n2")), key, "full").na.fill(0)
     off = F.col("position") - F.col("target")
-    pairs = mutual(points, placed.select(*key, "target"), key, window).join(placed, [*key, "target"])
+    pairs = matched(points, placed.select(*key, "target"), key, window, first="position").join(placed, [*key, "target"])
     met = pairs.groupBy(*key).agg(F.count("*").alias("nfound"), F.sum(off * off).alias("square"), F.sum(-F.col("raw") * off).alias("slope"), F.sum(-off).alias("shift"))
     rows = sizes.join(met, key, "left").na.fill(0)
     lost = F.col("n1") + F.col("n2")

@@ -149,16 +149,26 @@ def override_cycles(frames: DataFrame, overrides: DataFrame) -> DataFrame:
     return rows.withColumn("z", F.when(F.col("_over"), F.col("_z")).otherwise(F.col("z"))).select(*frames.columns)
 
 
-def as_of(frames: DataFrame, secondaries: DataFrame, name: str) -> DataFrame:
-    """The secondary series' latest value at or before each frame, and its linear interpolation."""
-    own = secondaries.where(F.col("name") == name).select("track", "frame", F.col("value").alias("_v"))
-    rows = frames.join(own, ["track", "frame"], "left")
-    over = W.partitionBy(*BEAD).orderBy("frame")
-    back, ahead = over.rowsBetween(W.unboundedPreceding, 0), over.rowsBetween(0, W.unboundedFollowing)
-    at = F.when(F.col("_v").isNotNull(), F.col("frame"))
-    v0, v1, f0, f1 = F.last("_v", True).over(back), F.first("_v", True).over(ahead), F.last(at, True).over(back), F.first(at, True).over(ahead)
-    between = F.when(f0 == f1, v0).otherwise(v0 + (v1 - v0) * (F.col("frame") - f0) / (f1 - f0))
-    return rows.withColumns({"latest": v0, "interpolated": F.coalesce(between, v0, v1)}).drop("_v")
+def as_of(frames: DataFrame, secondaries: DataFrame, name: str, width: int = 64) -> DataFrame:
+    """The secondary series' latest value at or before each frame, and its linear interpolation.
+
+    Values are those of the track, whether or not a bead has their frames; of
+    several at one frame the largest counts. Before the first value there is no
+    latest one, and the interpolation stays at the first or the last beyond
+    them. Spans between values meet frames in buckets of ``width`` frames.
+    """
+    own = secondaries.where((F.col("name") == name) & F.col("value").isNotNull()).groupBy("track", F.col("frame").alias("_f0")).agg(F.max("value").alias("_v0"))
+    order = W.partitionBy("track").orderBy("_f0")
+    spans = own.withColumns({"_f1": F.lead("_f0").over(order), "_v1": F.lead("_v0").over(order)}).where("_f1 is not null")
+    buckets = F.explode(F.sequence(F.floor(F.col("_f0") / width), F.floor((F.col("_f1") - 1) / width))).alias("_bucket")
+    spread = spans.select(F.col("track").alias("_track"), "_f0", "_v0", "_f1", "_v1", buckets)
+    ends = own.groupBy("track").agg(F.min_by("_v0", "_f0").alias("_first"), F.max("_f0").alias("_end"), F.max_by("_v0", "_f0").alias("_last"))
+    at, bucket = F.col("frame"), F.floor(F.col("frame") / width)
+    within = (F.col("track") == F.col("_track")) & (bucket == F.col("_bucket")) & (at >= F.col("_f0")) & (at < F.col("_f1"))
+    rows = frames.join(spread, within, "left").join(ends, "track", "left")
+    latest = F.coalesce("_v0", F.when(at >= F.col("_end"), F.col("_last")))
+    between = F.col("_v0") + (F.col("_v1") - F.col("_v0")) * (at - F.col("_f0")) / (F.col("_f1") - F.col("_f0"))
+    return rows.withColumns({"latest": latest, "interpolated": F.coalesce(between, latest, "_first")}).select(*frames.columns, "latest", "interpolated")
 
 
 def wide_beads(frames: DataFrame, beads: list[int]) -> DataFrame:
@@ -209,6 +219,45 @@ def mutual(points: DataFrame, targets: DataFrame, key: list[str], window: float)
     return one.join(two, [*key, "position", "target"])
 
 
+def matched(points: DataFrame, targets: DataFrame, key: list[str], window: float, first: str = "target") -> DataFrame:
+    """One-to-one pairs (position, target): in chains where both lists alternate, the closest neighbours first.
+
+    Both lists of a key stand in one line. A chain goes on while the next one
+    is of the other list and no more than ``window`` away. Of a chain's pairs of
+    neighbours the closest is taken (the first of equally close ones), then the
+    closest of those with two free ends, and so on. That is the same as
+    counting along falling distances: a pair is taken if its places in the
+    fall from the left and in the fall from the right are both even, counted
+    from the smallest. At one position the list that had the last place comes
+    first, at the very first one ``first``.
+    """
+    other = "position" if first == "target" else "target"
+    part = {"target": targets, "position": points}
+    line = part[first].select(*key, F.col(first).cast("double").alias("_x"), F.lit(0).alias("_side")).union(part[other].select(*key, F.col(other).cast("double").alias("_x"), F.lit(1).alias("_side"))).where("_x is not null")
+    at, by_x = W.partitionBy(*key, "_x"), W.partitionBy(*key).orderBy("_x")
+    so_far = by_x.rangeBetween(W.unboundedPreceding, W.currentRow)
+    # which list comes first at a position of both: that of the last position of one list, turned at each position of both since then
+    rows = line.withColumns({"_both": F.min("_side").over(at) != F.max("_side").over(at), "_one": F.row_number().over(at.orderBy("_side")) == 1})
+    rows = rows.withColumn("_turns", F.count_if(F.col("_both") & F.col("_one")).over(so_far) - F.col("_both").cast("int"))
+    last = F.last(F.when(~F.col("_both"), F.struct("_side", "_turns")), True).over(so_far)
+    start = F.coalesce(last["_side"] + F.col("_turns") - last["_turns"], F.col("_turns")) % 2
+    rows = rows.withColumn("_rank", F.when(F.col("_side") == start, 0).otherwise(1))
+    order = W.partitionBy(*key).orderBy("_x", "_rank")
+    lag = lambda c: F.lag(c).over(order)
+    rows = rows.withColumns({"_i": F.row_number().over(order), "_before": lag("_x"), "_gap": F.when((lag("_side") != F.col("_side")) & ~(lag("_x") < F.col("_x") - window), F.col("_x") - lag("_x"))})
+    line = W.partitionBy(*key).orderBy("_i")
+    gap, left, right = F.col("_gap"), F.lag("_gap").over(line), F.lead("_gap").over(line)
+    rises = F.coalesce(left <= gap, F.lit(False))
+    falls = F.coalesce(right < gap, F.lit(False))
+    rows = rows.withColumns({"_from": F.when(~rises, F.col("_i")), "_to": F.when(~falls, F.col("_i"))})
+    up = F.col("_i") - F.last("_from", True).over(line.rowsBetween(W.unboundedPreceding, 0))
+    down = F.first("_to", True).over(line.rowsBetween(0, W.unboundedFollowing)) - F.col("_i")
+    taken = rows.withColumns({"_up": up, "_down": down}).where(gap.isNotNull() & (F.col("_up") % 2 == 0) & (F.col("_down") % 2 == 0))
+    own, less = F.col("_x"), F.col("_before")
+    second = F.col("_side") == 1
+    return taken.select(*key, F.when(second, less).otherwise(own).alias(first), F.when(second, own).otherwise(less).alias(other)).select(*key, "position", "target")
+
+
 def missed(targets: DataFrame, matches: DataFrame, key: list[str]) -> DataFrame:
     """Targets without a match, as rows of status falseneg; the matches are truepos."""
     neg = targets.join(matches.select(*key, "target"), [*key, "target"], "left_anti").withColumn("status", F.lit("falseneg"))

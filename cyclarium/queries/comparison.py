@@ -10,7 +10,7 @@ from cyclarium.operators import comparison as op
 from cyclarium.operators.selection import phase_table
 from cyclarium.queries.cleaning import RULES, _STATUS
 from cyclarium.queries.peaks import _BINNED, _CALLED, _binned, _calling, _fits, _peaks, _sequences
-from cyclarium.queries.selection import _points, _targets
+from cyclarium.queries.selection import _points, _targets, matched_sql
 from cyclarium.sources.fixtures import FRAMES_SQL, frames, read
 
 
@@ -61,8 +61,8 @@ _TR = "tr AS (SELECT DISTINCT translate(lower(split_part(p_name, ' ', 1)), 'bdef
 _SEQ = "s AS (SELECT DISTINCT p_name AS hpin, translate(lower(p_name), 'abcdefghijklmnopqrstuvwxyz ', 'acgtacgtacgtacgtacgtacgtaca') AS t FROM part)"
 _REF = f"{_PT}, near AS (SELECT bead, position, raw, row_number() OVER (PARTITION BY bead, position ORDER BY abs(position - raw), raw) AS i FROM pts JOIN tgs USING (bead) WHERE abs(position - raw) < 3), ids AS (SELECT pts.bead AS track, pts.position AS peakposition, raw AS reference, round(pts.position - raw, 9) AS delta FROM pts LEFT JOIN (SELECT * FROM near WHERE i = 1) AS n USING (bead, position))"
 SQL = {
-    "match_distance": f"""WITH {_PT}, placed AS (SELECT bead, raw, raw + 0.25 AS target FROM tgs), met AS (SELECT bead, position, target, raw, row_number() OVER (PARTITION BY bead, position ORDER BY abs(position - target), target) AS i, row_number() OVER (PARTITION BY bead, target ORDER BY abs(position - target), position) AS k FROM pts JOIN placed USING (bead) WHERE abs(position - target) < 2),
-found AS (SELECT bead, count(*) AS n, sum(power(position - target, 2)) AS sq, sum(-raw * (position - target)) AS sl, sum(target - position) AS sh FROM met WHERE i = 1 AND k = 1 GROUP BY bead), sizes AS (SELECT bead, coalesce(a, 0) + coalesce(b, 0) AS n FROM (SELECT bead, count(*) AS a FROM pts GROUP BY bead) FULL JOIN (SELECT bead, count(*) AS b FROM tgs GROUP BY bead) USING (bead))
+    "match_distance": f"""WITH {_PT}, placed AS (SELECT bead, raw, raw + 0.25 AS x FROM tgs), points AS (SELECT bead, position AS x FROM pts), {matched_sql('points', 'placed', 'bead', 2.0)},
+found AS (SELECT m.bead, count(*) AS n, sum(power(a - b, 2)) AS sq, sum(-raw * (a - b)) AS sl, sum(b - a) AS sh FROM matched m JOIN placed p ON m.bead = p.bead AND m.b = p.x GROUP BY m.bead), sizes AS (SELECT bead, coalesce(a, 0) + coalesce(b, 0) AS n FROM (SELECT bead, count(*) AS a FROM pts GROUP BY bead) FULL JOIN (SELECT bead, count(*) AS b FROM tgs GROUP BY bead) USING (bead))
 SELECT bead, coalesce(found.n, 0) AS nfound, round(CASE WHEN found.n > 0 THEN sizes.n - 2 * found.n + sq / 4 ELSE sizes.n + 1 END, 9) AS distance, round(coalesce(sl / 2, 0), 9) AS stretch_slope, round(coalesce(sh / 2, 0), 9) AS bias_slope FROM sizes LEFT JOIN found USING (bead)""",
     "select_best": f"WITH {_FIT}, r AS (SELECT *, row_number() OVER (PARTITION BY track, bead ORDER BY cost, hpin) AS i FROM fits) SELECT track, bead, hpin, cost, stretch, bias FROM r WHERE i = 1 AND hpin <> 'GF3'",
     "reset_status": f"{_W}, {_CALLED} SELECT track, bead, hpin, peak, round(baseposition, 9) AS baseposition, round(distance, 9) AS distance, CASE WHEN status = 'truepos' THEN closest END AS closest, CASE WHEN status = 'truepos' THEN CASE WHEN abs(distance) < 2 THEN 'truepos' ELSE 'falsepos' END ELSE status END AS status FROM called",

@@ -59,6 +59,7 @@ QUERIES = {
     "nearest_target": lambda s, d: op.nearest(_points(s, d), _targets(s, d), ["bead"], 2.0).withColumn("delta", round9(F.col("delta"))),
     "exclusive_target": lambda s, d: op.exclusive(op.nearest(_points(s, d), _targets(s, d), ["bead"], 2.0), ["bead"]).withColumn("delta", round9(F.col("delta"))),
     "mutual_matches": lambda s, d: op.mutual(_points(s, d), _targets(s, d), ["bead"], 2.0),
+    "matched_lists": lambda s, d: op.matched(_points(s, d), _targets(s, d), ["bead"], 2.0),
     "missed_targets": lambda s, d: op.missed(_targets(s, d), op.mutual(_points(s, d), _targets(s, d), ["bead"], 2.0), ["bead"]),
     "compare_events": lambda s, d: op.compare_events(_flat(s, d), (F.col("avg") > 60) & (F.col("length") >= 6)),
 }
@@ -71,6 +72,23 @@ _NEAR = """points AS (SELECT DISTINCT o_custkey % 50 AS bead, floor(o_totalprice
 near AS (SELECT bead, position, arg_min(target, (abs(position - target), target)) AS closest FROM points JOIN targets USING (bead) WHERE abs(position - target) < 2 GROUP BY ALL),
 back AS (SELECT bead, target, arg_min(position, (abs(target - position), position)) AS position FROM points JOIN targets USING (bead) WHERE abs(target - position) < 2 GROUP BY ALL),
 mutual AS (SELECT near.bead, near.position, closest AS target FROM near JOIN back ON near.bead = back.bead AND near.closest = back.target AND near.position = back.position)"""
+
+
+def matched_sql(first: str, second: str, key: str, window: float) -> str:
+    """Common tables up to matched(key, a, b): values of the tables ``first`` and ``second`` (key, x) that match.
+
+    Neighbours in chains are edges; a fold over a key's edges from the shortest on takes those with free ends.
+    """
+    return f"""side AS (SELECT {key}, x, 0 AS side FROM {first} UNION ALL SELECT {key}, x, 1 FROM {second}), places AS (SELECT {key}, x, min(side) AS lo, max(side) AS hi FROM side GROUP BY ALL),
+turn AS (SELECT *, sum(CASE WHEN lo <> hi THEN 1 ELSE 0 END) OVER (PARTITION BY {key} ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - CASE WHEN lo <> hi THEN 1 ELSE 0 END AS turns FROM places),
+begun AS (SELECT *, coalesce(last_value(CASE WHEN lo = hi THEN lo - turns END IGNORE NULLS) OVER (PARTITION BY {key} ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + turns AS start FROM turn),
+ordered AS (SELECT s.{key}, s.x, s.side, row_number() OVER (PARTITION BY s.{key} ORDER BY s.x, (s.side + b.start) % 2 <> 0) AS i FROM side s JOIN begun b ON s.{key} = b.{key} AND s.x = b.x),
+edge AS (SELECT *, lag(x) OVER w AS px, lag(side) OVER w AS ps FROM ordered WINDOW w AS (PARTITION BY {key} ORDER BY i)),
+folded AS (SELECT {key}, unnest(list_reduce(list_prepend(CAST([] AS BIGINT[]), list([i] ORDER BY x - px, i)), lambda acc, e: CASE WHEN list_contains(acc, e[1] - 1) OR list_contains(acc, e[1] + 1) THEN acc ELSE list_concat(acc, e) END)) AS i FROM edge WHERE ps <> side AND NOT (px < x - {window}) GROUP BY {key}),
+matched AS (SELECT {key}, CASE WHEN side = 1 THEN px ELSE x END AS a, CASE WHEN side = 1 THEN x ELSE px END AS b FROM folded JOIN edge USING ({key}, i))"""
+
+
+_LISTS = "points AS (SELECT DISTINCT o_custkey % 50 AS bead, floor(o_totalprice / 10) / 100 AS x FROM orders), targets AS (SELECT DISTINCT p_partkey % 50 AS bead, floor(p_retailprice * 20) / 100 AS x FROM part)"
 SQL = {
     "selecting": f"{_W} SELECT {_C} FROM frames WHERE bead IN (1, 5, 7)",
     "selecting_pairs": f"{_W}, {_PAIRS} SELECT {_C} FROM frames SEMI JOIN pairs USING (track, bead, cycle)",
@@ -90,14 +108,14 @@ SELECT p.track, b.bead, p.frame, p.cycle, p.cycleframe, p.phase, v.z FROM (SELEC
 SELECT names.track AS track, coalesce(name, 'ref') AS name FROM names LEFT JOIN (SELECT track, string_agg(token, '_' ORDER BY i) AS name FROM t WHERE token NOT IN (SELECT token FROM shared) GROUP BY track) AS n ON n.track = names.track""",
     "matching_names": f"WITH {_NAMES} SELECT track FROM names WHERE regexp_matches(track, '^exp_') AND length(track) - length(regexp_replace(track, '[atAT]', '', 'g')) = 3",
     "override_cycles": f"{_W}, ov AS (SELECT user_id AS bead, event_id % 600 AS frame, max(value) AS z FROM events GROUP BY ALL) SELECT f.track, f.bead, f.frame, f.cycle, f.cycleframe, f.phase, CASE WHEN b.bead IS NULL THEN f.z ELSE ov.z END AS z FROM frames f LEFT JOIN (SELECT DISTINCT bead FROM ov) b ON f.bead = b.bead LEFT JOIN ov ON f.bead = ov.bead AND f.frame = ov.frame",
-    "as_of": f"""{_W}, sec AS (SELECT event_id * 7 AS frame, value FROM events), j AS (SELECT f.track, f.bead, f.frame, a.value AS v0, a.frame AS f0, b.value AS v1, b.frame AS f1 FROM frames f ASOF LEFT JOIN sec a ON f.frame >= a.frame ASOF LEFT JOIN sec b ON f.frame <= b.frame),
-last AS (SELECT bead, max(frame) AS m FROM frames GROUP BY bead), k AS (SELECT j.track, j.bead, j.frame, v0, f0, CASE WHEN f1 <= m THEN v1 END AS v1, CASE WHEN f1 <= m THEN f1 END AS f1 FROM j JOIN last USING (bead))
-SELECT track, bead, frame, v0 AS latest, round(coalesce(CASE WHEN f0 = f1 THEN v0 ELSE v0 + (v1 - v0) * (frame - f0) / (f1 - f0) END, v0, v1), 9) AS interpolated FROM k""",
+    "as_of": f"""{_W}, sec AS (SELECT event_id * 7 AS frame, value FROM events), j AS (SELECT f.track, f.bead, f.frame, a.value AS v0, a.frame AS f0, b.value AS v1, b.frame AS f1 FROM frames f ASOF LEFT JOIN sec a ON f.frame >= a.frame ASOF LEFT JOIN sec b ON f.frame <= b.frame)
+SELECT track, bead, frame, v0 AS latest, round(coalesce(CASE WHEN f0 = f1 THEN v0 ELSE v0 + (v1 - v0) * (frame - f0) / (f1 - f0) END, v0, v1), 9) AS interpolated FROM j""",
     "wide_beads": f"{_W} SELECT track, frame, max(z) FILTER (WHERE bead = 1) AS b1, max(z) FILTER (WHERE bead = 2) AS b2, max(z) FILTER (WHERE bead = 3) AS b3 FROM frames WHERE bead IN (1, 2, 3) GROUP BY ALL",
     "nearest_target": f"WITH {_NEAR} SELECT bead, position, closest, round(position - closest, 9) AS delta FROM points LEFT JOIN near USING (bead, position)",
     "exclusive_target": f"""WITH {_NEAR}, r AS (SELECT *, closest IS NOT NULL AND row_number() OVER (PARTITION BY bead, closest ORDER BY abs(position - closest), position) = 1 AS k FROM points LEFT JOIN near USING (bead, position))
 SELECT bead, position, CASE WHEN k THEN closest END AS closest, CASE WHEN k THEN round(position - closest, 9) END AS delta FROM r""",
     "mutual_matches": f"WITH {_NEAR} SELECT bead, position, target FROM mutual",
+    "matched_lists": f"WITH {_LISTS}, {matched_sql('targets', 'points', 'bead', 2.0)} SELECT bead, b AS position, a AS target FROM matched",
     "missed_targets": f"WITH {_NEAR} SELECT bead, position, target, 'truepos' AS status FROM mutual UNION ALL SELECT bead, NULL, target, 'falseneg' FROM targets ANTI JOIN mutual USING (bead, target)",
     "compare_events": f"{_W}, {_FLAT} SELECT track, bead, cycle FROM flat GROUP BY ALL HAVING bool_or(avg > 60 AND length >= 6)",
 }
