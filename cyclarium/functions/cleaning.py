@@ -6,10 +6,10 @@ import numpy as np
 
 
 def constant_runs(z: np.ndarray, least: int = 3, tolerance: float = 1e-6) -> np.ndarray:
-    """Runs of ``least`` values within ``tolerance`` of their first lose all but the first."""
+    """Runs of ``least`` values within ``tolerance`` of their first lose all but the first; missing ones count and don't end a run."""
     out, start = z.copy(), 0
     for i in range(1, len(z) + 1):
-        if i == len(z) or not abs(z[i] - z[start]) < tolerance:
+        if i == len(z) or not (np.isnan(z[i]) or abs(z[i] - z[start]) < tolerance):
             if i - start >= least:
                 out[start + 1 : i] = np.nan
             start = i

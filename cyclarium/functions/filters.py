@@ -45,10 +45,13 @@ def forward_backward(z: np.ndarray, widths: tuple[int, ...] = (1, 5, 15), precis
 
 
 def non_linear(z: np.ndarray, widths: tuple[int, ...] = (1, 5, 15), precision: float = 3e-3, power: float = 20.0) -> np.ndarray:
-    """Means of windows of several widths that begin or end at each value, weighted by how little the window's values scatter."""
+    """Means of windows of several widths that begin or end at each value, weighted by how little the window's values scatter.
+
+    Signals no longer than the widest window stay as they are.
+    """
     out, good = z.copy(), np.isfinite(z)
     v = z[good]
-    if not len(v):
+    if len(v) <= max(widths):
         return out
     v = v - v[0]
     total, weight = np.zeros(len(v)), np.zeros(len(v))

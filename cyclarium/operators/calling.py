@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cyclarium.operators.selection import closest
+from cyclarium.operators.selection import closest, closest_listed
 from cyclarium.operators.statistics import BEAD
 
 FIT = [*BEAD, "hpin"]
@@ -21,7 +21,7 @@ def identified_peaks(peaks: DataFrame, fits: DataFrame, hairpins: DataFrame, win
     """
     rows = peaks.join(fits.select(*FIT, "stretch", "bias"), BEAD).withColumn("baseposition", (F.col("peakposition") - F.col("bias")) * F.col("stretch"))
     strands = hairpins.groupBy("hpin", F.col("position").cast("double").alias("closest")).agg(F.min("orientation").alias("_plus"))
-    found = closest(rows, strands.withColumnRenamed("closest", "target"), ["hpin"], "baseposition").join(strands, ["hpin", "closest"], "left")
+    found = closest_listed(rows, strands.withColumnRenamed("closest", "target"), ["hpin"], "baseposition").join(strands, ["hpin", "closest"], "left")
     distance = F.col("closest") - F.col("baseposition")
     status = F.when(F.col("status") != "", F.col("status")).when(F.abs(distance) < window, "truepos").otherwise("falsepos")
     strand = F.when(F.col("_plus"), "+").when(~F.col("_plus"), "-").otherwise("")

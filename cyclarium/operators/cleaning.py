@@ -175,8 +175,17 @@ def by_bead(frames: DataFrame, kernel, by: list[str] = BEAD, skip: tuple[type[Ex
 
 
 def suppress_constants(frames: DataFrame, least: int = 3, tolerance: float = 1e-6) -> DataFrame:
-    """All but the first of each run of equal values become missing."""
-    return by_bead(frames, lambda z: kernels.constant_runs(z, least, tolerance))
+    """All but the first of each run of equal values become missing.
+
+    A run goes on while a value is within ``tolerance`` of the one before;
+    missing ones don't end it, and its ``least`` frames include them.
+    """
+    over = W.partitionBy(*BEAD).orderBy("frame")
+    before = F.last("z", True).over(over.rowsBetween(W.unboundedPreceding, -1))
+    head = F.col("z").isNotNull() & F.coalesce(F.abs(F.col("z") - before) >= tolerance, F.lit(True))
+    rows = frames.withColumn("_head", head).withColumn("_run", F.count_if("_head").over(over))
+    long = F.count("*").over(W.partitionBy(*BEAD, "_run")) >= least
+    return rows.withColumn("_long", long).withColumn("z", F.when(F.col("_head") | ~F.col("_long"), F.col("z"))).select(*frames.columns)
 
 
 def suppress_aberrant(frames: DataFrame) -> DataFrame:

@@ -62,11 +62,23 @@ def reset_status(identified: DataFrame, distance: float) -> DataFrame:
 
 
 def axis_order(fits: DataFrame, levels: list[str] = ["hpin", "track", "bead"]) -> DataFrame:
-    """Fits with the median cost of each level within the ones before, and their rank by these."""
+    """Fits with the median cost of each level within the ones before, and their rank by these.
+
+    Costs are summed up per level. Ranks are counted within the innermost groups
+    and moved on by the sizes of the groups that come before, which a window
+    over the groups (one row each) adds up.
+    """
     out = fits
     for i, name in enumerate(levels):
-        out = out.withColumn(f"{name[0]}cost", F.median("cost").over(W.partitionBy(*levels[: i + 1])))
-    return out.withColumn("order", F.row_number().over(W.partitionBy(levels[0]).orderBy(*[x for n in levels for x in (f"{n[0]}cost", n)])))
+        own = levels[: i + 1]
+        out = out.join(fits.groupBy(*own).agg(F.median("cost").alias(f"{name[0]}cost")), own)
+    order = [x for n in levels for x in (f"{n[0]}cost", n)]
+    inner, outer = levels[:-1], order[:-2]
+    sizes = out.groupBy(*dict.fromkeys([*inner, *outer])).agg(F.count("*").alias("_n"))
+    before = W.partitionBy(levels[0]).orderBy(*outer).rowsBetween(W.unboundedPreceding, -1)
+    moved = sizes.select(*inner, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_moved"))
+    rank = F.row_number().over(W.partitionBy(*inner).orderBy(*order))
+    return out.join(moved, inner).withColumn("order", (rank + F.col("_moved")).cast("int")).select(*fits.columns, *[f"{n[0]}cost" for n in levels], "order")
 
 
 def bead_statuses(beads: DataFrame, errors: DataFrame, peaks: DataFrame) -> DataFrame:

@@ -152,6 +152,14 @@ def drift_profile(events: DataFrame, size: int, collapse: str = "sock", stitchin
     return events.select(*by, "start", "data").groupBy(*by).applyInPandas(run, f"{kinds}, cycleframe bigint, profile double, count bigint")
 
 
+def cycle_drift(frames: DataFrame, precision: DataFrame, collapse: str = "sock", stitching: str = "interpolation", least: int = 10, by: list[str] = BEAD, **options) -> DataFrame:
+    """drift(by..., cycleframe, profile, count) from the events of all phases, placed by the frame in their cycle."""
+    per = frames.withColumns({"frame": F.col("cycleframe"), "phase": F.lit(PHASES["measure"])})
+    found = detect(per, precision, **options)
+    size = frames.agg(F.max("cycleframe")).first()[0]
+    return drift_profile(found, 0 if size is None else int(size) + 1, collapse, stitching, least, by)
+
+
 def remove_drift(frames: DataFrame, profile: DataFrame, by: list[str] = BEAD) -> DataFrame:
     """Frames less the profile at their place in the cycle."""
     return frames.join(profile.select(*by, "cycleframe", "profile"), [*by, "cycleframe"], "left").withColumn("z", F.col("z") - F.coalesce("profile", F.lit(0.0))).select(*frames.columns)

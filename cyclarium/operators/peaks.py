@@ -108,9 +108,28 @@ def probabilities(events: DataFrame, cycles: DataFrame, limits: DataFrame | None
 
 
 def resolution(events: DataFrame, by: list[str] = PEAK) -> DataFrame:
-    """Per peak the spread over cycles of the length-weighted means, and that over the root of their number; skewness."""
+    """Per peak the spread over cycles of the length-weighted means, and that over the root of their number."""
     per = events.groupBy(*dict.fromkeys([*by, "cycle"])).agg((F.sum(F.col("avg") * F.col("length")) / F.sum("length")).alias("m"))
-    return per.groupBy(*by).agg(F.stddev_pop("m").alias("resolution"), (F.stddev_pop("m") / F.sqrt(F.count("*"))).alias("positionprecision"), F.skewness("m").alias("skew"))
+    return per.groupBy(*by).agg(F.stddev_pop("m").alias("resolution"), (F.stddev_pop("m") / F.sqrt(F.count("*"))).alias("positionprecision"))
+
+
+def peak_values(events: DataFrame, frames: DataFrame) -> DataFrame:
+    """(track, bead, peak, cycle, frame, z): the values of each peak's events, met within their cycle."""
+    spans = events.select(*PEAK, "cycle", "start", (F.col("start") + F.col("length")).alias("_stop"))
+    return frames.select(*CYCLE, "frame", "z").join(spans, CYCLE).where((F.col("frame") >= F.col("start")) & (F.col("frame") < F.col("_stop"))).select(*PEAK, "cycle", "frame", "z")
+
+
+def peak_noise(values: DataFrame) -> DataFrame:
+    """Per peak ``skew`` and ``peakhfsigma``, the medians over cycles of the skewness and of the noise of its events' values.
+
+    A cycle's events stand in one line; the noise is the median step between
+    values that aren't missing. Cycles without a step or a spread don't count.
+    """
+    key = [*PEAK, "cycle"]
+    good = values.where("z is not null")
+    rows = good.withColumn("_step", F.abs(F.col("z") - F.lag("z").over(W.partitionBy(*key).orderBy("frame"))))
+    per = rows.groupBy(*key).agg(F.when(F.stddev_pop("z") > 1e-12, F.skewness("z")).alias("skew"), F.median("_step").alias("sigma"))
+    return per.groupBy(*PEAK).agg(F.median("skew").alias("skew"), F.median("sigma").alias("peakhfsigma"))
 
 
 def peak_table(events: DataFrame, cycles: DataFrame, rate: float = 30.0) -> DataFrame:

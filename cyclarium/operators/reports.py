@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cyclarium.operators.selection import closest, nearest
+from cyclarium.operators.selection import closest_listed, nearest
 from cyclarium.operators.statistics import BEAD
 
 
@@ -147,7 +147,7 @@ def detections(peaks: DataFrame, theory: DataFrame, *, within: float = 1.0, tole
     """
     spots = theory.select("track", "strand", "theopos").distinct()
     marks = peaks.select("track", "peakposition").distinct().join(spots.select("track", "strand").distinct(), "track")
-    found = closest(marks, spots, ["track", "strand"], "peakposition", "theopos").withColumnRenamed("closest", "theopos")
+    found = closest_listed(marks, spots, ["track", "strand"], "peakposition", "theopos").withColumnRenamed("closest", "theopos")
     other = spots.select("track", F.when(F.col("strand") == "positive", "negative").otherwise("positive").alias("strand"), F.col("theopos").alias("target"))
     double = nearest(spots, other, ["track", "strand"], brother, "theopos").select("track", "strand", "theopos", F.col("closest").isNotNull().alias("doublebinding"))
     near = F.count_if(F.abs(F.col("avg") - F.col("theopos")) <= within)

@@ -205,6 +205,18 @@ def closest(points: DataFrame, targets: DataFrame, key: list[str], value: str =
     return points.join(near, [*key, value], "left")
 
 
+def closest_listed(points: DataFrame, targets: DataFrame, key: list[str], value: str = "position", target: str = "target") -> DataFrame:
+    """The same as ``closest`` where a key's targets are few and its points may be any share of all rows.
+
+    A key's targets travel as one list to each point, which looks through it;
+    points of a key needn't meet in one task.
+    """
+    lists = targets.groupBy(*key).agg(F.collect_set(F.col(target).cast("double")).alias("_spots"))
+    x = F.col(value)
+    best = F.array_min(F.transform("_spots", lambda t: F.struct(F.abs(x - t).alias("far"), (-t).alias("less"))))
+    return points.join(lists, key, "left").withColumn("closest", F.when(x.isNotNull(), -best["less"])).drop("_spots")
+
+
 def exclusive(nearest_rows: DataFrame, key: list[str]) -> DataFrame:
     """Of the points with the same closest target only the nearest keeps it."""
     rank = F.row_number().over(W.partitionBy(*key, "closest").orderBy(F.abs("delta"), "position"))

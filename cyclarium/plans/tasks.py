@@ -220,15 +220,27 @@ class ExtremumAlignmentTask(Task):
 
 @dataclass(frozen=True)
 class DriftTask(Task):
-    """The median drift over cycles taken off."""
+    """The drift that a bead's cycles share, or a cycle's beads, taken off.
+
+    ``collapse`` says how stretches of all cycles become one profile: by the
+    ``sock``, the ``mean`` or ``merging`` of their events, or by the median or
+    mean (``mode``) step of all frames (``derivate``).
+    """
 
     mode: str = "median"
     onbeads: bool = True
+    collapse: str = "sock"
+    stitching: str = "interpolation"
+    least: int = 10
     order = 9
 
-    def apply(self, frames: DataFrame) -> DataFrame:
+    def fold(self, rows: DataFrame, context: Context) -> DataFrame:
         by = statistics.BEAD if self.onbeads else ["track", "cycle"]
-        return events.remove_drift(frames, events.drift_by_derivate(frames, by, self.mode), by)
+        if self.collapse == "derivate":
+            profile = events.drift_by_derivate(rows, by, self.mode)
+        else:
+            profile = events.cycle_drift(rows, context.precision(), self.collapse, self.stitching, self.least, by)
+        return events.remove_drift(rows, profile, by)
 
 
 @dataclass(frozen=True)

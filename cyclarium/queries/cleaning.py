@@ -90,8 +90,8 @@ SELECT track, bead, cycle, round(value, 9) AS testvalue, many AND value < 0.9 AS
 SELECT track, bead, frame, CASE WHEN NOT (abs(z - m) > 30 OR coalesce(abs(z - 0.5 * (coalesce(a, b) + coalesce(b, a))) > 25, FALSE)) THEN z END AS z FROM n""",
     "suppress_local": f"""{_W}, n AS (SELECT *, count_if(z IS NULL) OVER (w ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS a, count_if(z IS NULL) OVER (w ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING) AS b, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY track, bead) AS n FROM frames WINDOW w AS (PARTITION BY track, bead ORDER BY frame))
 SELECT track, bead, frame, CASE WHEN NOT (i >= 5 AND i < n - 6 AND a >= 2 AND b >= 2) THEN z END AS z FROM n""",
-    "suppress_constants": f"""{_W}, v AS (SELECT track, bead, frame, floor(z / 20) AS z FROM frames), e AS (SELECT *, CASE WHEN z = lag(z) OVER w THEN 0 ELSE 1 END AS edge FROM v WINDOW w AS (PARTITION BY track, bead ORDER BY frame))
-SELECT track, bead, frame, CASE WHEN edge = 1 THEN z END AS z FROM e""",
+    "suppress_constants": f"""{_W}, v AS (SELECT track, bead, frame, floor(z / 20) AS z FROM frames), e AS (SELECT *, CASE WHEN z IS NULL OR z = last_value(z IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS edge FROM v WINDOW w AS (PARTITION BY track, bead ORDER BY frame)), r AS (SELECT *, sum(edge) OVER (PARTITION BY track, bead ORDER BY frame) AS run FROM e)
+SELECT track, bead, frame, CASE WHEN edge = 1 OR count(*) OVER (PARTITION BY track, bead, run) < 2 THEN z END AS z FROM r""",
     "subtract_mean": f"{_W}, signals AS (SELECT track, frame, avg(z) AS signal FROM frames WHERE bead IN (1, 2, 3) GROUP BY ALL) {_OTHERS}",
     "subtract_median": f"""{_W}, chosen AS (SELECT * FROM frames WHERE bead IN (1, 2, 3)), bias AS (SELECT track, bead, cycle, quantile_cont(z, 0.5) AS bias FROM chosen WHERE phase = 5 GROUP BY ALL), centred AS (SELECT track, bead, cycle, bias - quantile_cont(bias, 0.5) OVER (PARTITION BY track, cycle) AS bias FROM bias),
 signals AS (SELECT track, frame, quantile_cont(z - bias, 0.5) AS signal FROM chosen JOIN centred USING (track, bead, cycle) GROUP BY ALL) {_OTHERS}""",

@@ -20,14 +20,15 @@ def _flat(s, d):
     return op.flat_events(frames(s, d).where("phase = 5"), 5.0, 3)
 
 
-def _detected(s, d):
-    return op.detect(frames(s, d), raw_precision(frames(s, d)).withColumn("precision", F.col("precision") / 4), least=3)
+def _detected(s, d, **options):
+    return op.detect(frames(s, d), raw_precision(frames(s, d)).withColumn("precision", F.col("precision") / 4), least=3, **options)
 
 
 QUERIES = {
     "derivate_grades": lambda s, d: _r(op.derivate_grades(frames(s, d).where("phase = 5"), F.lit(5.0)), "grade").select("track", "bead", "frame", "grade"),
     "flat_events": lambda s, d: _r(_flat(s, d), "avg", "std"),
     "event_detection": lambda s, d: _r(op.event_table(_detected(s, d)), "avg", "std", "integral"),
+    "event_detection_extended": lambda s, d: _r(op.event_table(_detected(s, d, grade="derivate", eroded=True, around="range")), "avg", "std", "integral"),
     "event_frames": lambda s, d: op.event_frames(_flat(s, d)),
     "event_swap": lambda s, d: op.swap(_flat(s, d), frames(s, d).withColumn("z", F.col("z") + 1)),
     "concatenated": lambda s, d: op.concatenated(frames(s, d).where("phase = 5"), _flat(s, d)).select("track", "bead", "frame", "z"),

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from cyclarium.functions.signal import round9
 from cyclarium.plans import tasks as plan
 from cyclarium.sources.fixtures import FRAMES_SQL, SIGNALS_SQL, frames, short_signals
-from cyclarium.sources.simulators import simulate_tracks
 from cyclarium.streaming import cycles as op
 
 
@@ -16,16 +15,10 @@ def _plan(s, d):
     return plan.run(tasks, frames(s, d))
 
 
-def _simulated(s, d):
-    tasks = [plan.InMemoryTrackTask(), plan.EventDetectionTask(), plan.PeakSelectorTask(precision=4e-3, align=False)]
-    return plan.run(tasks, simulate_tracks(s, 4, 40, durations=(1, 15, 1, 15, 1, 100, 1, 15)))
-
-
 QUERIES = {
     "windowed": lambda s, d: op.windowed(short_signals(s, d), "7 days").select("track", "bead", F.col("window.start").alias("start"), "n", round9(F.col("mean")).alias("mean"), "low", "high"),
     "gap_cycles": lambda s, d: op.gap_cycles(short_signals(s, d), "12 hours").select("track", "bead", F.col("session_window.start").alias("start"), "n", round9(F.col("mean")).alias("mean")),
     "task_plan": lambda s, d: _plan(s, d).withColumns({"mean": round9(F.col("mean")), "extent": round9(F.col("extent"))}),
-    "simulated_peaks": _simulated,
 }
 SQL = {
     "windowed": f"WITH {SIGNALS_SQL} SELECT track, bead, time_bucket(INTERVAL 7 DAYS, ts, TIMESTAMP '1970-01-01') AS start, count(z) AS n, round(avg(z), 9) AS mean, min(z) AS low, max(z) AS high FROM signals GROUP BY ALL",
