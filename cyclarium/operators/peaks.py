@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cyclarium.functions import fits
 from cyclarium.functions import peaks as kernels
 from cyclarium.functions.filters import kernel
 from cyclarium.functions.signal import complement
@@ -217,6 +218,29 @@ def fit_hairpins(peaks: DataFrame, hairpins: dict[str, list[float]], method: str
     return peaks.select(*BEAD, "peakposition").groupBy(*BEAD).applyInPandas(run, FITS)
 
 
+def fit_ends(peaks: DataFrame, hairpins: dict[str, tuple[list[float], list[float]]], **options) -> DataFrame:
+    """fits(track, bead, hpin, cost, stretch, bias, topbias) of each bead to the lowest and the highest positions of each hairpin."""
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        x = rows["peakposition"].to_numpy(float)
+        made = ((name, fits.edge_fit(list(ends), x, **options)) for name, ends in hairpins.items())
+        out = [(*key, name, cost, stretch, *biases) for name, (cost, stretch, biases) in made]
+        return pd.DataFrame(out, columns=["track", "bead", "hpin", "cost", "stretch", "bias", "topbias"])
+
+    return peaks.where("peakposition is not null").select(*BEAD, "peakposition").groupBy(*BEAD).applyInPandas(run, f"{FITS}, topbias double")
+
+
+def fit_pieces(peaks: DataFrame, hairpins: dict[str, list[list[float]]], **options) -> DataFrame:
+    """fits(track, bead, hpin, piece, cost, stretch, bias) of each bead to the pieces of each hairpin."""
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        x = rows["peakposition"].to_numpy(float)
+        out = [(*key, name, i, *fit) for name, pieces in hairpins.items() for i, fit in enumerate(fits.pieces_fit(pieces, x, **options))]
+        return pd.DataFrame(out, columns=["track", "bead", "hpin", "piece", "cost", "stretch", "bias"])
+
+    return peaks.where("peakposition is not null").select(*BEAD, "peakposition").groupBy(*BEAD).applyInPandas(run, FITS.replace("hpin string", "hpin string, piece int"))
+
+
 def silhouettes(fits: DataFrame) -> DataFrame:
     """Per bead the best hairpin and how far the next is: ((b - a) / max(a, b) - 1/2) * 2, 1 if there is no other."""
     order = W.partitionBy(*BEAD).orderBy("cost", "hpin")

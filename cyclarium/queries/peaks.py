@@ -70,6 +70,13 @@ def _peaks(s, d):
 
 HAIRPINS = {"GF1": [5.0, 20.0, 33.0, 60.0], "GF2": [12.0, 30.0, 55.0]}
 
+#: Lowest and highest positions of hairpins, and hairpins in two pieces, with the options of their fits.
+ENDS = {"GF1": ([5.0, 20.0, 33.0], [60.0, 75.0]), "GF2": ([12.0, 30.0], [52.0, 68.0])}
+FITTED = {"stretch": 1.0, "spread": 0.2, "slack": 8.0, "window": 5.0}
+PIECES = {"GF1": [[5.0, 20.0], [40.0, 55.0]]}
+PIECED = {"stretch": 1.0, "spread": 0.2, "bias": (-10.0, 10.0), "window": 5.0, "stretch_step": 0.2, "bias_step": 10.0}
+
+
 def _hairpins(s):
     return s.createDataFrame([(h, 70, int(p), i % 2 == 0) for h, x in HAIRPINS.items() for i, p in enumerate(x)], "hpin string, strandsize int, position int, orientation boolean")
 
@@ -113,6 +120,8 @@ QUERIES = {
     "silhouettes": lambda s, d: _r(op.silhouettes(_fits(s, d)), "silhouette"),
     "beads_by_hairpin": lambda s, d: _r(op.beads_by_hairpin(_fits(s, d), -0.5), "silhouette"),
     "fit_hairpins": lambda s, d: _r(op.fit_hairpins(_peaks(s, d).withColumn("peakposition", F.col("peakposition") * 8.8e-4), HAIRPINS), "cost", "stretch", "bias"),
+    "fit_ends": lambda s, d: _small(_r(op.fit_ends(_peaks(s, d), ENDS, **FITTED), "stretch", "bias", "topbias"), "cost"),
+    "fit_pieces": lambda s, d: _small(_r(op.fit_pieces(_peaks(s, d), PIECES, **PIECED), "stretch", "bias"), "cost"),
     "fit_reference": lambda s, d: _r(op.fit_reference(_peaks(s, d), _peaks(s, d).withColumn("peakposition", F.col("peakposition") * 1.02 + 1).select("bead", "peakposition")), "cost", "stretch", "bias"),
     "peak_biases": lambda s, d: _r(op.peak_biases(_binned(s, d)), "bias"),
     "peak_biases_gels": lambda s, d: _r(op.peak_biases(_binned(s, d), "gels"), "bias"),
