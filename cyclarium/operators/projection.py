@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from cyclarium.functions.signal import defined, percentile
 from cyclarium.operators.peaks import density_maxima
 from cyclarium.operators.statistics import BEAD, CYCLE
+from cyclarium.operators.storage import stored
 from cyclarium.sources.fixtures import PHASES
 
 
@@ -125,11 +126,13 @@ def cycle_shifts(heights: DataFrame, means: DataFrame, config: Projection = Proj
 
 def project(frames: DataFrame, precision: DataFrame, config: Projection = Projection(), phase: int = PHASES["measure"]) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The mean heights (track, bead, bin, position, density), biases (track, bead, cycle, bias), and peaks (track, bead, peak, peakposition, precision)."""
-    heights = cycle_heights(digitized(frames, precision, config, phase), config)
+    # heights are read for each mean, shift and the widths, and shifts for what follows
+    heights = stored(cycle_heights(digitized(frames, precision, config, phase), config))
     means, shifts = mean_heights(heights, config), None
     for _ in range(config.repeats):
-        shifts = cycle_shifts(heights, means, config)
+        shifts = stored(cycle_shifts(heights, means, config))
         means = mean_heights(heights, config, shifts)
+    means = stored(means)
     width = heights.groupBy(*CYCLE).agg(F.first("width").alias("width"))
     biases = width.select(*CYCLE, F.lit(0.0).alias("bias")) if shifts is None else shifts.join(width, CYCLE).select(*CYCLE, (F.col("shift") * F.col("width")).alias("bias"))
     position = F.col("bin") * F.col("width") + F.col("low")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cyclarium.functions import filters
-from cyclarium.operators import alignment, calling, cleaning, events, peaks, projection, ramps, reports, selection, statistics
+from cyclarium.operators import alignment, calling, cleaning, correlation, events, peaks, projection, ramps, references, reports, selection, statistics
 from cyclarium.sources import simulators
 from cyclarium.sources.fixtures import DURATIONS, PHASES
 
@@ -78,14 +78,25 @@ class RootTask(Task):
 
 @dataclass(frozen=True)
 class TrackReaderTask(RootTask):
-    """Frames stored as Parquet; ``key`` names the track if the files don't."""
+    """Frames stored as Parquet; ``key`` names the track if the files don't. A dict of paths by track reads all of them."""
 
-    path: str = ""
+    path: str | dict = ""
     key: str | None = None
 
     def read(self, spark) -> DataFrame:
-        frames = spark.read.parquet(self.path)
-        return frames.withColumn("track", F.lit(self.key)) if self.key else frames
+        many = self.path if isinstance(self.path, dict) else {self.key: self.path}
+        out = None
+        for key, path in many.items():
+            frames = spark.read.parquet(path)
+            frames = frames.withColumn("track", F.lit(key)) if key else frames
+            out = frames if out is None else out.unionByName(frames)
+        if out is None:
+            raise ValueError("no paths to read")
+        return out
+
+    def paths_read(self) -> list[str]:
+        """All paths."""
+        return list(self.path.values()) if isinstance(self.path, dict) else [self.path]
 
 
 @dataclass(frozen=True)
@@ -574,14 +585,15 @@ class RampConsensusBeadTask(Task):
 
 @dataclass(frozen=True)
 class PeakCorrelationAlignmentTask(Task):
-    """Events moved by the shift at which their cycle agrees best with all cycles."""
+    """Events moved by the shift at which their cycle agrees best with all cycles, in rounds of moves."""
 
     precision: float = 3e-3
     level, order = "event", 11
     zattributes = ("precision",)
 
     def apply(self, found: DataFrame) -> DataFrame:
-        return peaks.move_events(found, peaks.correlation_biases(found, self.precision))
+        sure = found.select(*statistics.BEAD).distinct().withColumn("precision", F.lit(float(self.precision)))
+        return peaks.move_events(found, correlation.align_cycles(found, sure))
 
 
 @dataclass(frozen=True)
@@ -681,12 +693,22 @@ class FitToReferenceTask(Task):
     spread: float = 0.1
     bias: tuple = (-20e-3, 20e-3)
     window: float = 5e-3
+    method: str = "pairs"
+    precision: float = 1e-3
     level, order = "peak", 13
-    zattributes = ("bias", "window")
+    zattributes = ("bias", "window", "precision")
 
     def apply(self, found: DataFrame) -> DataFrame:
+        """By ``pairs`` of peaks, or by densities: ``histogram``, ``corrected`` or ``chisquare``."""
         known = found.sparkSession.createDataFrame([(int(b), float(p)) for b, ps in self.reference.items() for p in ps], "bead bigint, peakposition double")
-        fits = peaks.fit_reference(found.select(*statistics.BEAD, "peakposition").distinct(), known, self.spread, tuple(self.bias), self.window)
+        own = found.select(*statistics.BEAD, "peakposition").distinct()
+        if self.method == "pairs":
+            fits = peaks.fit_reference(own, known, self.spread, tuple(self.bias), self.window)
+        else:
+            wide = F.lit(None).cast("double")
+            middle, reach = sum(self.bias) / 2, (self.bias[1] - self.bias[0]) / 2
+            grid = references.Grid((1.0, self.spread, self.spread / 2.5), (middle, reach, reach / 10))
+            fits = references.fit_to_reference(known.withColumn("resolution", wide), own.withColumn("resolution", wide), self.precision, grid, method=self.method, pivot="absolute", window=self.window, first=0)
         return found.drop("stretch", "bias").join(fits, statistics.BEAD).withColumn("referenceposition", (F.col("peakposition") - F.col("bias")) * F.col("stretch"))
 
 
@@ -820,6 +842,11 @@ def loads(text: str) -> list[Task]:
     return out
 
 
+def digest(tasks: list[Task]) -> str:
+    """A name for a list of tasks."""
+    return hashlib.sha256(dumps(tasks).encode()).hexdigest()
+
+
 def _files(spark, path: str) -> list[str]:
     """Names, sizes and times of a path's files."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -839,7 +866,7 @@ def cached(tasks: list[Task], folder: str, frames: DataFrame | None = None, spar
     spark = spark or frames.sparkSession
     if frames is not None and name is None:
         raise ValueError("frames in memory need a name to be stored under")
-    paths = [p for t in tasks for p in ([t.path] if isinstance(t, TrackReaderTask) else t.paths.values() if isinstance(t, BatchTask) else [])]
+    paths = [p for t in tasks for p in (t.paths_read() if isinstance(t, TrackReaderTask) else t.paths.values() if isinstance(t, BatchTask) else [])]
     key = json.dumps([dumps(tasks), name, [_files(spark, p) for p in paths]])
     path = f"{folder}/{hashlib.sha256(key.encode()).hexdigest()}"
     at = spark._jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
