@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cyclarium.functions import fits
+from cyclarium.functions import fits, mixtures
 from cyclarium.functions import peaks as kernels
 from cyclarium.functions.filters import kernel
 from cyclarium.functions.signal import complement
@@ -18,9 +18,18 @@ from cyclarium.operators.statistics import BEAD, CYCLE
 PEAK = [*BEAD, "peak"]
 
 
+def histogram_peaks(x: np.ndarray, precision: float) -> np.ndarray:
+    """Maxima of the smoothed histogram of values, between bins."""
+    step, low = precision / 5, x.min() - 4 * precision
+    bins = np.bincount(np.rint((x - low) / step).astype(int), minlength=int((x.max() - low) / step) + 40).astype(float)
+    density = np.convolve(bins, kernel(), "same")
+    return low + step * kernels.subpixel(density, kernels.local_maxima(density))
+
+
 def select_peaks(events: DataFrame, precision: float | None = None, *, align: bool = False, method: str = "histogram", window: float = 2.5, least: int = 3, base: float | None = 0.1) -> DataFrame:
     """peak_events(track, bead, cycle, event, start, length, avg, bias, peak, peakposition) from (…, avg[, precision]).
 
+    ``method`` is ``histogram``, ``em`` or ``em_`` and one of the mixtures' methods.
     Peaks with fewer than ``least`` events go, but for the fullest of those within ``base`` of the lowest: the baseline.
     """
 
@@ -35,12 +44,12 @@ def select_peaks(events: DataFrame, precision: float | None = None, *, align: bo
             found = kernels.cycle_biases([z[cycle == c] for c in names], own)
             bias = found[np.searchsorted(names, cycle)]
         x = z + bias
-        step, low = own / 5, x.min() - 4 * own
-        bins = np.bincount(np.rint((x - low) / step).astype(int), minlength=int((x.max() - low) / step) + 40).astype(float)
-        density = np.convolve(bins, kernel(), "same")
-        at = kernels.local_maxima(density)
-        places = low + step * kernels.subpixel(density, at)
-        if method == "em":
+        places = histogram_peaks(x, own)
+        if method.startswith("em_"):
+            places, ids = mixtures.find(x, rows["length"].to_numpy(float), places, method[3:], precision=own, least=least)
+            count = np.bincount(ids[ids >= 0], minlength=len(places) or 1)
+            ids = np.where((ids >= 0) & (count[np.maximum(ids, 0)] >= least), ids, -1)
+        elif method == "em":
             par, resp = kernels.best_mixture(x, rows["length"].to_numpy(float), centres=places, precision=own, least=least)
             ids, places = resp.argmax(axis=1), par[:, 1]
             count = np.bincount(ids, minlength=len(places))
