@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules with QUERIES and SQL.
-MODULES = ("statistics", "cleaning", "selection", "alignment", "events", "peaks", "ramps", "reports", "windows", "plans", "comparison", "correlation", "references", "experiments")
+MODULES = ("statistics", "cleaning", "selection", "alignment", "events", "peaks", "ramps", "reports", "windows", "plans", "comparison", "correlation", "references", "experiments", "clocks")
 
 
 def _gather(name: str) -> dict:
