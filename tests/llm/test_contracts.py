@@ -230,15 +230,37 @@ def test_full_windows_need_no_group(spark):
     assert len(full) > 300 and len({r.sequence_id for r in full}) == len(full) and all(r.offset == 0 and r.sequence_id % 2 for r in full)
 
 
-def test_recall_on_the_test_vectors(spark, sf_dir):
+def brute_links(ids, x, labels, threshold=0.98):
+    """Number of links of each id, by all cosines."""
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = (x @ x.T >= threshold) & (np.array(labels)[:, None] == np.array(labels)[None, :])
+    return {i: int(n) - 1 for i, n in zip(ids, near.sum(1))}
+
+
+def test_vectors_query(spark, sf_dir):
     rows = [r for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect() if r.embedding is not None and r.label is not None]
-    x = np.array([r.embedding for r in rows], np.float64)
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    near = (x @ x.T >= 0.98) & (np.array([r.label for r in rows])[:, None] == np.array([r.label for r in rows])[None, :])
-    want = {r.vec_id: int(n) - 1 for r, n in zip(rows, near.sum(1))}
+    want = brute_links([r.vec_id for r in rows], np.array([r.embedding for r in rows], np.float64), [r.label for r in rows])
     got = {r.vec_id: r.n_links for r in registry.queries()["op10_embedding_dedup"](spark, sf_dir).collect()}
-    assert all(got[i] <= n for i, n in want.items())
-    assert sum(want.values()) == 0 or sum(got.values()) >= 0.98 * sum(want.values())
+    assert got == want
+
+
+def test_recall_at_the_threshold(spark):
+    """Planted neighbours of the tables' length, whose cosines lie just above the threshold and just below it."""
+    rng = np.random.default_rng(12)
+    n, dim = 1200, 64
+    base = rng.normal(size=(n, dim))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    aside = rng.normal(size=(n, dim))
+    aside -= (aside * base).sum(1, keepdims=True) * base
+    aside /= np.linalg.norm(aside, axis=1, keepdims=True)
+    cosine = np.where(np.arange(n) % 4 < 3, rng.uniform(0.98001, 0.983, n), rng.uniform(0.975, 0.97999, n))[:, None]
+    x = np.concatenate([base, cosine * base + np.sqrt(1 - cosine**2) * aside]) * rng.uniform(0.5, 2, (2 * n, 1))
+    labels = [i % n % 7 for i in range(2 * n)]
+    df = spark.createDataFrame([(i, v.tolist(), k) for i, (v, k) in enumerate(zip(x, labels))], "vec_id bigint, embedding array<double>, label int")
+    want = brute_links(range(2 * n), x, labels)
+    got = {r.vec_id: r.n_links for r in embedding_dedup.deduplicate(df).collect()}
+    assert sum(want.values()) >= 1500 and all(got[i] <= k for i, k in want.items())
+    assert sum(got.values()) >= 0.99 * sum(want.values())
 
 
 def test_blocks_do_not_change_links(spark):
