@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cyclarium.functions import fits, mixtures
+from cyclarium.functions import expected, fits, mixtures, wavelets
 from cyclarium.functions import peaks as kernels
 from cyclarium.functions.filters import kernel
 from cyclarium.functions.signal import complement
@@ -18,15 +18,16 @@ from cyclarium.operators.statistics import BEAD, CYCLE
 PEAK = [*BEAD, "peak"]
 
 
-def histogram_peaks(x: np.ndarray, precision: float) -> np.ndarray:
-    """Maxima of the smoothed histogram of values, between bins."""
+def histogram_peaks(x: np.ndarray, precision: float, finder: str = "maxima") -> np.ndarray:
+    """Peaks of the smoothed histogram of values, between bins: its maxima, or the ridges of its ``wavelets``."""
     step, low = precision / 5, x.min() - 4 * precision
     bins = np.bincount(np.rint((x - low) / step).astype(int), minlength=int((x.max() - low) / step) + 40).astype(float)
     density = np.convolve(bins, kernel(), "same")
-    return low + step * kernels.subpixel(density, kernels.local_maxima(density))
+    at = wavelets.find_peaks(density) if finder == "wavelets" else kernels.local_maxima(density)
+    return low + step * kernels.subpixel(density, at)
 
 
-def select_peaks(events: DataFrame, precision: float | None = None, *, align: bool = False, method: str = "histogram", window: float = 2.5, least: int = 3, base: float | None = 0.1) -> DataFrame:
+def select_peaks(events: DataFrame, precision: float | None = None, *, align: bool = False, method: str = "histogram", window: float = 2.5, least: int = 3, base: float | None = 0.1, finder: str = "maxima") -> DataFrame:
     """peak_events(track, bead, cycle, event, start, length, avg, bias, peak, peakposition) from (…, avg[, precision]).
 
     ``method`` is ``histogram``, ``em`` or ``em_`` and one of the mixtures' methods.
@@ -44,7 +45,7 @@ def select_peaks(events: DataFrame, precision: float | None = None, *, align: bo
             found = kernels.cycle_biases([z[cycle == c] for c in names], own)
             bias = found[np.searchsorted(names, cycle)]
         x = z + bias
-        places = histogram_peaks(x, own)
+        places = histogram_peaks(x, own, finder)
         if method.startswith("em_"):
             places, ids = mixtures.find(x, rows["length"].to_numpy(float), places, method[3:], precision=own, least=least)
             count = np.bincount(ids[ids >= 0], minlength=len(places) or 1)
@@ -303,6 +304,17 @@ def correlation_biases(events: DataFrame, precision: float, by: list[str] = BEAD
     return events.where("avg is not null").select(*CYCLE, "avg").groupBy(*by).applyInPandas(run, "track string, bead bigint, cycle int, bias double")
 
 
+def expected_biases(events: DataFrame, precision: float, by: list[str] = BEAD, **options) -> DataFrame:
+    """bias(track, bead, cycle) at which each cycle's events stand where those of the other cycles expect them."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        names = np.unique(rows["cycle"])
+        bias = expected.expected_biases([np.sort(rows.loc[rows["cycle"] == c, "avg"].to_numpy(float)) for c in names], precision, **options)
+        return pd.DataFrame({"track": rows["track"].iloc[0], "bead": rows["bead"].iloc[0], "cycle": names, "bias": bias})
+
+    return events.where("avg is not null").select(*CYCLE, "avg").groupBy(*by).applyInPandas(run, "track string, bead bigint, cycle int, bias double")
+
+
 def move_events(events: DataFrame, biases: DataFrame) -> DataFrame:
     """Events with their cycle's bias added to ``avg``; peaks' positions become the means of their events."""
     rows = events.drop("bias").join(biases.select(*CYCLE, "bias"), CYCLE, "left").withColumn("bias", F.coalesce("bias", F.lit(0.0)))

@@ -110,6 +110,9 @@ QUERIES = {
     "select_peaks_em": lambda s, d: _r(_selected(s, d, method="em"), "avg", "peakposition", "bias"),
     "select_peaks_em_full": lambda s, d: _r(_selected(s, d, method="em_full"), "avg", "peakposition", "bias"),
     "select_peaks_em_random": lambda s, d: _r(_selected(s, d, method="em_random"), "avg", "peakposition", "bias"),
+    "select_peaks_wavelets": lambda s, d: _r(_selected(s, d, finder="wavelets"), "avg", "peakposition", "bias"),
+    "expected_biases": lambda s, d: _r(op.expected_biases(_flat(s, d), 3.0), "bias"),
+    "expected_biases_symmetric": lambda s, d: _r(op.expected_biases(_flat(s, d), 3.0, symmetric=True, rounds=1, average=0.5), "bias"),
     "probabilities": lambda s, d: _small(op.probabilities(_binned(s, d), _cycles(s, d), _bounds(s, d).withColumn("stop", F.col("stop") - 2), least=3), "hybridisationrate", "averageduration", "likelyduration", "probability", "stddev", "saturation", "uncertainty"),
     "resolution": lambda s, d: _r(op.resolution(_binned(s, d)), "resolution", "positionprecision"),
     "peak_noise": lambda s, d: op.peak_noise(op.peak_values(_binned(s, d), frames(s, d))).withColumns({"skew": F.round("skew", 6), "peakhfsigma": round9(F.col("peakhfsigma"))}),
