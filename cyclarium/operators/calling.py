@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cyclarium.operators.selection import closest, closest_listed
+from cyclarium.operators.events import smooth
+from cyclarium.operators.peaks import density_maxima
+from cyclarium.operators.selection import closest, closest_listed, nearest
 from cyclarium.operators.statistics import BEAD
 
 FIT = [*BEAD, "hpin"]
@@ -62,3 +65,28 @@ def fits_table(peaks: DataFrame, fits: DataFrame, hairpins: DataFrame, noise: Da
     back = closest(every, own.select(*FIT, F.col("baseposition").alias("target")), FIT)
     out = fits.join(sizes, "hpin").join(noise.select(*BEAD, "hfsigma"), BEAD, "left").join(exp, FIT, "left").join(_matches(back, "position", window if hpin_window is None else hpin_window, "hpin"), FIT, "left")
     return out.withColumns({"nblockages": F.coalesce("nblockages", F.lit(0)), "expfalseneg": F.col("nbindings") - F.coalesce("exptruepos", F.lit(0)), "oligo": F.lit(",".join(oligos))})
+
+
+GROUP = ["track", "hpin"]
+
+
+def group_consensus(identified: DataFrame, width: float, kernel: list[float], half: int = 2, window: float = 10.0) -> DataFrame:
+    """(track, hpin, consensus, position, beads, share, and means and spreads of measures): the peaks that a hairpin's beads share.
+
+    The density of all beads' positions in bases, in bins of ``width`` and
+    smoothed, has a consensus peak at each maximum within ``half`` bins.
+    Positions belong to the nearest one within ``window``; a bead with several
+    counts once in ``beads`` and in ``share``, the percentage of the hairpin's beads.
+    """
+    measures = [c for c in ("baseposition", *MEASURED) if c in identified.columns]
+    rows = identified.where("baseposition is not null").select(*GROUP, "bead", *measures)
+    low = rows.groupBy(*GROUP).agg(F.min("baseposition").alias("low"), F.count_distinct("bead").alias("_all"))
+    bins = rows.join(low, GROUP).groupBy(*GROUP, F.rint((F.col("baseposition") - F.col("low")) / width).cast("bigint").alias("bin")).agg(F.count("*").alias("count"))
+    density = smooth(bins, kernel, GROUP).withColumn("density", F.round("density", 9))
+    tops = density_maxima(density.withColumn("bin", F.col("bin").cast("int")), half, GROUP).join(low, GROUP)
+    spots = tops.select(*GROUP, (F.col("vertex") * width + F.col("low")).alias("target"))
+    met = nearest(rows, spots, GROUP, window, "baseposition").where("closest is not null")
+    stats = [f(c).alias(f"{c}{n}") for c in measures for f, n in ((F.avg, "mean"), (F.stddev_pop, "std"))]
+    out = met.groupBy(*GROUP, F.col("closest").alias("position")).agg(F.count_distinct("bead").alias("beads"), *stats).join(low, GROUP)
+    rank = F.row_number().over(W.partitionBy(*GROUP).orderBy("position")) - 1
+    return out.withColumns({"consensus": rank, "share": F.col("beads") * 100 / F.col("_all")}).drop("low", "_all")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cyclarium.functions.signal import extent
+from cyclarium.operators.cleaning import Rules, clean
 from cyclarium.operators.statistics import BEAD, CYCLE
 
 
@@ -80,3 +83,33 @@ def ramp_consensus(frames: DataFrame) -> DataFrame:
 def track_consensus(consensus: DataFrame) -> DataFrame:
     """Median over beads at each offset."""
     return consensus.groupBy("track", "offset", "way").agg(F.median("z").alias("z"), F.count("z").alias("beads"))
+
+
+@dataclass(frozen=True)
+class RampAnalysis:
+    """Ramps from cleaning to the consensus: what a track's beads do, which of them are of a status, and their mean way.
+
+    ``rules`` clean the frames (track, bead, cycle, frame, cycleframe, phase, z,
+    zmag), ``status`` are the options of ``ramp_status``.
+    """
+
+    rules: Rules = Rules(extent=(0.0, 10.0), saturated_cycles=100.0)
+    status: dict = field(default_factory=dict)
+
+    def cleaned(self, frames: DataFrame) -> DataFrame:
+        """Frames of the cycles that pass the rules."""
+        return clean(frames, self.rules)
+
+    def dataframe(self, frames: DataFrame) -> DataFrame:
+        """The statistics of each cycle with its bead's status; beads without any cycle have one row."""
+        stats = ramp_stats(self.cleaned(frames))
+        return ramp_status(stats, beads=frames, **self.status).join(stats, BEAD, "left")
+
+    def beads(self, frames: DataFrame, status: str = "ok") -> DataFrame:
+        """(track, bead) of a status."""
+        return ramp_status(ramp_stats(self.cleaned(frames)), beads=frames, **self.status).where(F.col("status") == status).select(*BEAD)
+
+    def consensus(self, frames: DataFrame, beads: DataFrame | None = None) -> DataFrame:
+        """The way up and down over the beads given, or over those that are ok."""
+        own = self.beads(frames) if beads is None else beads
+        return track_consensus(ramp_consensus(self.cleaned(frames).join(own, BEAD, "left_semi")))

@@ -104,6 +104,7 @@ QUERIES = {
     "identified_peaks": lambda s, d: _r(calling.identified_peaks(*_calling(s, d), window=4.0), "baseposition", "distance", "hybridisationrate", "averageduration"),
     "missing_bindings": lambda s, d: _r(calling.missing_bindings(calling.identified_peaks(*_calling(s, d), window=4.0), _placed(s, d), _hairpins(s)), "peakposition"),
     "fits_table": lambda s, d: _r(calling.fits_table(*_calling(s, d), hf_sigma(frames(s, d), ["track", "bead"]), 4.0, oligos=["ctg"]), *_NESTED),
+    "group_consensus": lambda s, d: _r(calling.group_consensus(calling.identified_peaks(*_calling(s, d), window=4.0), 2.0, KERNEL, 2, 6.0), "position", "share", *(f"{c}{n}" for c in ("baseposition", *calling.MEASURED) for n in ("mean", "std"))),
     "density_maxima": lambda s, d: _r(op.density_maxima(_r(ev.smooth(ev.histogram(frames(s, d), 7.0, column="z"), KERNEL), "density"), 2), "vertex", "density"),
     "select_peaks": lambda s, d: _r(_selected(s, d), "avg", "peakposition", "bias"),
     "select_peaks_aligned": lambda s, d: _r(_selected(s, d, align=True), "avg", "peakposition", "bias"),
@@ -158,6 +159,13 @@ size AS (SELECT hpin, 70 AS strandsize, count(DISTINCT position) AS nbindings FR
 SELECT track, bead, hpin, 1.0::DOUBLE AS cost, stretch, bias, strandsize, nbindings, round(hfsigma, 9) AS hfsigma, expaffected, expnonaffected, nblockages - exptruepos AS expduplicates, exptruepos, round(expresiduals, 9) AS expresiduals, coalesce(nblockages, 0) AS nblockages, nbindings - coalesce(exptruepos, 0) AS expfalseneg,
 round(tpaverageduration, 9) AS tpaverageduration, round(tphybridisationrate, 9) AS tphybridisationrate, tpeventcount, round(fpaverageduration, 9) AS fpaverageduration, round(fphybridisationrate, 9) AS fphybridisationrate, fpeventcount, hpinaffected, hpinnonaffected, hpinduplicates, hpintruepos, round(hpinresiduals, 9) AS hpinresiduals, 'ctg' AS oligo
 FROM placed JOIN size USING (hpin) LEFT JOIN noise USING (track, bead) LEFT JOIN ex USING (track, bead, hpin) LEFT JOIN hs USING (track, bead, hpin)""",
+    "group_consensus": f"""{_W}, {_CALLED}, lo AS (SELECT track, hpin, min(baseposition) AS low, count(DISTINCT bead) AS n_all FROM called GROUP BY ALL), h AS (SELECT track, hpin, CAST(round_even((baseposition - low) / 2, 0) AS BIGINT) AS bin, count(*) AS n FROM called JOIN lo USING (track, hpin) GROUP BY ALL),
+sm AS (SELECT track, hpin, bin + k AS bin, round(sum(n * w), 9) AS density FROM h, (VALUES (-2, 0.1::DOUBLE), (-1, 0.2::DOUBLE), (0, 0.4::DOUBLE), (1, 0.2::DOUBLE), (2, 0.1::DOUBLE)) AS kernel(k, w) GROUP BY track, hpin, bin + k),
+mx AS (SELECT *, max(density) OVER (w RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS top, coalesce(max(density) OVER (w RANGE BETWEEN 2 PRECEDING AND 1 PRECEDING), 0) AS earlier, max(density) OVER (w RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING) AS a, max(density) OVER (w RANGE BETWEEN 1 FOLLOWING AND 1 FOLLOWING) AS c FROM sm WINDOW w AS (PARTITION BY track, hpin ORDER BY bin)),
+sp AS (SELECT track, hpin, coalesce(bin + CASE WHEN a - 2 * density + c < 0 THEN 0.5 * (a - c) / (a - 2 * density + c) ELSE 0 END, bin) * 2 + low AS spot FROM mx JOIN lo USING (track, hpin) WHERE density = top AND density > earlier),
+nr AS (SELECT c.track, c.hpin, c.bead, c.peak, arg_min(spot, (abs(baseposition - spot), spot)) AS spot FROM called c JOIN sp ON c.track = sp.track AND c.hpin = sp.hpin WHERE abs(baseposition - spot) < 6 GROUP BY ALL)
+SELECT track, hpin, round(spot, 9) AS position, count(DISTINCT bead) AS beads, {", ".join(f"round({f}({c}), 9) AS {c}{n}" for c in ("baseposition", *calling.MEASURED) for f, n in (("avg", "mean"), ("stddev_pop", "std")))}, row_number() OVER (PARTITION BY track, hpin ORDER BY spot) - 1 AS consensus, round(count(DISTINCT bead) * 100 / any_value(n_all), 9) AS share
+FROM nr JOIN called USING (track, hpin, bead, peak) JOIN lo USING (track, hpin) GROUP BY track, hpin, spot""",
     "density_maxima": f"""{_W}, b AS (SELECT track, bead, round_even((z - min(z) OVER (PARTITION BY track, bead)) / 7, 0)::BIGINT AS bin FROM frames WHERE z IS NOT NULL), h AS (SELECT track, bead, bin, count(*) AS n FROM b GROUP BY ALL),
 s AS (SELECT track, bead, bin + k AS bin, round(sum(n * w), 9) AS density FROM h, (VALUES (-2, 0.1::DOUBLE), (-1, 0.2::DOUBLE), (0, 0.4::DOUBLE), (1, 0.2::DOUBLE), (2, 0.1::DOUBLE)) AS kernel(k, w) GROUP BY track, bead, bin + k),
 m AS (SELECT *, max(density) OVER (w RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS top, coalesce(max(density) OVER (w RANGE BETWEEN 2 PRECEDING AND 1 PRECEDING), 0) AS earlier, max(density) OVER (w RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING) AS a, max(density) OVER (w RANGE BETWEEN 1 FOLLOWING AND 1 FOLLOWING) AS c FROM s WINDOW w AS (PARTITION BY track, bead ORDER BY bin))
