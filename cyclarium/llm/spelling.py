@@ -178,7 +178,8 @@ def near_pairs(words: DataFrame) -> DataFrame:
     first_band = F.when(in_band[0], 0).when(in_band[1], 1).otherwise(2)
     met = (longer == 1) | ((longer == 0) & (F.col("a_word") < F.col("b_word")))
     met = met & (F.bit_count(differ) <= 2 - longer) & (i == first_band) & (h == F.when(head, 0).otherwise(1))
-    return one.join(two, "key").where(met & (F.levenshtein("a_word", "b_word", 1) == 1)).select("a_word", "a_n", "b_word", "b_n")
+    # both sides are several rows a word, which their estimated sizes don't count
+    return one.hint("merge").join(two, "key").where(met & (F.levenshtein("a_word", "b_word", 1) == 1)).select("a_word", "a_n", "b_word", "b_n")
 
 
 def roots(forms: DataFrame) -> DataFrame:
@@ -186,7 +187,7 @@ def roots(forms: DataFrame) -> DataFrame:
     now = cut(forms.select("word", F.col("form").alias("root")))
     while True:
         ahead = now.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        moved = cut(hot_join(now, ahead, ["root"], "word").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")))
+        moved = cut(hot_join(now, ahead.hint("merge"), ["root"], "word").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")))
         drop_cut(now)
         now = moved
         if not now.where("moved").limit(1).count():
@@ -204,9 +205,9 @@ def _grouped(words: DataFrame, ratio: int) -> DataFrame:
     both = F.explode(F.array(*[F.struct(F.col(f"{x}_word").alias("word"), (-F.col(f"{y}_n")).alias("less"), F.col(f"{y}_word").alias("other")) for x, y in ("ab", "ba")])).alias("x")
     best = near_pairs(words).select(both).select("x.*").groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct("less", "other")).alias("best"))
     enough = -F.col("best.less") >= F.col("n") * ratio
-    formed = cut(words.join(best, "word", "left").select("word", F.when(enough, F.col("best.other")).alias("form"), "n", F.coalesce("n_near", F.lit(0)).cast("bigint").alias("n_near"), F.when(enough, -F.col("best.less")).alias("form_n")))
+    formed = cut(words.join(best.hint("merge"), "word", "left").select("word", F.when(enough, F.col("best.other")).alias("form"), "n", F.coalesce("n_near", F.lit(0)).cast("bigint").alias("n_near"), F.when(enough, -F.col("best.less")).alias("form_n")))
     ends = roots(formed.where("form is not null"))
-    return formed.join(ends, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return formed.join(ends.hint("merge"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
 def variants(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_length: int = MIN_LENGTH, min_count: int = MIN_COUNT, ratio: int = RATIO, noise: int | None = None) -> DataFrame:

@@ -112,6 +112,21 @@ def test_long_chains_of_forms(spark):
     assert {r[2] for r in got} == {words[-1][0]} and {r[1] for r in got} == {w for w, _ in words[1:]} | {None}
 
 
+def test_variants_are_joined_by_shuffles(spark, monkeypatch):
+    """Sizes of files say little about rows made of words, so no side is sent through the driver however small it seems."""
+    plans = []
+
+    def noted(df, *args, **kwargs):
+        if "n_near" in df.columns:
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return _common.cut(df, *args, **kwargs)
+
+    monkeypatch.setattr(spelling, "cut", noted)
+    words = [("abcdef" + "x" * i, 5 * 5**i) for i in range(4)]
+    assert {r[2] for r in rows_of(spelling.group(spark.createDataFrame(words, "word string, n long")))} == {words[-1][0]}
+    assert len(plans) == 2 and all("SortMergeJoin" in p and "Broadcast" not in p for p in plans)
+
+
 # ---- vector codes ----
 
 
