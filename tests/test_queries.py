@@ -31,3 +31,15 @@ def test_hairpins_are_fitted_to_all_beads(spark):
 def test_all_kinds_of_rows_are_compared(spark, name, column, kinds):
     rows = catalog.queries()[name](spark, "/root/testdata/sf0.01").select(column).distinct().collect()
     assert {r[0] for r in rows} == kinds
+
+
+def test_resolution_tells_the_skewness_over_cycles(spark, sf_dir):
+    from cyclarium.operators.peaks import resolution
+
+    means = [1.0, 2.0, 2.0, 7.0]
+    events = spark.createDataFrame([("t", 1, 0, c, m + s, 4) for c, m in enumerate(means) for s in (-0.5, 0.5)], "track string, bead int, peak int, cycle int, avg double, length int")
+    (row,) = resolution(events).collect()
+    assert row.resolution == pytest.approx(5.5**0.5) and row.positionprecision == pytest.approx(5.5**0.5 / 2)
+    assert row["skew"] == pytest.approx(sum((m - 3) ** 3 for m in means) / 4 / 5.5**1.5)
+    rows = catalog.queries()["resolution"](spark, sf_dir).collect()
+    assert any(r["skew"] for r in rows) and all(r["skew"] is None for r in rows if r["resolution"] == 0)
