@@ -30,6 +30,22 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+#: Rows that Parquet's reader holds at once inside ``short_reads``.
+READ_ROWS = 256
+
+
+@contextlib.contextmanager
+def short_reads(spark: SparkSession) -> Iterator[None]:
+    """Inside, whole texts are read fewer rows at once: arrays of megabytes make an executor's heap grow. What runs inside has to end there."""
+    key = "spark.sql.parquet.columnarReaderBatchSize"
+    own = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(own), READ_ROWS)))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, own)
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 

@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cyclarium.llm._common import bytes_of, cut, cuts_between, hot_join, mix, scratch, shared, slices, small_batches, table
+from cyclarium.llm._common import bytes_of, cut, cuts_between, hot_join, mix, scratch, shared, short_reads, slices, small_batches, table
 from cyclarium.llm.secret_scan import Spans
 
 #: Kinds in the order in which findings at one place are listed.
@@ -342,20 +342,21 @@ def edges_of(found: DataFrame) -> DataFrame:
 def scored(edges: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE, rounds: int = ROUNDS) -> DataFrame:
     """(pattern, confidence) of the trusted patterns, of (pattern, inst, seed, n, total)."""
     instances = edges.select("inst", F.lit(0.0).alias("score")).where("false")
-    for _ in range(rounds):
+    for i in range(rounds):
         known = hot_join(edges, instances, ["inst"], "pattern").withColumn("s", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("score", F.lit(0.0))).cast("double"))
         n, s = F.col("n"), F.col("s")
         sums = known.groupBy("pattern").agg(F.sum(n * s).alias("held"), F.sum(n * (1 - s)).alias("unknown"), F.sum(n).alias("slots"), F.count_if(s >= confidence).alias("instances"), F.max("total").alias("total"))
         # what isn't in a slot as seed or candidate is something else
         other = F.greatest(F.col("total") - F.col("slots"), F.lit(0))
         trusted = cut(sums.withColumn("confidence", F.col("held") / (F.col("held") + UNKNOWN * F.col("unknown") + other + 1)).where((F.col("instances") >= support) & (F.col("confidence") >= confidence)).select("pattern", "confidence"))
-        instances = cut(hot_join(edges.where("not seed"), trusted, ["pattern"], "inst", "inner").groupBy("inst").agg((1 - F.exp(F.sum(F.log(1 - F.col("confidence"))))).alias("score")))
+        if i + 1 < rounds:
+            instances = cut(hot_join(edges.where("not seed"), trusted, ["pattern"], "inst", "inner").groupBy("inst").agg((1 - F.exp(F.sum(F.log(1 - F.col("confidence"))))).alias("score")))
     return trusted
 
 
 def extract(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, confidence: float = CONFIDENCE, rounds: int = ROUNDS) -> DataFrame:
     """Per document: ``id_col`` and its findings (kind, start, stop), in order."""
-    with scratch():
+    with scratch(), short_reads(docs.sparkSession):
         return cut(_extracted(docs, id_col, text_col, support, confidence, rounds), outside=True)
 
 

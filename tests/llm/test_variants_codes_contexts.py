@@ -346,3 +346,18 @@ def test_cuts():
     assert _common.cuts_between(within, np.array([0, 2, 10]), 3) == [0, 2, 8, 10]
     assert _common.cuts_between(within, np.array([0, 10]), 10) == [0, 10]
     assert _common.cuts_between(within[:0], np.array([0]), 3) == [0]
+
+
+def test_personal_data_writes_what_it_reads(spark, monkeypatch):
+    """Each table but the result is read again; texts are read in short batches, and the session's own number is back afterwards."""
+    key = "spark.sql.parquet.columnarReaderBatchSize"
+    before, made = spark.conf.get(key), []
+
+    def noted(df, *args, **kwargs):
+        made.append((df.columns, spark.conf.get(key)))
+        return _common.cut(df, *args, **kwargs)
+
+    monkeypatch.setattr(personal_data, "cut", noted)
+    assert personal_data.extract(spark.createDataFrame([(1, "mail a@b.c")], "doc_id long, text string"), rounds=2).count() == 1
+    assert [c for c, _ in made].count(["inst", "score"]) == 1 and [c for c, _ in made].count(["pattern", "confidence"]) == 2
+    assert {rows for _, rows in made} == {str(_common.READ_ROWS)} and spark.conf.get(key) == before
