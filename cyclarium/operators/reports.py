@@ -125,13 +125,14 @@ def carry_over(experiments: DataFrame, delta: float = 0.003, ratio: float = 0.5,
     ``experiments`` has (by..., track, oligo, modification, position, count,
     keep). The second's oligo differs from the first's and doesn't overlap it,
     its count is at most ``ratio`` of the first's, and it is to be kept. The
-    reverse strands overlap where the oligos do, as either end is tried.
+    reverse strands overlap where the oligos do, as either end is tried. Of rows
+    that differ in ``keep`` alone the one to be kept stands first.
     """
     columns = [*by, "track", "oligo", "modification", "position", "count", "keep"]
-    rows = experiments.select(*columns).dropDuplicates([*by, "track", "oligo", "modification", "position", "count"])
+    rows = experiments.select(*columns).distinct()
     rows = rows.withColumn("_t", F.dense_rank().over(W.partitionBy(*by).orderBy("modification")))
     rows = rows.withColumn("_pair", F.explode(F.array(F.col("_t") - 1, F.col("_t"))))
-    over = W.partitionBy(*by, "_pair").orderBy("position", "modification", "track", "oligo", "count")
+    over = W.partitionBy(*by, "_pair").orderBy("position", "modification", "track", "oligo", "count", F.col("keep").desc())
     pairs = rows.withColumns({f"next_{c}": F.lead(c).over(over) for c in columns[len(by):]})
     close = (F.col("next_position") - F.col("position") < delta) & (F.col("next_modification") != F.col("modification"))
     fewer = F.col("next_count") <= ratio * F.col("count")

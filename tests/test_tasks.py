@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cyclarium.functions import peaks as kernels
-from cyclarium.operators import peaks, ramps, reports, selection
+from cyclarium.operators import cleaning, peaks, ramps, reports, selection, statistics
 from cyclarium.plans import tasks as plan
 from cyclarium.sources import simulators
 
@@ -255,6 +255,14 @@ def test_carry_over_rules(spark):
     assert reports.carry_over(peaks_.where("count in (10, 6)"), ratio=0.6).count() == 1
 
 
+@pytest.mark.parametrize("kept", [(True, False), (False, True)])
+def test_carry_over_looks_at_all_rows_of_a_place(spark, kept):
+    rows = [(1, "x", "tca", 1, 0.1, 10, True)] + [(1, "y", "agt", 2, 0.101, 5, k) for k in kept]
+    peaks_ = spark.createDataFrame(rows, "bead int, track string, oligo string, modification int, position double, count int, keep boolean").coalesce(1)
+    assert [(r.track, r.next_track) for r in reports.carry_over(peaks_).collect()] == [("x", "y")]
+    assert reports.carry_over(peaks_.where("keep is distinct from true or track = 'x'")).count() == 0
+
+
 def test_confusion_by_hand(spark):
     theory = spark.createDataFrame([("t", "positive", 10.0), ("t", "positive", 50.0), ("t", "negative", 30.0), ("t", "negative", 51.0), ("t", "negative", 90.0)], "track string, strand string, theopos double")
     found = spark.createDataFrame([("t", 10.0, x) for x in (9.8, 10.1, 12.0)] + [("t", 30.2, 30.3), ("t", 50.6, 50.6)], "track string, peakposition double, avg double")
