@@ -114,10 +114,11 @@ def extensions(frames: DataFrame, high: int = PHASES["pull"], low: int = PHASES[
 
 
 def rolling(frames: DataFrame, before: int, after: int, by: list[str] = BEAD) -> DataFrame:
-    """Moving mean, extremes and their places, over the given rows before and after."""
+    """Moving mean, extremes and their places, over the given rows before and after; of equal extremes the first is the place."""
     over = W.partitionBy(*by).orderBy("frame").rowsBetween(-before, after)
-    at = lambda f: f(F.when(F.col("z").isNotNull(), F.col("frame")), F.col("z")).over(over)
-    return frames.withColumns({"mean": F.avg("z").over(over), "low": F.min("z").over(over), "high": F.max("z").over(over), "low_at": at(F.min_by), "high_at": at(F.max_by)})
+    known = F.col("z").isNotNull()
+    at = lambda f, tie: f(F.when(known, F.col("frame")), F.when(known, F.struct("z", tie))).over(over)
+    return frames.withColumns({"mean": F.avg("z").over(over), "low": F.min("z").over(over), "high": F.max("z").over(over), "low_at": at(F.min_by, F.col("frame")), "high_at": at(F.max_by, -F.col("frame"))})
 
 
 def missing_counts(frames: DataFrame, width: int, by: list[str] = BEAD) -> DataFrame:

@@ -269,6 +269,13 @@ def test_drops_are_unknown_where_no_frame_can_be_judged(spark):
     assert {r.cycle: r.drops for r in out.collect()} == {0: 1, 1: 0, 2: None}
 
 
+def test_rolling_tells_the_first_of_equal_extremes(spark):
+    rows = [("t", 1, i, z) for i, z in enumerate([5.0, 1.0, 1.0, 7.0, 7.0, None, 1.0])]
+    out = statistics.rolling(spark.createDataFrame(rows, "track string, bead int, frame int, z double"), 2, 2).orderBy("frame").collect()
+    assert [r.low_at for r in out] == [1, 1, 1, 1, 2, 6, 6]
+    assert [r.high_at for r in out] == [0, 3, 3, 3, 3, 3, 4]
+
+
 def test_confusion_by_hand(spark):
     theory = spark.createDataFrame([("t", "positive", 10.0), ("t", "positive", 50.0), ("t", "negative", 30.0), ("t", "negative", 51.0), ("t", "negative", 90.0)], "track string, strand string, theopos double")
     found = spark.createDataFrame([("t", 10.0, x) for x in (9.8, 10.1, 12.0)] + [("t", 30.2, 30.3), ("t", 50.6, 50.6)], "track string, peakposition double, avg double")
