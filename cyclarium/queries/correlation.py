@@ -8,7 +8,7 @@ from cyclarium.functions.signal import round9
 from cyclarium.operators import correlation as op
 from cyclarium.queries.events import _FLAT, _flat
 from cyclarium.queries.peaks import HAIRPINS, PLACES, _hairpins, _placed
-from cyclarium.sources.fixtures import FRAMES_SQL
+from cyclarium.sources.fixtures import FRAMES_SQL, read
 
 PRECISION = 3.0
 #: A round of an alignment of cycles, and one to a hairpin, as the queries have them.
@@ -20,7 +20,8 @@ def _events(s, d):
 
 
 def _precision(s, d):
-    return _events(s, d).select("track", "bead").distinct().withColumn("precision", F.lit(PRECISION))
+    """The same for all beads, also those without events, which need not be found for it."""
+    return read(s, d, "lineitem").select(F.lit("lineitem").alias("track"), F.col("l_suppkey").alias("bead")).distinct().withColumn("precision", F.lit(PRECISION))
 
 
 def _r(df):
