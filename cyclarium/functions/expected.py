@@ -67,6 +67,94 @@ def symmetric_cost(delta: float, own: np.ndarray, others: np.ndarray, precision:
     return cost
 
 
+#: Pairs of an event and another one near it that are looked at at once.
+PAIRS = 1 << 17
+
+
+def _flat(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All (row, place) with place in [low, high) of the row."""
+    n = high - low
+    return np.repeat(np.arange(len(n)), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - low, n)
+
+
+class Costs:
+    """``likely_cost`` or ``symmetric_cost`` of several moves for each of some cycles at once.
+
+    ``values`` are all cycles' events, sorted, ``of`` their cycles; ``own`` and
+    ``cycle`` are the events to be moved and their cycles, which stand together.
+    """
+
+    def __init__(self, own: np.ndarray, cycle: np.ndarray, values: np.ndarray, of: np.ndarray, precision: float, reach: float, rigidity: float, farthest: float | None = None):
+        self.own, self.cycle, self.values, self.of = own, cycle, values, of
+        self.precision, self.reach, self.rigidity = precision, reach, rigidity
+        self.starts = np.flatnonzero(np.concatenate([[True], np.diff(cycle) != 0]))
+        self.number = np.cumsum(np.concatenate([[0], np.diff(cycle) != 0]))
+        self.sizes = np.bincount(self.number)
+        if farthest is not None:
+            self._expect(farthest)
+
+    def _expect(self, farthest: float) -> None:
+        """For each event and each other one that it may come near to, sums over those near the latter: they don't depend on the move."""
+        values, far = self.values, self.reach + farthest * (1 + 1e-9)
+        self.weight = _weights(values, 0.0, self.precision)
+        self.low = np.searchsorted(values, self.own - far)
+        row, j = _flat(self.low, np.searchsorted(values, self.own + far, "right"))
+        self.base = np.searchsorted(row, np.arange(len(self.own)))
+        low, high = np.searchsorted(values, values - self.reach), np.searchsorted(values, values + self.reach, "right")
+        self.sums, self.weights = np.zeros(len(row)), np.zeros(len(row))
+        ends = np.cumsum((high - low)[j])
+        a = 0
+        while a < len(row):
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + 8 * PAIRS, "right")))
+            pair, k = _flat(low[j[a:b]], high[j[a:b]])
+            other = self.of[k] != self.cycle[row[a:b]][pair]
+            pair, k = pair[other], k[other]
+            self.sums[a:b] = np.bincount(pair, weights=self.weight[k] * values[k], minlength=b - a)
+            self.weights[a:b] = np.bincount(pair, weights=self.weight[k], minlength=b - a)
+            a = b
+
+    def _near(self, moves: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The moved events, how many others are near each, and all such pairs: the event, the other, its weight."""
+        x = (self.own + moves[:, self.number]).ravel()
+        row, j = _flat(np.searchsorted(self.values, x - self.reach), np.searchsorted(self.values, x + self.reach, "right"))
+        other = self.of[j] != self.cycle[row % len(self.own)]
+        row, j = row[other], j[other]
+        return x, np.bincount(row, minlength=len(x)), row, j, _weights(self.values[j], x[row], self.precision)
+
+    def _total(self, each: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(each.reshape(-1, len(self.own)), self.starts, axis=1)
+
+    def likely(self, moves: np.ndarray) -> np.ndarray:
+        """Costs of ``moves``, which has a column for each cycle."""
+        x, n, row, j, w = self._near(moves)
+        mean = (x + np.bincount(row, weights=w * self.values[j], minlength=len(x))) / (np.bincount(row, weights=w, minlength=len(x)) + 1)
+        cost = self._total(np.where(n > 0, (mean - x) ** 2, self.reach**2))
+        return cost / self.sizes + self.rigidity / (self._total(np.log(n + 1)) + 0.001) * moves**2
+
+    def symmetric(self, moves: np.ndarray) -> np.ndarray:
+        x, n, row, j, w = self._near(moves)
+        total = lambda y: np.bincount(row, weights=y, minlength=len(x))
+        here = (total(self.weight[j] * self.values[j]) + x) / (1 + total(self.weight[j]))
+        event = row % len(self.own)
+        at = self.base[event] + j - self.low[event]
+        there = (self.sums[at] + x[row] * w) / (w + self.weights[at])
+        unlike = _weights(there, here[row], self.precision) - _weights(self.values[j], here[row], self.precision)
+        return self._total(total(unlike**2) / (n + 1))
+
+
+def least_of_each(cost: Callable[[np.ndarray], np.ndarray], cycles: int, reach: float, tolerance: float, at_once: int, points: int = 41) -> np.ndarray:
+    """``least`` for several cycles in step: ``cost`` takes rows of one move for each cycle, ``at_once`` of them."""
+    at = np.linspace(-reach, reach, points)
+    scan = np.concatenate([cost(np.repeat(at[i : i + at_once, None], cycles, axis=1)) for i in range(0, points, at_once)])
+    best = scan.argmin(axis=0)
+    low, high = at[np.maximum(0, best - 1)], at[np.minimum(points - 1, best + 1)]
+    while (going := high - low > tolerance).any():
+        a, b = high - SECTION * (high - low), low + SECTION * (high - low)
+        left, right = cost(np.array([a, b]))
+        low, high = np.where(going & ~(left <= right), a, low), np.where(going & (left <= right), b, high)
+    return (low + high) / 2
+
+
 def averaged(cycles: list[np.ndarray], bias: np.ndarray, precision: float, reach: float, share: float) -> np.ndarray:
     """Each bias moved by ``share`` towards the mean of those of the cycles whose events are about its own."""
     values = np.concatenate([z + b for z, b in zip(cycles, bias)])
@@ -90,16 +178,23 @@ def expected_biases(cycles: list[np.ndarray], precision: float, *, symmetric: bo
     stood before; ``average`` then draws it to its neighbours. With ``discard``
     another round is made, and cycles that it moves by so many precisions or more have NaN.
     """
-    reach, cost = window * precision, symmetric_cost if symmetric else likely_cost
+    reach = window * precision
     full = [i for i, z in enumerate(cycles) if len(z)]
     own = [np.asarray(cycles[i], float) for i in full]
+    events, cycle = (np.concatenate(own), np.repeat(np.arange(len(own)), [len(z) for z in own])) if own else (np.zeros(0), np.zeros(0, int))
 
     def turn(bias: np.ndarray) -> np.ndarray:
-        moved = [z + b for z, b in zip(own, bias)]
+        moved = events + bias[cycle]
+        order = np.argsort(moved, kind="stable")
+        values, of = moved[order], cycle[order]
+        near = np.searchsorted(values, events + reach, "right") - np.searchsorted(values, events - reach) + 1
+        per = np.bincount(cycle, weights=near)
+        block = np.floor((np.cumsum(per) - per) / PAIRS).astype(int)
         new = np.zeros(len(own))
-        for i, z in enumerate(own):
-            others = np.sort(np.concatenate([*moved[:i], *moved[i + 1 :], np.zeros(0)]))
-            new[i] = least(lambda x: cost(x, z, others, precision, reach, rigidity), search * precision, 1e-4 * precision)  # noqa: B023
+        for k in np.unique(block):
+            some = block[cycle] == k
+            costs = Costs(events[some], cycle[some], values, of, precision, reach, rigidity, search * precision if symmetric else None)
+            new[block == k] = least_of_each(costs.symmetric if symmetric else costs.likely, int((block == k).sum()), search * precision, 1e-4 * precision, max(1, int(PAIRS // near[some].sum())))
         if average > 0:
             new = averaged(own, new, precision, reach, average)
         return new - np.median(new)

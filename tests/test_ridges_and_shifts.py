@@ -103,3 +103,22 @@ def test_queries_by_loops(spark, sf_dir, name, options):
         names = sorted(cycles)
         bias = expected.expected_biases([np.sort(cycles[c]) for c in names], 3.0, **options)
         assert [got[*key, c] for c in names] == pytest.approx(bias.tolist(), abs=1e-8)
+
+
+@pytest.mark.parametrize("symmetric", [False, True])
+def test_costs_of_all_cycles_at_once(monkeypatch, symmetric):
+    """Costs of several moves are those of one at a time, and so are the least ones, also in small blocks of cycles."""
+    rng = np.random.default_rng(6)
+    cycles = [np.sort(rng.uniform(0, 60, n)) for n in (3, 1, 4, 2, 3)]
+    events, cycle = np.concatenate(cycles), np.repeat(np.arange(5), [len(z) for z in cycles])
+    order = np.argsort(events)
+    costs = expected.Costs(events, cycle, events[order], cycle[order], 3.0, 12.0, 0.1, 7.5 if symmetric else None)
+    one = expected.symmetric_cost if symmetric else expected.likely_cost
+    plain = [lambda x, i=i: one(x, cycles[i], np.sort(np.concatenate(cycles[:i] + cycles[i + 1 :])), 3.0, 12.0, 0.1) for i in range(5)]
+    moves = rng.uniform(-7.5, 7.5, (6, 5))
+    got = (costs.symmetric if symmetric else costs.likely)(moves)
+    assert got.tolist() == [pytest.approx([f(x) for f, x in zip(plain, row)]) for row in moves]
+    best = np.array([expected.least(f, 7.5, 3e-4) for f in plain])
+    for size in (expected.PAIRS, 10):
+        monkeypatch.setattr(expected, "PAIRS", size)
+        assert expected.expected_biases(cycles, 3.0, symmetric=symmetric, rounds=1).tolist() == pytest.approx((best - np.median(best)).tolist(), abs=1e-9)
