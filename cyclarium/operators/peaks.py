@@ -308,8 +308,10 @@ def expected_biases(events: DataFrame, precision: float, by: list[str] = BEAD, *
     """bias(track, bead, cycle) at which each cycle's events stand where those of the other cycles expect them."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        names = np.unique(rows["cycle"])
-        bias = expected.expected_biases([np.sort(rows.loc[rows["cycle"] == c, "avg"].to_numpy(float)) for c in names], precision, **options)
+        names, code = np.unique(rows["cycle"].to_numpy(), return_inverse=True)
+        z = rows["avg"].to_numpy(float)
+        order = np.lexsort((z, code))
+        bias = expected.expected_biases(np.split(z[order], np.cumsum(np.bincount(code))[:-1]), precision, **options)
         return pd.DataFrame({"track": rows["track"].iloc[0], "bead": rows["bead"].iloc[0], "cycle": names, "bias": bias})
 
     return events.where("avg is not null").select(*CYCLE, "avg").groupBy(*by).applyInPandas(run, "track string, bead bigint, cycle int, bias double")
