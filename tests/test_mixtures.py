@@ -89,3 +89,14 @@ def test_queries_by_loops(spark, sf_dir, method):
         ids = np.where((ids >= 0) & (count[np.maximum(ids, 0)] >= 3), ids, -1) if len(places) else ids
         order = {int(k): i for i, k in enumerate(sorted(set(ids[ids >= 0].tolist()), key=lambda k: places[k]))}
         assert got.get(key, set()) == {(r[0], r[1], order[int(i)]) for r, i in zip(rows, ids) if i >= 0}
+
+
+@pytest.mark.parametrize("model", [mixtures.Model(), mixtures.MODELS["gauss"], mixtures.MODELS["weighted"]])
+def test_fits_in_step_are_those_one_by_one(monkeypatch, model):
+    rng = np.random.default_rng(5)
+    z, t = rng.normal(50, 18, 40), rng.integers(3, 20, 40).astype(float)
+    starts = [mixtures.from_centres(z, t, rng.choice(z, k)) for k in (1, 2, 5, 5, 8)]
+    for size in (mixtures.CELLS, 1000):
+        monkeypatch.setattr(mixtures, "CELLS", size)
+        for got, start in zip(mixtures.fit_all(model, z, t, starts), starts):
+            np.testing.assert_allclose(got, model.fit(z, t, start), rtol=1e-6, atol=1e-9)
