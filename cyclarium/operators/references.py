@@ -1,22 +1,24 @@
 """Beads fitted to the same beads of a reference by their densities: stretch and bias at which these agree best.
 
 A density is a table of bins. Peaks put a kernel as wide as their own spread
-about their position. A fit scores a grid of stretches and biases at once: the
-bins of one side, laid over the other's under each of them, meet its bins in a
-join, and one sum per stretch and bias is the score. Finer grids about each
-bead's best follow. Nothing is collected, and a bead's bins may lie anywhere.
+about their position. A fit scores a grid of stretches and biases at once: a
+bead's bins meet its reference's in one row, as arrays, and one sum per stretch
+and bias is the score. Finer grids about each bead's best follow.
 """
 
 from __future__ import annotations
 
 import itertools
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cyclarium.functions import densities as kernels
 from cyclarium.functions.peaks import NO_MATCH
 from cyclarium.operators.selection import matched
 from cyclarium.operators.statistics import BEAD
@@ -89,34 +91,6 @@ def profile(density: DataFrame, step: float, *, pivot: str = "bottom", least: fl
     return rows.select(*by, "bin", "x", "zero", (F.col("low") - F.col("zero")).alias("start"), "kept", "y", F.lead("y").over(over).alias("ahead"))
 
 
-def _products(function: DataFrame, points: DataFrame, place: Column, step: float, meet: list[str], by: list[str]) -> DataFrame:
-    """(by..., s, b, score): sums of ``points`` (x, y, s, b) times the function's value where ``place`` puts them, nothing beyond its ends."""
-    shape = function.groupBy(*meet).agg(F.first("start").alias("_start"))
-    rows = points.withColumn("_u", place).join(shape, meet).withColumn("_v", (F.col("_u") - F.col("_start")) / step).withColumn("bin", F.floor("_v"))
-    rows = rows.drop("_start").join(function.select(*meet, "bin", F.col("y").alias("_y"), F.col("ahead").alias("_ahead")), [*meet, "bin"])
-    part = F.col("_v") - F.col("bin")
-    value = F.when(part == 0, F.col("_y")).otherwise(F.coalesce(F.col("_y") + (F.col("_ahead") - F.col("_y")) * part, F.lit(0.0)))
-    return rows.groupBy(*by, "s", "b").agg(F.sum(value * F.col("y")).alias("score"))
-
-
-def costs(left: DataFrame, right: DataFrame, options: DataFrame, step: float, symmetry: str = "both", by: list[str] = BEAD, meet: list[str] = ["bead"]) -> DataFrame:
-    """(by..., s, b, cost) of options (by..., s, b): less the sum of products of the profiles ``left`` (meet...) and ``right`` (by...).
-
-    The right profile is placed at (x - b) * s on the left one; ``symmetry``
-    says which side's bins are summed over, or both.
-    """
-    parts = []
-    if symmetry in ("both", "left"):
-        points = right.where("kept").select(*by, "x", "y").join(options, by)
-        parts.append(_products(left, points, (F.col("x") - F.col("b")) * F.col("s"), step, meet, by))
-    if symmetry in ("both", "right"):
-        points = left.where("kept").select(*meet, "x", "y").join(options, meet)
-        parts.append(_products(right, points, F.col("x") / F.col("s") + F.col("b"), step, by, by))
-    every = parts[0] if len(parts) == 1 else parts[0].union(parts[1])
-    total = every.groupBy(*by, "s", "b").agg(F.sum("score").alias("score"))
-    return options.join(total, [*by, "s", "b"], "left").select(*by, "s", "b", F.round(-F.coalesce("score", F.lit(0.0)), 9).alias("cost"))
-
-
 @dataclass(frozen=True)
 class Grid:
     """Centre, reach and step of stretches and of biases."""
@@ -138,28 +112,33 @@ class Grid:
         return [(i * self.stretch[2] / 4**k, j * self.bias[2] / 4**k) for i, j in itertools.product((-2, -1, 0, 1, 2), repeat=2)]
 
 
-def _best(scored: DataFrame, by: list[str]) -> DataFrame:
-    return scored.groupBy(*by).agg(F.min(F.struct("cost", "s", "b")).alias("best")).select(*by, "best.cost", "best.s", "best.b")
-
-
 def _all(keys: DataFrame, nodes: list[tuple[float, float]], by: list[str]) -> DataFrame:
     return keys.select(*by, F.explode(F.array(*[F.struct(F.lit(float(s)).alias("s"), F.lit(float(b)).alias("b")) for s, b in nodes])).alias("o")).select(*by, "o.s", "o.b")
 
 
+def _arrays(rows: DataFrame, by: list[str], name: str) -> DataFrame:
+    """Each key's profile in one row."""
+    one = rows.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("bin", "y", "kept"))).alias("_p"), F.first("start").alias(f"{name}_start"), F.first("zero").alias(f"{name}_zero"))
+    return one.select(*by, *[F.col("_p")[c].alias(f"{name}_{c}") for c in ("bin", "y", "kept")], f"{name}_start", f"{name}_zero")
+
+
 def fit_densities(left: DataFrame, right: DataFrame, step: float, grid: Grid = Grid(), rounds: int = 2, symmetry: str = "both", by: list[str] = BEAD, meet: list[str] = ["bead"]) -> DataFrame:
     """(by..., cost, stretch, bias) of profiles on their references' positions: position = (x - bias) * stretch.
 
     A grid and ``rounds`` finer ones about each bead's best. Beads without a
-    reference are left out.
+    reference are left out. A bead's profile meets its reference's as arrays.
     """
-    keys = right.select(*by).distinct().join(left.select(*meet).distinct(), meet).select(*by)
-    best = _best(costs(left, right, _all(keys, grid.nodes(), by), step, symmetry, by, meet), by)
-    for k in range(1, rounds + 1):
-        best = stored(best)
-        moves = F.explode(F.array(*[F.struct(F.lit(s).alias("ds"), F.lit(b).alias("db")) for s, b in grid.finer(k)])).alias("o")
-        options = best.select(*by, "s", "b", moves).select(*by, (F.col("s") + F.col("o.ds")).alias("s"), (F.col("b") + F.col("o.db")).alias("b"))
-        best = _best(costs(left, right, options, step, symmetry, by, meet), by)
-    return _placed(best, left, right, by, meet)
+    nodes, finer = np.array(grid.nodes(), float), [np.array(grid.finer(k), float) for k in range(1, rounds + 1)]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            side = lambda name: [kernels.Profile(np.asarray(p, float), np.array(y, float), np.asarray(k, bool), start, step) for p, y, k, start in zip(*(rows[f"{name}_{c}"] for c in ("bin", "y", "kept", "start")))]  # noqa: E731, B023
+            made = [kernels.fit(one, two, nodes, finer, symmetry) for one, two in zip(side("l"), side("r"))]
+            yield rows[by].assign(cost=[x[0] for x in made], stretch=[x[1] for x in made], bias=[x[2] + r - l / x[1] for x, r, l in zip(made, rows["r_zero"], rows["l_zero"])])
+
+    pairs = _arrays(right, by, "r").join(_arrays(left, meet, "l"), meet)
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for k in by for f in [pairs.schema[k]])
+    return pairs.mapInPandas(run, f"{kinds}, cost double, stretch double, bias double")
 
 
 def _placed(best: DataFrame, left: DataFrame, right: DataFrame, by: list[str], meet: list[str]) -> DataFrame:
@@ -220,11 +199,12 @@ def fit_to_reference(reference: DataFrame, peaks: DataFrame, step: float, grid:
     ``first`` ones. ``chisquare`` does so for each node of the grid and takes
     the least chi-squared cost.
     """
-    left = stored(profile(peak_density(reference, step, by=meet), step, pivot=pivot, by=meet))
-    right = stored(profile(peak_density(peaks, step, by=by), step, pivot=pivot, by=by))
+    left = profile(peak_density(reference, step, by=meet), step, pivot=pivot, by=meet)
+    right = profile(peak_density(peaks, step, by=by), step, pivot=pivot, by=by)
     if method != "chisquare":
         best = fit_densities(left, right, step, grid, rounds, symmetry, by, meet)
         return best if method == "histogram" else chi_squared_fits(*_listed(reference, peaks, first, by, meet), best, window, symmetry=symmetry, key=by, by=by, meet=meet)
+    left, right = stored(left), stored(right)
     keys = right.select(*by).distinct().join(left.select(*meet).distinct(), meet).select(*by)
     nodes = _all(keys, grid.nodes(), by).withColumn("cost", F.lit(0.0))
     options = _placed(nodes, left, right, by, meet).withColumns({"node": F.xxhash64("stretch", "bias")})

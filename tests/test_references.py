@@ -154,3 +154,16 @@ def test_interpolator_keeps_what_lines_need(spark):
     rows = spark.createDataFrame([("t", 1, i, v) for i, v in enumerate(y)] + [("t", 2, i, 0.3) for i in range(3)] + [("t", 1, 50, None)], "track string, bead int, bin long, density double")
     got = [(r.bead, r.bin, r.density) for r in op.interpolator(rows).orderBy("bead", "bin").collect()]
     assert got == [(1, 2, 0.0), (1, 3, 0.5), (1, 5, 0.5), (1, 6, 0.2), (1, 7, 0.0), (2, 0, 0.3), (2, 1, 0.3), (2, 2, 0.3)]
+
+
+def test_nodes_of_a_grid_arent_rows(spark):
+    """Profiles meet as arrays, one row for each bead; the best is that of a search by loops."""
+    heights = [0.0, 1.0, 3.0, 1.0, 0.0, 2.0, 0.0]
+    rows = lambda moved: spark.createDataFrame([("t", 1, i, 2.0 + moved, 2.0 + moved, True, y) for i, y in enumerate(heights)], "track string, bead int, bin long, start double, zero double, kept boolean, y double")
+    grid = op.Grid((1.0, 0.1, 0.1), (0.0, 2.0, 1.0))
+    out = op.fit_densities(rows(0.0).drop("track"), rows(1.0), 1.0, grid, 0)
+    assert "Generate" not in out._jdf.queryExecution().toString()
+    line = lambda start, x: float(np.interp(x, start + np.arange(7), heights, 0.0, 0.0))
+    best = min((round(-sum(y * line(2.0, (3.0 + i - b) * s) + y * line(3.0, (2.0 + i) / s + b) for i, y in enumerate(heights)), 9), s, b) for s, b in grid.nodes())
+    (got,) = out.collect()
+    assert (got.cost, got.stretch, got.bias) == pytest.approx((best[0], best[1], best[2] + 3.0 - 2.0 / best[1]))
